@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; a batch of very long texts must still fit a worker.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 8192, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: texts have no upper length."""
+    """Keep Arrow batches small in bytes: texts have no upper length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
