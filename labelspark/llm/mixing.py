@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 #: Documents of a block.
 BLOCK = 16
 #: Rows that a bucket is meant to hold.
-BUCKET = 8192
+BUCKET = 1024
 
 
 def schedule(weights: list[int]) -> list[int]:
