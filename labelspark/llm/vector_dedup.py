@@ -32,7 +32,9 @@ THRESHOLD = 0.9
 #: Vectors a cell is meant to hold, and the most pivots; pivots are a sample, no result depends on it.
 CELL, MAX_PIVOTS = 4096, 2048
 #: Home vectors that one task holds at a time, and members compared with them at once.
-BLOCK, STEP = 4096, 512
+BLOCK, STEP = 8192, 512
+#: A single-precision dot product of unit vectors is at most so far off; nearer pairs are compared in double precision.
+MARGIN = 1e-4
 
 
 def valid_vector(column: str = "embedding"):
@@ -87,39 +89,42 @@ def visits(x: np.ndarray, pivots: np.ndarray, widest: np.ndarray, radius: float)
     return home, there
 
 
-def _members(pivots: np.ndarray, widest: np.ndarray, blocks: np.ndarray, radius: float):
-    """Each vector once at home, in one block of its cell, and once for each block of each cell that it must be compared in."""
+def _members(pivots: np.ndarray, widest: np.ndarray, blocks: np.ndarray, radius: float, kind: str):
+    """Each vector once at home, in one block of its cell, and once for each block of each cell that it must be compared in; vectors travel as bytes."""
 
     def run(batches):
-        schema = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("guest", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.float64()))])
+        schema = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("guest", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("v", pa.binary())])
         for b in batches:
             if not b.num_rows:
                 continue
             ids, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            x = unit(matrix(b.column(2), pivots.shape[1]))
-            home, there = visits(x, pivots, widest, radius)
+            raw = matrix(b.column(2), pivots.shape[1])
+            home, there = visits(unit(raw), pivots, widest, radius)
+            packed = np.array([x.tobytes() for x in raw.astype(kind)], object)
             row, cell = np.nonzero(there)
             times = blocks[cell]
             row, cell = np.repeat(row, times), np.repeat(cell, times)
             block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
             own = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks[home]
-            row, cell, block, guest = np.r_[np.arange(len(x)), row], np.r_[home, cell], np.r_[own, block], np.r_[np.zeros(len(x), int), np.ones(len(row), int)]
+            row, cell, block, guest = np.r_[np.arange(len(raw)), row], np.r_[home, cell], np.r_[own, block], np.r_[np.zeros(len(raw), int), np.ones(len(row), int)]
             for part in np.array_split(np.arange(len(row)), len(row) // 8192 + 1):
-                v = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * x.shape[1]), pa.array(x[row[part]].ravel()))
-                yield batch(schema, cell[part].astype(np.int32), block[part].astype(np.int32), guest[part].astype(np.int32), longs(ids[row[part]]), longs(n[row[part]]), v)
+                yield batch(schema, cell[part].astype(np.int32), block[part].astype(np.int32), guest[part].astype(np.int32), longs(ids[row[part]]), longs(n[row[part]]), packed[row[part]].tolist())
 
     return run
 
 
-def _linked(sims: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Where the cosine reaches the threshold; near it the dot product is summed anew, without a matrix product's order."""
+def linked_pairs(home: np.ndarray, home32: np.ndarray, v: np.ndarray, threshold: float) -> np.ndarray:
+    """Where the cosine of unit vectors reaches the threshold: screened in single precision, decided in double precision where that is too coarse."""
+    sims = home32 @ v.astype(np.float32).T
     hit = sims >= threshold
-    for i, j in zip(*np.nonzero(np.abs(sims - threshold) < 1e-12), strict=True):
-        hit[i, j] = np.sum(a[i] * b[j]) / np.sqrt(np.sum(a[i] * a[i]) * np.sum(b[j] * b[j])) >= threshold
+    r, c = np.nonzero(np.abs(sims - threshold) < MARGIN)
+    for k in range(0, len(r), 65_536):
+        i, j = r[k : k + 65_536], c[k : k + 65_536]
+        hit[i, j] = np.einsum("ij,ij->i", home[i], v[j]) >= threshold
     return hit
 
 
-def _join(dim: int, threshold: float):
+def _join(kind: str, dim: int, threshold: float):
     """Of rows sorted by cell, block and guest: for each home vector its links (kind 0: id, number), and links that connect (kind 1: id, id)."""
 
     def run(batches):
@@ -134,7 +139,7 @@ def _join(dim: int, threshold: float):
             if not b.num_rows:
                 continue
             cell, block, guest, own, n = (b.column(k).to_numpy() for k in range(5))
-            v = matrix(b.column(5), dim)
+            v = unit(np.frombuffer(b"".join(b.column(5).to_pylist()), kind).reshape(-1, dim).astype(np.float64))
             cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (block[1:] != block[:-1])])
             for i, j in zip(cuts, np.r_[cuts[1:], len(cell)], strict=True):
                 if (cell[i], block[i]) != now:
@@ -147,14 +152,16 @@ def _join(dim: int, threshold: float):
                 if at_home < j and ids:
                     if links is None:
                         home_ids, home = np.concatenate(ids), np.concatenate(x)
+                        home32 = home.astype(np.float32)
                         links, label = np.zeros(len(home_ids), np.int64), home_ids.copy()
                     for k in range(at_home, j, STEP):
                         g = slice(k, min(j, k + STEP))
-                        hit = _linked(home @ v[g].T, home, v[g], threshold) & (home_ids[:, None] != own[g])
-                        links += hit @ n[g]
-                        r, c = np.nonzero(hit)
+                        r, c = np.nonzero(linked_pairs(home, home32, v[g], threshold))
+                        other = home_ids[r] != own[g][c]
+                        r, c = r[other], c[other]
                         if not len(r):
                             continue
+                        links += np.bincount(r, n[g][c], len(links)).astype(np.int64)
                         before, theirs = label.copy(), own[g].copy()
                         while True:  # the least label spreads over what these links connect
                             low, lab = theirs.copy(), label.copy()
@@ -178,6 +185,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, cell: int
     spark = embeddings.sparkSession
     bound_batches(spark)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "<f4" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "<f8"  # exact either way
     fine = valid_vector() & F.col("vec_id").isNotNull()
     classes = materialize(rows.filter(fine).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
     size = classes.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
@@ -191,9 +199,9 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, cell: int
     widest, blocks = np.zeros(k), np.ones(k, np.int64)
     for r in classes.select("embedding").mapInArrow(_homes(pivots), "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("a"), F.count("*").alias("n")).collect():
         widest[r.cell], blocks[r.cell] = r.a, -(-r.n // BLOCK)
-    members = classes.select("id", "n", "embedding").mapInArrow(_members(pivots, widest, blocks, radius), "cell int, block int, guest int, id long, n long, v array<double>")
+    members = classes.select("id", "n", "embedding").mapInArrow(_members(pivots, widest, blocks, radius, kind), "cell int, block int, guest int, id long, n long, v binary")
     dealt = members.repartition(partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "guest")
-    found = materialize(dealt.mapInArrow(_join(size.dim, threshold), "kind int, u long, v long"))
+    found = materialize(dealt.mapInArrow(_join(kind, size.dim, threshold), "kind int, u long, v long"))
     links = found.filter("kind = 0").groupBy(F.col("u").alias("id")).agg(F.sum("v").alias("links"))
     parts = components(found.filter("kind = 1").select("u", "v")).withColumnRenamed("node", "id")
     judged = classes.join(links, "id", "left").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
