@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from labelspark.plans import fixture_queries, star_queries, text_queries
+from labelspark.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "fixture_queries", "star_queries", "text_queries"]
