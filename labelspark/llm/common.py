@@ -34,10 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps neither repeat its work nor depend on the executors that did it."""
+    """Write df to the shared folder and read it back: later steps neither repeat its work nor depend on the executors that did it.
+
+    The table goes when the driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/labelspark-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/labelspark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
