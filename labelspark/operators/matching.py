@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelspark.functions.substances import EQUIVALENT, LEAST, expanded, matches, same_substance
 from labelspark.functions.text import fold
@@ -132,25 +134,42 @@ def guideline_entities(entities: DataFrame, guidelines: DataFrame) -> DataFrame:
     return inside.unionByName(by_gene.select("entity", "guideline_id")).unionByName(last).distinct()
 
 
-def grams(c: Column, n: int) -> Column:
+def _grams(n: int):
     """The distinct substrings of n characters."""
-    count = F.greatest(F.length(c) - n + 1, F.lit(0))
-    return F.array_distinct(F.transform(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, F.lit(n))))
 
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: list({t[k : k + n] for k in range(len(t or "") - n + 1)}))
+
+    return run
 
-def contains_join(texts: DataFrame, text: str, items: DataFrame, item: str, gram: int = GRAM) -> DataFrame:
-    """Pairs of texts and items such that the text contains the item.
 
-    Items of at least `gram` characters are joined on their first gram with the
-    texts' distinct grams; only texts that share a gram with an item are tested
-    in full. Shorter items are joined on their own length in the same way. The
-    set of lengths comes from the items and is at most `gram`.
+def contains_join(texts: DataFrame, text: str, items: DataFrame, item: str, gram: int = GRAM) -> DataFrame:
+    """Pairs of texts and items such that the text contains the item; an empty item is in no text.
+
+    What stands between two spaces inside an item stands between two spaces in
+    every text that contains it: such items are joined on the longest of these
+    words with the distinct words of the texts. Other items are joined on their
+    first `gram` characters, or all they have, with the texts' substrings of
+    that length. Hashes of the texts, not the texts, go through these joins;
+    only texts that share a key are then tested in full.
     """
-    short = [r[0] for r in items.select(F.least(F.length(item), F.lit(gram)).alias("n")).filter("n > 0").distinct().collect()]
-    key = F.substring(F.col(item), 1, gram)
-    i = items.withColumn("_gram", key).filter(F.length(item) > 0)
-    t = texts.withColumn("_grams", F.flatten(F.array(*[grams(F.col(text), n) for n in sorted(short)]))) if short else texts.withColumn("_grams", F.array().cast("array<string>"))
-    return t.withColumn("_gram", F.explode("_grams")).drop("_grams").join(i, "_gram").filter(F.contains(F.col(text), F.col(item))).drop("_gram").select(*texts.columns, *items.columns)
+    own, h = [f"_i{k}" for k in range(len(items.columns))], F.xxhash64(F.col(text))
+    i = items.filter(F.length(item) > 0).toDF(*own)
+    name = own[items.columns.index(item)]
+    words = F.split(F.col(name), " ")
+    inner = F.filter(F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(F.array().cast("array<string>")), lambda w: w != "")
+    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    i = i.withColumn("_key", key)
+    hashed = texts.filter(F.length(text) > 0).select(h.alias("_h"), F.col(text).alias("_t"))
+    said = hashed.select("_h", F.explode(F.array_distinct(F.split("_t", " "))).alias("_key"))
+    pairs = said.join(i.filter(F.col("_key").isNotNull()), "_key").select("_h", *own)
+    bare = i.filter(F.col("_key").isNull()).drop("_key").withColumn("_n", F.least(F.length(name), F.lit(gram)))
+    for n in sorted(r[0] for r in bare.select("_n").distinct().collect()):
+        keyed = bare.filter(F.col("_n") == n).drop("_n").withColumn("_key", F.substring(name, 1, n))
+        pairs = pairs.unionByName(hashed.select("_h", F.explode(_grams(n)("_t")).alias("_key")).join(keyed, "_key").select("_h", *own))
+    out = texts.withColumn("_h", h).join(pairs.distinct(), "_h").filter(F.contains(F.col(text), F.col(name)))
+    return out.select(*[F.col(c) for c in texts.columns], *[F.col(o).alias(c) for o, c in zip(own, items.columns, strict=True)])
 
 
 def concept_candidates(queries: DataFrame, concepts: DataFrame, least: int = 5, cap: int = 25) -> DataFrame:
@@ -225,7 +244,7 @@ def lexicon_hits(texts: DataFrame, key: str, text: str, lexicon: DataFrame, term
     def runs(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, n), " "))
 
-    each = [runs(n) for n in range(1, longest + 1)]
+    each = [F.col("_w")] + [runs(n) for n in range(2, longest + 1)]
     said = t.filter(F.size("_w") > 0).select(key, F.explode(F.concat(*each)).alias("_t")).groupBy(key, "_t").agg(F.count("*").alias("n"))
     own = lexicon.select(F.col(term).alias("term"), F.lower(F.trim(term)).alias("_t")).dropDuplicates(["_t"])
     return said.join(own, "_t").select(key, "term", "n")
