@@ -182,6 +182,7 @@ def _placed(dim: int, norm: float, nodes, query: bool):
     return run
 
 
+_PLACED = "shard int, ids array<long>, embedding array<double>, p array<double>"
 _FOUND = "query_id long, vec_id long, score double, shard int"
 
 
@@ -243,19 +244,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, p: float = P) ->
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, norm, stop = size.dim, float(np.sqrt(size.square)), chi2_quantile(p, M)
     sample = places.orderBy(F.xxhash64("ids")).limit(min(SAMPLE, 16 * (size.n // SHARD + 1))) if size.n > SHARD else places.limit(0)
-    points = [r.embedding for r in sample.select("embedding").collect()]
-    nodes = []
-    if points:
-        x = np.array([v + [0.0] * (dim - len(v)) for v in points])
-        nodes = borders(lifted(x, norm) @ projection(dim), min(size.n // SHARD + 1, len(points) // 8 + 1))
-    index = materialize(places.mapInArrow(_placed(dim, norm, nodes, False), "shard int, ids array<long>, embedding array<double>, p array<double>"))
+    points = [r.p for r in sample.mapInArrow(_placed(dim, norm, [], False), _PLACED).select("p").collect()]
+    nodes = borders(np.array(points), min(size.n // SHARD + 1, len(points) // 8 + 1)) if points else []
+    index = materialize(places.mapInArrow(_placed(dim, norm, nodes, False), _PLACED))
     boxes = index.select("shard", F.posexplode("p").alias("d", "x")).groupBy("shard", "d").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect()
     shards = sorted({r.shard for r in boxes})
     low, high = np.zeros((len(shards), M)), np.zeros((len(shards), M))
     row_of = {s: i for i, s in enumerate(shards)}
     for r in boxes:
         low[row_of[r.shard], r.d], high[row_of[r.shard], r.d] = r.low, r.high
-    asked = rows(queries).select(F.array("vec_id").alias("ids"), "embedding").mapInArrow(_placed(dim, norm, nodes, True), "shard int, ids array<long>, embedding array<double>, p array<double>")
+    asked = rows(queries).select(F.array("vec_id").alias("ids"), "embedding").mapInArrow(_placed(dim, norm, nodes, True), _PLACED)
     asked = materialize(asked.withColumn("known", F.lit(float("-inf"))))
 
     def search(visits: DataFrame) -> DataFrame:
