@@ -166,6 +166,25 @@ def forms(entities: DataFrame, form: Column) -> DataFrame:
     return out.withColumn("pct", percent(F.col("n_mentions"), F.sum("n_mentions").over(Window.partitionBy("kind"))))
 
 
+def entity_items(items: DataFrame, ids: DataFrame, evidence: DataFrame, guidelines: DataFrame) -> DataFrame:
+    """Per entity of items (doc, kind, value, gene, section, n) one row with its mentions, sections, dictionary ids, evidence flags and guidelines.
+
+    ids: (gene, ...); evidence: (kind, value) with a clinical variant; guidelines: (value, guideline_id). A dictionary entry is no guideline evidence.
+    """
+    by = items.groupBy("doc", "kind", "value").agg(F.min("gene").alias("gene"), F.sum("n").alias("total_mentions"), F.array_sort(F.collect_set("section")).alias("sections"))
+    g = guidelines.groupBy("value").agg(F.array_sort(F.collect_set("guideline_id")).alias("guideline_ids"))
+    v = evidence.select("kind", "value").distinct().withColumn("has_variant", F.lit(True))
+    out = by.join(ids, "gene", "left").join(v, ["kind", "value"], "left").join(g, "value", "left")
+    return out.withColumns({"has_variant": F.coalesce("has_variant", F.lit(False)), "has_guideline": F.coalesce(F.size("guideline_ids") > 0, F.lit(False))})
+
+
+def compact_entities(items: DataFrame) -> DataFrame:
+    """(doc, kind, json): a document's entities as JSON without empty fields, by value."""
+    fields = [c for c in items.columns if c not in ("doc", "kind", "value")]
+    full = F.struct("value", *[F.when(F.size(c) > 0, F.col(c)).alias(c) if t.startswith("array") else F.when(F.col(c), True).alias(c) if t == "boolean" else F.when(F.col(c).cast("string") != "", F.col(c)).alias(c) for c, t in items.select(*fields).dtypes])
+    return items.groupBy("doc", "kind").agg(F.to_json(F.array_sort(F.collect_list(full)), {"ignoreNullFields": "true"}).alias("json"))
+
+
 def unusable_rows(docs: DataFrame) -> DataFrame:
     """Unusable documents by cause."""
     cause = F.when(F.col("status") == "scanned", "Digitalizado, sem texto").when(F.col("status") == "corrupt", "Texto ilegível").when(F.col("status") == "sem_estrutura", "Sem secções reconhecíveis").otherwise("Outro")

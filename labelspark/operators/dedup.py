@@ -113,6 +113,11 @@ def lots(df: DataFrame, n: int, order: str, bucket: int = 8192) -> DataFrame:
     return out.withColumn("lot", F.floor((F.col("_start") + F.col("_r") - 1) / F.lit(size)).cast("long")).drop("_b", "_r", "_start")
 
 
+def longest_version(df: DataFrame, keys: list[str], text: str, pos: str) -> DataFrame:
+    """Of each key's texts the longest, of equally long ones the first."""
+    return first_by(df, keys, [F.desc(F.length(text)), pos])
+
+
 def ordered_distinct(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
     return first_by(df, keys, order)

@@ -12,7 +12,7 @@ LEAST_CHARS, LEAST_PER_PAGE, LEAST_WORDS, MOST_CONTROL, LEAST_LETTERS = 400, 120
 
 
 def to_int(c: Column, default: int = 0) -> Column:
-    return F.coalesce(F.try_cast(c, "int") if hasattr(F, "try_cast") else c.try_cast("int"), F.lit(default))
+    return F.coalesce(c.try_cast("int"), F.lit(default))
 
 
 def positive_int(c: Column, default: int = 1) -> Column:
@@ -53,6 +53,28 @@ def gene_value(item: Column) -> Column:
     return first_text(item["symbol"], item["entity"], item["gene"])
 
 
+def json_field(raw: Column, *paths: str) -> Column:
+    """The first of several places of a JSON object that holds more than blanks: new layouts before old ones."""
+    return first_text(*[F.get_json_object(raw, p) for p in paths])
+
+
+# Where a document's fields stand, in the order in which places are tried.
+DOCUMENT_FIELDS = {
+    "nome_medicamento": ("$.documento.nome_medicamento", "$.nome_medicamento"),
+    "substancia_ativa": ("$.documento.substancia_ativa", "$.substancia_ativa"),
+    "codigo_atc": ("$.documento.codigo_atc", "$.codigo_atc"),
+    "grupo_codigo": ("$.documento.grupo_farmacoterapeutico_codigo", "$.grupo_farmacoterapeutico_codigo"),
+    "mrconso_cui": ("$.identificadores_substancia.mrconso_cui", "$.documento.mrconso_cui", "$.mrconso_cui"),
+    "drugbank_id": ("$.identificadores_substancia.drugbank_id", "$.documento.drugbank_id", "$.drugbank_id"),
+    "versao_pipeline": ("$.pipeline.pipeline_version", "$.pipeline_version"),
+    "modelo": ("$.pipeline.llm.model", "$.modelo"),
+}
+
+
+def document_fields(raw: Column) -> list[Column]:
+    return [json_field(raw, *paths).alias(name) for name, paths in DOCUMENT_FIELDS.items()]
+
+
 def usability(text: Column, pages: Column | None = None, words: tuple[str, ...] = COMMON_WORDS) -> Column:
     """digital, scanned, corrupt, or unknown where there is no text layer to judge (null)."""
     m = readability(text, words)

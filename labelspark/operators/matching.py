@@ -7,13 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelspark.functions.substances import EQUIVALENT, LEAST, expanded, matches, same_substance
+from labelspark.functions.substances import expanded, same_substance
 from labelspark.functions.text import fold
 
 #: Characters of a gram by which contained strings are blocked.
 GRAM = 12
-#: Rows of a dictionary up to which it is sent to every executor.
-SMALL = 1_000_000
 
 
 def first_by(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
@@ -249,5 +247,3 @@ def lexicon_hits(texts: DataFrame, key: str, text: str, lexicon: DataFrame, term
     own = lexicon.select(F.col(term).alias("term"), F.lower(F.trim(term)).alias("_t")).dropDuplicates(["_t"])
     return said.join(own, "_t").select(key, "term", "n")
 
-
-__all__ = ["EQUIVALENT", "LEAST", "matches"]

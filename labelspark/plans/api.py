@@ -110,5 +110,27 @@ def required_genes(t: Store, limit: int = 6) -> DataFrame:
     return coverage_by_gene(t).select("gene", "exigido_em", "ausente_em").orderBy(F.desc("exigido_em"), "gene").limit(limit)
 
 
+def metrics(t: Store, text: str = "gen") -> DataFrame:
+    """The store's figures as rows (metric, key, value): prevalence, entities and mentions by kind, shares of sections, coverage of pairs and by source, passages that hold a text."""
+    row = lambda df, name, key, value: df.select(F.lit(name).alias("metric"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+    none = F.lit(None)
+    d = t["documento"].agg(F.count("*").alias("n"), F.count_if(F.col("tem_pgx") == 1).alias("p"), F.count_if(F.col("tem_entidades") == 1).alias("e"))
+    kinds = t["entidade"].groupBy("tipo").agg(F.count_distinct("valor").alias("v"), F.sum("mencoes").alias("m"))
+    total = t["entidade_seccao"].agg(F.sum("mencoes")).first()[0] or 0
+    shares = t["entidade_seccao"].groupBy("seccao").agg(F.sum("mencoes").alias("m"))
+    g = t["guideline"].select(F.col("id").alias("guideline_id"), "fonte")
+    cover = t["cobertura"].join(g, "guideline_id").groupBy("fonte").agg(F.count("*").alias("n"), F.count_if(F.col("estado") == "coberta").alias("c"))
+    parts = [
+        row(d, "pct_pgx", none, percent(F.col("p"), F.col("n"))), row(d, "pct_entidades", none, percent(F.col("e"), F.col("n"))),
+        row(kinds, "entidades", F.col("tipo"), F.col("v")), row(kinds, "mencoes", F.col("tipo"), F.col("m")), row(shares, "pct_seccao", F.col("seccao"), percent(F.col("m"), F.lit(total))),
+        row(cover.agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "pct_coberto", none, percent(F.col("c"), F.col("n"))), row(cover, "pct_coberto_fonte", F.col("fonte"), percent(F.col("c"), F.col("n"))),
+        row(t["passagem"].agg(F.count_if(F.lower("texto").contains(text)).alias("n")), "passagens", F.lit(text), F.col("n")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def as_json(df: DataFrame):
     return df.toJSON()

@@ -403,3 +403,16 @@ def first_wins(spark, sf_dir):
 @_expected("metric, value", [("n", 3.0), ("m", 2.5)])
 def summary_sheet(spark, sf_dir):
     return analysis.report_summary(rows(spark, "n int, m double", [(3, 2.5)]))
+
+
+@_expected("id, nome_medicamento, codigo_atc, mrconso_cui, modelo", [(1, "Novo", "N02BE01", "C1", "m"), (2, "Antigo", None, "C2", None), (3, None, None, None, None)])
+def legacy_fields(spark, sf_dir):
+    raw = [(1, '{"documento": {"nome_medicamento": "Novo", "codigo_atc": "N02BE01"}, "nome_medicamento": "x", "identificadores_substancia": {"mrconso_cui": "C1"}, "pipeline": {"llm": {"model": "m"}}}'), (2, '{"documento": {"nome_medicamento": " "}, "nome_medicamento": "Antigo", "mrconso_cui": "C2"}'), (3, "{}")]
+    return rows(spark, "id int, raw string", raw).select("id", *filters.document_fields(c("raw"))).select("id", "nome_medicamento", "codigo_atc", "mrconso_cui", "modelo")
+
+
+@_expected("doc, kind, json", [("a", "alelo", '[{"value":"CYP2C9*2","gene":"CYP2C9","total_mentions":3,"sections":["4.2","4.5"],"hgnc_id":"H1","has_variant":true,"guideline_ids":["PA1"],"has_guideline":true}]'), ("a", "gene", '[{"value":"ZZZ","gene":"ZZZ","total_mentions":1,"sections":["4.2"]}]')])
+def entity_items(spark, sf_dir):
+    i = rows(spark, "doc string, kind string, value string, gene string, section string, n int", [("a", "alelo", "CYP2C9*2", "CYP2C9", "4.2", 1), ("a", "alelo", "CYP2C9*2", "CYP2C9", "4.5", 2), ("a", "gene", "ZZZ", "ZZZ", "4.2", 1)])
+    out = analysis.entity_items(i, rows(spark, "gene string, hgnc_id string", [("CYP2C9", "H1")]), rows(spark, "kind string, value string", [("alelo", "CYP2C9*2")]), rows(spark, "value string, guideline_id string", [("CYP2C9*2", "PA1")]))
+    return analysis.compact_entities(out.select("doc", "kind", "value", "gene", "total_mentions", "sections", "hgnc_id", "has_variant", "guideline_ids", "has_guideline"))

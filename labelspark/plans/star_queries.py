@@ -9,6 +9,7 @@ from labelspark.functions.text import fold
 from labelspark.operators import agreement, analysis, dedup
 from labelspark.plans import api, store
 from labelspark.plans.registry import query, read
+from labelspark.sources.readers import latest
 from labelspark.streaming import incremental
 
 _S = "WITH " + store.STAR_SQL
@@ -391,8 +392,6 @@ def resume_pending(spark, sf_dir):
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_per_key(spark, sf_dir):
-    from labelspark.sources.readers import latest
-
     return latest(read(spark, sf_dir, "events"), "user_id", "event_id").select("user_id", "event_id", "event_type", "value")
 
 
@@ -414,3 +413,19 @@ def corpus_scenario(spark, sf_dir):
 @query("SELECT o_orderpriority AS status, count(*) AS total, count_if(o_orderstatus = 'F')::BIGINT AS ok FROM orders GROUP BY 1")
 def status_tally(spark, sf_dir):
     return read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("status")).agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("ok"))
+
+
+@query(_S + """, d AS (SELECT count(*) AS n, count_if(tem_pgx = 1) AS p, count_if(tem_entidades = 1) AS e FROM documento), c AS (SELECT g.fonte, count(*) AS n, count_if(c.estado = 'coberta') AS c FROM cobertura c JOIN guideline g ON g.id = c.guideline_id GROUP BY 1)
+    SELECT 'pct_pgx' AS metric, NULL::VARCHAR AS key, round(100.0 * p / n, 1)::DOUBLE AS value FROM d UNION ALL SELECT 'pct_entidades', NULL, round(100.0 * e / n, 1)::DOUBLE FROM d
+    UNION ALL SELECT 'entidades', tipo, count(DISTINCT valor)::DOUBLE FROM entidade GROUP BY tipo UNION ALL SELECT 'mencoes', tipo, sum(mencoes)::DOUBLE FROM entidade GROUP BY tipo
+    UNION ALL SELECT 'pct_seccao', seccao, round(100.0 * sum(mencoes) / (SELECT sum(mencoes) FROM entidade_seccao), 1)::DOUBLE FROM entidade_seccao GROUP BY seccao
+    UNION ALL SELECT 'pct_coberto', NULL, round(100.0 * sum(c) / sum(n), 1)::DOUBLE FROM c UNION ALL SELECT 'pct_coberto_fonte', fonte, round(100.0 * c / n, 1)::DOUBLE FROM c
+    UNION ALL SELECT 'passagens', 'urgent', count_if(contains(lower(texto), 'urgent'))::DOUBLE FROM passagem""")
+def store_metrics(spark, sf_dir):
+    return api.metrics(store.star_store(spark, sf_dir), "urgent")
+
+
+@query("SELECT l_orderkey, l_partkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY length(l_extendedprice::VARCHAR) DESC, l_linenumber, l_partkey) AS r FROM (SELECT l_orderkey, l_partkey, l_linenumber, printf('%.2f', l_extendedprice) AS l_extendedprice FROM lineitem)) WHERE r = 1")
+def longest_version(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.struct("l_linenumber", "l_partkey").alias("pos"), F.format_string("%.2f", "l_extendedprice").alias("l_extendedprice"))
+    return dedup.longest_version(l, ["l_orderkey"], "l_extendedprice", "pos").drop("pos")
