@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.llm.common import batch, bound_batches, longs
+from labelspark.llm.common import batch, bound_batches, longs, spread
 
 #: Characters of a text that the library gets at once, where a safe place for a cut can be found.
 PIECE = 16_384
@@ -103,7 +103,7 @@ def _encode_all(path: str, pattern: str):
 def encode_texts(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): the ids of each whole text."""
     bound_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode_all(path, pattern), "doc_id long, ids array<int>")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(_encode_all(path, pattern), "doc_id long, ids array<int>")
 
 
 def _decode_all(path: str, pattern: str):

@@ -46,15 +46,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly if it comes in fewer pieces than there are cores: a single small file would otherwise keep one core busy and all others idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_id(documents: DataFrame, *more) -> DataFrame:
     """doc_id as long, the text as UTF-8 bytes (null: empty), and a mark of the text that tells apart rows that share a doc_id."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select(
+    rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         text.cast("binary").alias("text"),
         F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).alias("mark"),
         *more,
     )
+    return spread(rows)
 
 
 def longs(values) -> pa.Array:

@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelspark.llm.common import spread
+
 #: The most labelled rows that the model is fitted on, those of the least hashes.
 SAMPLE = 6000
 TREES, DEPTH, BINS, SHRINK = 40, 3, 24, 0.3
@@ -207,7 +209,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     stats = {k: c for k, c in statistics(F.col("text")).items() if any(model.names[t[0]] == k for r in model.rules for t in r.terms)}
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in stats.items()])
+    rows = spread(documents.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in stats.items()])
     out = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column({k: F.col(k) for k in stats}).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
@@ -217,4 +219,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, lea
     model = fit(documents, labels, sample)
     stats = {f"_s{k}": c for k, c in enumerate(statistics(F.col("text")).values())}
     names = documents.columns
-    return documents.withColumns(stats).filter(model.column({n: F.col(f"_s{k}") for k, n in enumerate(model.names)}) >= least).select(*[F.col(f"`{c}`") for c in names])
+    return spread(documents).withColumns(stats).filter(model.column({n: F.col(f"_s{k}") for k, n in enumerate(model.names)}) >= least).select(*[F.col(f"`{c}`") for c in names])
