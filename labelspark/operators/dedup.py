@@ -24,10 +24,13 @@ def representatives(docs: DataFrame, group: str = "hash") -> DataFrame:
     return first_by(docs, [group], [is_generic(F.col("maker")), fold_alnum(F.col("name")), "file"])
 
 
-def duplicate_map(docs: DataFrame, group: str, key: str, order: list) -> DataFrame:
-    """(key, representative, group) of every document that another one of its group stands for."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return docs.withColumn("representative", F.first(key).over(w)).filter(F.col(key) != F.col("representative")).select(key, "representative", group)
+def duplicate_map(docs: DataFrame, group: str, key: str, order: list[str]) -> DataFrame:
+    """(key, representative, group) of every document that another one of its group stands for.
+
+    Representatives are aggregated before they are joined back, so a group that holds a large share of all documents is no single task.
+    """
+    first = docs.groupBy(group).agg(F.min_by(key, F.struct(*order)).alias("representative"))
+    return docs.join(first, group).filter(F.col(key) != F.col("representative")).select(key, "representative", group)
 
 
 def propagate(results: DataFrame, mapped: DataFrame, key: str, force: bool = False) -> DataFrame:

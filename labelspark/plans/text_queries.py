@@ -28,8 +28,7 @@ def volatile_fingerprint(spark, sf_dir):
 
 def _map(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", tx.fingerprint(F.col("text"), ()).alias("hash"))
-    first = d.groupBy("hash").agg(F.min("doc_id").alias("representative"))
-    return d.join(first, "hash").filter("doc_id <> representative").select("doc_id", "representative", "hash")
+    return dedup.duplicate_map(d, "hash", "doc_id", ["doc_id"])
 
 
 _MAP_SQL = f"m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY hash) AS representative, hash FROM (SELECT doc_id, sha256({_NORM}) AS hash FROM documents))"
