@@ -101,18 +101,28 @@ def confusion(gold: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     return both.agg(n(F.col("_g") == 1).alias("expected"), n(F.col("_f") == 1).alias("found"), n((F.col("_g") == 1) & (F.col("_f") == 1)).alias("right"), n((F.col("_g") == 1) & F.col("_f").isNull()).alias("missed"), n(F.col("_g").isNull() & (F.col("_f") == 1)).alias("invented"))
 
 
-def order_statistics(values: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key the elements at n div 4, n div 2 and 3n div 4 (from 0) of the sorted values, and the median.
+def order_statistics(values: DataFrame, key: str, value: str, buckets: int = 4096) -> DataFrame:
+    """Per key the elements at n div 4, n div 2 and 3n div 4 (from 0) of the sorted values, and the median. Exact.
 
-    Ranks come from counts of equal values, so a large key is aggregated before it is sorted.
+    Buckets of equal width cut each key's range of numbers, counts say which
+    bucket holds a wanted element, and only those few buckets' distinct values
+    are sorted: no key is sorted as a whole, however many rows it has.
     """
-    same = values.groupBy(key, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(key).orderBy(value)
-    upto = same.select(key, value, F.sum("c").over(w).alias("hi"), F.sum("c").over(Window.partitionBy(key)).alias("n"), "c")
-    at = lambda k: F.min(F.when(F.col("hi") > k, F.col(value)))
+    v = values.select(key, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    cuts = v.groupBy(key).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("n"))
+    width = F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low"))
+    bucket = F.coalesce(F.floor((F.col("_v") - F.col("_low")) / width * (buckets - 1)), F.lit(0))
+    same = v.groupBy(key, "_v").agg(F.count("*").alias("_c")).join(cuts.drop("n"), key).select(key, bucket.alias("_b"), "_v", "_c")
+    per = same.groupBy(key, "_b").agg(F.sum("_c").alias("_c")).withColumn("_hi", F.sum("_c").over(Window.partitionBy(key).orderBy("_b")))
     n = F.col("n")
-    lower, upper = at(F.floor((n - 1) / 2)), at(F.floor(n / 2))
-    return upto.groupBy(key).agg(F.first("n").alias("n"), at(F.floor(n / 4)).alias("q1"), upper.alias("middle"), at(F.floor(3 * n / 4)).alias("q3"), ((lower + upper) / 2).alias("median"))
+    places = {"q1": F.floor(n / 4), "middle": F.floor(n / 2), "q3": F.floor(3 * n / 4), "lower": F.floor((n - 1) / 2)}
+    asked = cuts.select(key, F.explode(F.array(*[F.struct(F.lit(k).alias("what"), p.alias("at")) for k, p in places.items()])).alias("p")).select(key, "p.what", "p.at")
+    where = asked.join(per, key).filter((F.col("at") < F.col("_hi")) & (F.col("at") >= F.col("_hi") - F.col("_c"))).select(key, "_b", "what", (F.col("at") - F.col("_hi") + F.col("_c")).alias("at"))
+    few = same.join(where.select(key, "_b").distinct(), [key, "_b"], "left_semi").withColumn("_hi", F.sum("_c").over(Window.partitionBy(key, "_b").orderBy("_v")))
+    found = few.join(where, [key, "_b"]).filter((F.col("at") < F.col("_hi")) & (F.col("at") >= F.col("_hi") - F.col("_c")))
+    of = lambda k: F.max(F.when(F.col("what") == k, F.col("_v")))
+    out = found.groupBy(key).agg(of("q1").alias("q1"), of("middle").alias("middle"), of("q3").alias("q3"), ((of("lower") + of("middle")) / 2).alias("median"))
+    return cuts.select(key, "n").join(out, key)
 
 
 def seeded_sample(groups: DataFrame, key: str, n: int, seed: int) -> DataFrame:
