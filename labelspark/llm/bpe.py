@@ -7,7 +7,7 @@ text. Decoding concatenates the ids' raw bytes.
 
 Defined results: a null text is empty and has no ids; strings of special tokens
 are ordinary text; repeated rows each come out; an empty table gives an empty
-table; columns beside doc_id and text are not read.
+table; columns beside doc_id, text and those named in carry are not read.
 """
 
 from __future__ import annotations
@@ -100,29 +100,33 @@ def _encode_all(path: str, pattern: str):
     return run
 
 
-def encode_texts(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text."""
+def encode_texts(documents: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids): the ids of each whole text; carry names whole-number columns that come along."""
     bound_batches(documents.sparkSession)
-    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(_encode_all(path, pattern), "doc_id long, ids array<int>")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).cast("long").alias(c) for c in carry])).mapInArrow(_encode_all(path, pattern), f"doc_id long, {_longs(carry)}ids array<int>")
 
 
-def _decode_all(path: str, pattern: str):
+def _longs(carry: tuple[str, ...]) -> str:
+    return "".join(f"`{c}` long, " for c in carry)
+
+
+def _decode_all(path: str, pattern: str, carry: tuple[str, ...]):
     def run(batches):
         _, table = encoding(path, pattern)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in carry], ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded", pa.binary())])
         for b in batches:
             ids = [np.asarray(x.values.to_numpy(), np.uint32) for x in b.column(1)]
-            yield batch(schema, b.column(0), longs([len(x) for x in ids]), [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], [decode(table, x.tolist()) for x in ids])
+            yield batch(schema, b.column(0), *b.columns[2:], longs([len(x) for x in ids]), [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], [decode(table, x.tolist()) for x in ids])
 
     return run
 
 
-def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode_ids(encoded: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded): raw bytes, whether or not they are valid text."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decode_all(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded binary")
+    return encoded.select("doc_id", "ids", *carry).mapInArrow(_decode_all(path, pattern, carry), f"doc_id long, {_longs(carry)}n_tokens long, ids_sha256 string, decoded binary")
 
 
-def bpe_report(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: the number of ids, their digest, and the digest of the bytes that they decode to."""
-    out = decode_ids(encode_texts(documents, path, pattern), path, pattern)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+def bpe_report(documents: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document, with the columns that carry names: the number of ids, their digest, and the digest of the bytes that they decode to."""
+    out = decode_ids(encode_texts(documents, path, pattern, carry), path, pattern, carry)
+    return out.select("doc_id", *carry, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -116,6 +116,19 @@ def mixed(documents: DataFrame, weights: dict[str, int], block: int = BLOCK) ->
     return out.repartitionByRange("position").sortWithinPartitions("position").select(*[F.col(x).alias(c) for c, x in read.items()])
 
 
+def with_position(written: DataFrame) -> DataFrame:
+    """A table read from files, with position (from 0, without gaps): the order in which its rows were written.
+
+    A reader deals files out in another order; the number in a file's name and the row's place in it tell the writer's.
+    """
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    rows = written.select("*", part.alias("_part"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    files = rows.groupBy("_part", "_file").agg(F.count("*").alias("_n"))
+    w = Window.orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_file").withColumn("position", F.col("_start") + F.col("_at")).drop("_part", "_file", "_at", "_start")
+
+
 def mix_sql(weights: dict[str, int], block: int = BLOCK) -> str:
     """The same report (doc_id, source, block, slot, position) as plain SQL over `documents`."""
     sources = [s for s in sorted(weights) if weights[s] > 0]
