@@ -235,7 +235,7 @@ def tables_and_figures(spark, sf_dir):
 @query()
 def text_similarity(spark, sf_dir):
     """Similarity of two seeded documents of each source."""
-    d = read(spark, sf_dir, "documents").select("source", "doc_id", F.substring("text", 1, 2000).alias("text"))
+    d = read(spark, sf_dir, "documents").select("source", "doc_id", "text")
     pair = agreement.two_of_each(d, agreement.seeded_sample(d, "source", 300, 42), "source", "doc_id", 42)
     p = pair.groupBy("source").agg(F.max(F.when(F.col("nth") == 1, F.col("text"))).alias("a"), F.max(F.when(F.col("nth") == 2, F.col("text"))).alias("b"))
     return p.select("source", tx.similarity("a", "b").alias("ratio"))
