@@ -8,9 +8,10 @@ expression over statistics that are column expressions too.
 Defined results: a null text counts as empty, an empty text gets a score like
 any other; without labels every score is 0.5 (predicted 1), with labels of one
 class their smoothed share; labels of documents that are not there and null
-labels are not used; a document labelled twice counts twice; repeated rows each
-get their score; a row without doc_id is never held out; an empty table gives
-an empty table. Language, source, doc_id and labels are never inputs.
+labels are not used; a document labelled twice counts twice, and so does a row
+that repeats a labelled doc_id, but never more than the sample in all; repeated
+rows each get their score; a row without doc_id is never held out; columns of
+the documents may have any names; an empty table gives an empty table. Language, source, doc_id and labels are never inputs.
 """
 
 from __future__ import annotations
@@ -34,32 +35,37 @@ def _share(n: Column, d: Column) -> Column:
     return F.when(d > 0, n / d).otherwise(0.0)
 
 
-def _without(text: Column, marks: str) -> Column:
-    """How many of these characters the text holds."""
-    return F.length(text) - F.length(F.translate(text, marks, ""))
-
-
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text by name, each a column expression."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    size = F.length(text).cast("double")
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    lines = F.split(text, "\n")
-    n, n_lines = F.size(words).cast("double"), F.size(lines).cast("double")
-    return {
-        "log_words": F.log1p(n),
-        "word_length": _share(size - n, n),
-        "distinct_words": _share(F.size(F.array_distinct(words)).cast("double"), n),
-        "distinct_lines": _share(F.size(F.array_distinct(lines)).cast("double"), n_lines),
-        "words_a_line": _share(n, n_lines),
-        "pipes": _share(_without(text, "|"), n),
-        "symbols": _share(_without(text, "%#$&*@^~=<>{}[]_\\+"), n),
-        "bangs": _share(_without(text, "!?"), n),
-        "digits": _share(_without(text, "0123456789"), size),
-        "capitals": _share(_without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), size),
-        "stops": _share(_without(text, ".;:"), n),
-        "commas": _share(_without(text, ","), n),
-    }
+#: Classes of characters that are counted, and all of them together.
+CLASSES = {"pipes": "|", "symbols": r"%#$&*@^~=<>{}\[\]_\\+", "bangs": "!?", "digits": "0-9", "capitals": "A-Z", "stops": ".;:", "commas": ","}
+STATISTICS = ("log_words", "word_length", "distinct_words", "distinct_lines", "words_a_line", *CLASSES)
+
+
+def with_statistics(rows: DataFrame, text: Column, name: str = "s") -> tuple[DataFrame, dict[str, str]]:
+    """The rows with a column for each statistic of the text, called name and a number, and these names.
+
+    Each step is a projection of its own, since a shared expression under a
+    condition is not computed once: words and lines are split once, and classes
+    are counted in what is left when one pass has taken out a-z, white space and
+    all beyond ASCII.
+    """
+    carried = [F.col(f"`{c}`") for c in rows.columns]
+    own = F.coalesce(text.cast("string"), F.lit(""))
+    marks = F.regexp_replace(own, r"[^\x21-\x60\x7B-\x7E]+", "")
+    split = rows.select(*carried, F.length(own).alias(f"{name}_size"), F.array_remove(F.split(own, r"[\x20\x09-\x0D]+"), "").alias(f"{name}_words"), F.split(own, "\n").alias(f"{name}_lines"), marks.alias(f"{name}_marks"))
+    words, lines, left = (F.col(f"{name}_{x}") for x in ("words", "lines", "marks"))
+    counts = {"size": F.col(f"{name}_size"), "words": F.size(words), "lines": F.size(lines), "own_words": F.size(F.array_distinct(words)), "own_lines": F.size(F.array_distinct(lines))}
+    counts |= {k: F.length(left) - F.length(F.regexp_replace(left, f"[{c}]+", "")) for k, c in CLASSES.items()}
+    counted = split.select(*carried, *[c.cast("double").alias(f"{name}_{k}") for k, c in counts.items()])
+    n = {k: F.col(f"{name}_{k}") for k in counts}
+    shares = {
+        "log_words": F.log1p(n["words"]),
+        "word_length": _share(n["size"] - n["words"], n["words"]),
+        "distinct_words": _share(n["own_words"], n["words"]),
+        "distinct_lines": _share(n["own_lines"], n["lines"]),
+        "words_a_line": _share(n["words"], n["lines"]),
+    } | {k: _share(n[k], n["size" if k in ("digits", "capitals") else "words"]) for k in CLASSES}
+    names = {k: f"{name}_{i}" for i, k in enumerate(STATISTICS)}
+    return counted.select(*carried, *[c.alias(names[k]) for k, c in shares.items()]), names
 
 
 @dataclass(frozen=True)
@@ -196,27 +202,34 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model fitted on at most `sample` labelled rows that are not held out."""
+    """A model fitted on at most `sample` labelled rows that are not held out, of documents that share a labelled doc_id too."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id")))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)  # at most sample rows: small enough to send to every executor
-    stats = statistics(F.col("text"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", *[c.alias(k) for k, c in stats.items()]).collect()
+    found, stats = with_statistics(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), F.col("text"))
+    found = found.select("doc_id", "quality", *[F.col(c).alias(k) for k, c in stats.items()])
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *stats).limit(sample).collect()
     rows.sort(key=lambda r: tuple(r))
     x = np.array([r[2:] for r in rows], float).reshape(len(rows), len(stats))
     return fit_rules(x, np.array([r.quality for r in rows], float), tuple(stats))
 
 
+def _scored(rows: DataFrame, text: str, model: Model, name: str) -> DataFrame:
+    """The rows with their score, which leaves an explode: no filter on it passes that, so nothing is computed twice."""
+    stats, names = with_statistics(rows, F.col(text), name)
+    return stats.select(*[F.col(f"`{c}`") for c in rows.columns], F.explode(F.array(model.column({k: F.col(c) for k, c in names.items()}))).alias(name))
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    stats = {k: c for k, c in statistics(F.col("text")).items() if any(model.names[t[0]] == k for r in model.rules for t in r.terms)}
-    rows = spread(documents.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in stats.items()])
-    out = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column({k: F.col(k) for k in stats}).alias("score"))
-    return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    out = _scored(spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "text", model, "score")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
     """The documents, all their columns, whose score is at least `least`."""
     model = fit(documents, labels, sample)
-    stats = {f"_s{k}": c for k, c in enumerate(statistics(F.col("text")).values())}
-    names = documents.columns
-    return spread(documents).withColumns(stats).filter(model.column({n: F.col(f"_s{k}") for k, n in enumerate(model.names)}) >= least).select(*[F.col(f"`{c}`") for c in names])
+    # columns travel under numbers, so that theirs may have any names
+    rows = spread(documents).select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(documents.columns)])
+    text = next(f"c{k}" for k, c in enumerate(documents.columns) if c == "text")
+    good = _scored(rows, text, model, "score").filter(F.col("score") >= least)
+    return good.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(documents.columns)])

@@ -1,5 +1,6 @@
 """Mixing, URL filters, the quality classifier and the pipeline."""
 
+import re
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -112,12 +113,43 @@ def test_quality(spark):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
     assert len(held) > 60 and np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
     # the compiled expression is the model
-    stats = more.select(*[c.alias(k) for k, c in quality.statistics(F.col("text")).items()]).collect()
-    assert np.allclose(sorted(model.scores(np.array([tuple(r) for r in stats]))), sorted(r.score for r in out))
+    stats, names = quality.with_statistics(more.select("text"), F.col("text"))
+    assert np.allclose(sorted(model.scores(np.array([tuple(r) for r in stats.select(*names.values()).collect()]))), sorted(r.score for r in out))
     kept = quality.keep_good(docs, labels)
     assert kept.schema == docs.schema and 140 <= kept.count() <= 160
 
 
+def test_statistics(spark):
+    texts = ["", None, "One, two.  two|\n\nA1b2 (x)[y]!? é%é\n", " \t lead\x0btail \x85 ", "ÀB" * 5000 + " 7" * 4000, "\\+_^-&&~~"]
+    out, names = quality.with_statistics(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "s_0 long, text string"), F.col("text"), "x")
+    for r in out.collect():
+        t = texts[r.s_0] or ""
+        words, lines = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w], t.split("\n")
+        share = lambda a, b: a / b if b else 0.0
+        count = lambda marks: sum(c in marks for c in t)
+        want = [np.log1p(len(words)), share(len(t) - len(words), len(words)), share(len(set(words)), len(words)), share(len(set(lines)), len(lines)), share(len(words), len(lines))]
+        want += [share(count(m), len(words)) for m in ("|", "%#$&*@^~=<>{}[]_\\+", "!?")] + [share(count(m), len(t)) for m in ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")] + [share(count(m), len(words)) for m in (".;:", ",")]
+        assert np.allclose([r[names[k]] for k in quality.STATISTICS], want)
+
+
+def test_keep_good_and_names_that_clash(spark):
+    """Columns called like the statistics, and labelled doc_ids that very many rows share."""
+    docs, labels = labelled(spark)
+    odd = docs.select("doc_id", "text", F.concat(F.lit("v"), "doc_id").alias("_s0"), F.lit("y").alias("score_1"), F.lit("z").alias("a.b"), F.lit("w").alias("c1"), F.lit("q").alias("score"))
+    kept = quality.keep_good(odd, labels)
+    assert kept.schema == odd.schema and 140 <= kept.count() <= 160
+    assert all((r._s0, r.score_1, r["a.b"], r.c1, r.score) == (f"v{r.doc_id}", "y", "z", "w", "q") for r in kept.collect())
+    many = docs.unionByName(spark.range(3000).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("row "), "id").alias("text"), F.lit("x").alias("pipes"), F.lit(1.0).alias("score")))
+    seen = []
+    fit_rules = quality.fit_rules
+    quality.fit_rules = lambda x, y, names: seen.append(len(y)) or fit_rules(x, y, names)
+    try:
+        quality.fit(many, labels, sample=100)
+    finally:
+        quality.fit_rules = fit_rules
+    assert seen == [100]
+
+
 def test_quality_without_labels(spark):
     docs, labels = labelled(spark)
     assert {(r.score, r.predicted) for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {(0.5, 1)}
