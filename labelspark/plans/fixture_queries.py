@@ -89,13 +89,33 @@ _cases("title_numbers", "id int, title string", [
     (8, "Propriedades farmacodinâmicas", "5.1"), (9, "Propriedades farmacocinéticas", "5.2"), (10, "Sobredosagem", None), (11, "", None),
 ], "number", lambda: sec.number_of_title(c("title")))
 _cases("symbols", "id int, text string", [(1, " 5%", "≥ 5%"), (2, "16 g", "16 µg"), (3, "25 C", "25 °C"), (4, "ab", "a b"), (5, "plano", "plano")], "out", lambda: tx.translate_symbols(c("text")))
-_cases("group_labels", "id int, md string", [
-    (1, "Grupo farmacoterapêutico: 2.10 Analgésicos\n\nresto", "2.10"), (2, "Grupos farmacoterapêuticos: 3 . 4 . 2 Anti-hipertensores, código ATC: C09AA02", "3.4.2"), (3, "Classe farmacoterapêutica: Antibióticos\nbeta-\nlactâmicos", None), (4, "nada", None),
-], "code", lambda: sec.group_label(c("md"))["code"])
-_cases("group_label_texts", "id int, md string", [
-    (1, "Grupo farmacoterapêutico: 2.10 Analgésicos\n\nresto", "2.10 Analgésicos"), (2, "Grupos farmacoterapêuticos: 3 . 4 . 2 Anti-hipertensores, código ATC: C09AA02", "3.4.2 Anti-hipertensores"), (3, "Classe farmacoterapêutica: Antibióticos beta-\nlactâmicos", "Antibióticos betalactâmicos"),
-], "label", lambda: sec.group_label(c("md"))["label"])
-_cases("atc_in_text", "id int, md string", [(1, "código ATC: N02BE01", "N02BE01"), (2, "ATC N02 BE 01", "N02BE01"), (3, "sem", "")], "atc", lambda: sec.atc_in_text(c("md")))
+#: (text, label, code), as the reference's tests of the group label want them; where they state only a part, the rest follows its rules.
+_GROUPS = [
+    ("Grupo farmacoterapêutico: 2.9.3 Antidepressores.", "2.9.3 Antidepressores", "2.9.3"), ("Grupos farmacoterapêuticos: 2.9.1 – Sistema nervoso central.", "2.9.1 – Sistema nervoso central", "2.9.1"),
+    ("Classificação farmacoterapêutica: 8.3 - Hormonas da tiroide.", "8.3 - Hormonas da tiroide", "8.3"), ("Classe farmacoterapêutica: 6.6 - Suplementos enzimáticos.", "6.6 - Suplementos enzimáticos", "6.6"),
+    ("Categoria farmacoterapêutica: 6.6 - Suplementos enzimáticos.", "6.6 - Suplementos enzimáticos", "6.6"), ("Grupo fármaco-terapêutico: 4.3.1.2 antivitaminicos K", "4.3.1.2 antivitaminicos K", "4.3.1.2"),
+    ("Grupo Fármaco - Terapêutico: 7.4.2.1 Aparelho geniturinário.", "7.4.2.1 Aparelho geniturinário", "7.4.2.1"), ("Grupo Fármaco-Terapêutico 4.3.1.2 antivitaminicos K", "4.3.1.2 antivitaminicos K", "4.3.1.2"),
+    ("5.1 Propriedades farmacodinâmicas\n\nClassificação farmacoterapêutica: 8.5.1.2 - Hormonas e medicamentos\nusados no tratamento das doenças endócrinas. Hormonas sexuais.\nEstrogénios e progestagénios.\nCódigo ATC: G03AA10\n",
+        "8.5.1.2 - Hormonas e medicamentos usados no tratamento das doenças endócrinas. Hormonas sexuais. Estrogénios e progestagénios", "8.5.1.2"),
+    ("Grupo farmacoterapêutico: 2.9.3 Antidepressores. Código ATC: N06AB06", "2.9.3 Antidepressores", "2.9.3"),
+    ("Classificação Farmacoterapêutica: Preparações antiglaucomatosas, dorzolamidaCódigo ATC: S01EC03", "Preparações antiglaucomatosas, dorzolamida", None),
+    ("5.1 Propriedades farmacodinâmicas\nCódigo ATC: G04B\nGrupo fármaco-terapêutico: VIII-4 Acidificantes e alcalinizantes\n", "VIII-4 Acidificantes e alcalinizantes", None),
+    ("Grupo farmacoterapêutico: 10.1.1 – Medicação antialérgica. Anti-\nhistamínicos H1 sedativos.\n", "10.1.1 – Medicação antialérgica. Anti-histamínicos H1 sedativos", "10.1.1"),
+    ("Grupo farmacoterapêutico: 2.9.3 Antidepressores.\n\nA sertralina é um inibidor selectivo da recaptação da serotonina.\n", "2.9.3 Antidepressores", "2.9.3"),
+    ("Grupo farmacoterapêutico: 8.5.1.2 Hormonas", "8.5.1.2 Hormonas", "8.5.1.2"), ("Grupo farmacoterapêutico: 3.7 Antidislipidémicos", "3.7 Antidislipidémicos", "3.7"), ("Classe farmacoterapêutica: Laxantes osmóticos", "Laxantes osmóticos", None),
+    ("5.1 Propriedades farmacodinâmicas\n\nA substância…", None, None), ("", None, None),
+    ("Grupo farmacoterapêutico: 4 . 1 . 2 -Sangue . Antianémicos . Medicamentos para tratamento das anemias megaloblásticas\n\nCódigo ATC: B03BB01", "4.1.2 -Sangue. Antianémicos. Medicamentos para tratamento das anemias megaloblásticas", "4.1.2"),
+    ("Grupo farmacoterapêutico: 8 .5 .1 .2 Hormonas", "8.5.1.2 Hormonas", "8.5.1.2"), ("Grupo farmacoterapêutico: 2. 9. 3 Psicofármacos", "2.9.3 Psicofármacos", "2.9.3"), ("Grupo farmacoterapêutico: 4 .1. 2 Sangue", "4.1.2 Sangue", "4.1.2"),
+    ("Grupo farmacoterapêutico: 6.2.2.3 Aparelho digestivo", "6.2.2.3 Aparelho digestivo", "6.2.2.3"), ("Grupo farmacoterapêutico: 2.12 Analgésicos estupefacientes", "2.12 Analgésicos estupefacientes", "2.12"),
+    ("Grupo farmacoterapêutico: 6.2.2.3. Aparelho Digestivo . Antiácidos e antiulcerosos. Inibidores da bomba de protões", "6.2.2.3. Aparelho Digestivo. Antiácidos e antiulcerosos. Inibidores da bomba de protões", "6.2.2.3"),
+    ("Classe farmacoterapêutica: Antibióticos beta-\nlactâmicos", "Antibióticos beta-lactâmicos", None), ("Grupo farmacoterapêutico: x,y;z", "x, y; z", None), (None, None, None),
+]
+_cases("group_labels", "id int, md string", [(k, t, n) for k, (t, _, n) in enumerate(_GROUPS)], "code", lambda: sec.group_label(c("md"))["code"])
+_cases("group_label_texts", "id int, md string", [(k, t, n) for k, (t, n, _) in enumerate(_GROUPS)], "label", lambda: sec.group_label(c("md"))["label"])
+_cases("atc_in_text", "id int, md string", [
+    (1, "código ATC: N02BE01", "N02BE01"), (2, "ATC N02 BE 01", ""), (3, "sem", ""), (4, "CódigoATC: N02BE01", "N02BE01"), (5, "ATC - n02b E01.", "N02BE01"), (6, "Código ATC: G04B\nGrupo fármaco", ""), (7, None, ""), (8, "ATC:\n C09AA02, ATC: N02BE01", "C09AA02"),
+], "atc", lambda: sec.atc_in_text(c("md")))
+_cases("printed_codes", "id int, md string", [(1, "ATC: N02B E01", "N02B E01"), (2, "ATC", None), (3, "atc n02be01", "n02be01")], "code", lambda: sec.printed_code(c("md")))
 _cases("section_keys", "id int, numero string, titulo string", [(1, "4.2", "x", "4.2 Posologia e modo de administração"), (2, "6.1", "Excipientes", "6.1 Excipientes"), (3, None, "Título", "Título")], "key", lambda: sec.section_key(c("numero"), c("titulo")))
 _cases("medicine_names", "id int, md string", [(1, "# 1. NOME\n\n Ben-u-ron \n# 2. COMP\nx", "Ben-u-ron"), (2, "sem", "")], "name", lambda: sec.medicine_name(c("md")))
 _cases("top_sections", "id int, md string", [(1, "# 1. A\na\n# 2. B\nb1\nb2\n# 3. C\nc", "b1\nb2\n"), (2, "# 2. B\nfim", "fim")], "text", lambda: sec.top_section(c("md"), 2))
