@@ -4,20 +4,24 @@ Largest inner product becomes least distance once each vector gets one more
 component that lifts all to the largest norm. Gaussian (2-stable) projections
 to M dimensions then keep distances in the sense that the ratio of squared
 projected to squared true distance is chi-square with M degrees of freedom. A
-kd-tree yields projected neighbours box by box, nearest first; each is verified
-on the original vectors, and the search stops when every later point, were it
-nearer than the present k-th neighbour, would have been projected so far away
-with a probability below 1 - P only.
+kd-tree yields projected neighbours, nearest first; each is verified on the
+original vectors, and the search stops at the first whose projected distance a
+vector nearer than the present k-th neighbour would exceed with a probability
+below 1 - P only.
 
 The index is a coarse kd-tree over a bounded sample, whose leaves are shards,
-and a kd-tree of its own in each shard; every vector is indexed. A query first
-searches its own shard, then all those that the stopping test does not rule out.
+and a kd-tree of its own in each shard; every vector is indexed, and a shard of
+too many vectors is dealt out in pieces. A query searches its own shard, then,
+in rounds of one, two, four and so on, the nearest of those that the stopping
+test does not rule out; each round hands the k-th score on to the next.
 
 Defined results: vectors that are null, zero or hold a null or non-finite
 component take no part, nor do rows without vec_id; shorter vectors are filled
 up with zeros; a query never finds rows of its own vec_id; identical vectors
-share one place in the index and come out by vec_id; an empty table gives an
-empty table; labels and other columns are not read.
+share one place in the index and come out by vec_id, repeated rows repeatedly;
+query rows that repeat both vec_id and vector are one query, those that share
+only the vec_id are queries of their own under one query_id; an empty table
+gives an empty table; labels and other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from labelspark.llm.common import batch, bound_batches, longs, materialize, partitions
 from labelspark.llm.vector_dedup import matrix, valid_vector
 
-K, M, P, SEED = 20, 10, 0.97, 20240229
+K, M, P, SEED = 20, 15, 0.92, 20240229
 #: Vectors a shard is meant to hold; rows of the sample that places the shards' borders, and so a bound on their number.
 SHARD, SAMPLE = 16_384, 32_768
 #: Queries that visit one copy of a shard; a shard that more visit is copied.
@@ -124,32 +128,41 @@ def place(points: np.ndarray, nodes) -> np.ndarray:
 
 
 class Shard:
-    """Vectors, their projections, and the kd-tree's leaves and boxes."""
+    """Vectors, their projections, and the kd-tree's leaves and boxes. It counts the vectors it verifies."""
 
     def __init__(self, x: np.ndarray, ids: list, projected: np.ndarray):
         leaves = split(projected, LEAF)
         order = np.concatenate(leaves)
-        self.x, self.ids = x[order], [ids[k] for k in order]
-        self.least = np.array([i[0] for i in self.ids], np.int64)
+        self.x, self.p, self.ids = x[order], projected[order], [ids[k] for k in order]
         self.ends = np.cumsum([len(x) for x in leaves])
         self.starts = self.ends - [len(x) for x in leaves]
         self.low = np.array([projected[rows].min(axis=0) for rows in leaves])
         self.high = np.array([projected[rows].max(axis=0) for rows in leaves])
+        self.verified = 0
 
-    def search(self, q: np.ndarray, far: np.ndarray, own: int, norm: float, k: int, stop: float, known: float) -> tuple[list, list]:
-        """Scores and ids of the k best of this shard; known: the k-th score from elsewhere, or -inf."""
+    def search(self, q: np.ndarray, p: np.ndarray, far: np.ndarray, own: int, norm: float, k: int, stop: float, known: float) -> tuple[list, list]:
+        """Scores and ids of the k best of this shard; p: the query's projection, far: its squared distances to the boxes, known: the k-th score from elsewhere, or -inf."""
         best, rows, kth = np.empty(0), np.empty(0, np.int64), known
         square = float(q @ q) + norm * norm
-        order = np.argsort(far, kind="stable")
-        step = 8
-        for at in range(0, len(order), step):
-            if kth > -np.inf and far[order[at]] > stop * max(square - 2 * kth, 0):
-                break
-            new = np.concatenate([np.arange(self.starts[j], self.ends[j]) for j in order[at : at + step]])
-            score = self.x[new] @ q
-            fine = score >= kth
-            if fine.any():
-                best, rows = np.r_[best, score[fine]], np.r_[rows, new[fine]]
+        boxes, at, step = np.argsort(far, kind="stable"), 0, 8
+        while at < len(boxes) and (kth == -np.inf or far[boxes[at]] <= stop * max(square - 2 * kth, 0)):
+            new = np.concatenate([np.arange(self.starts[j], self.ends[j]) for j in boxes[at : at + step]])
+            at, step = at + step, 2 * step
+            away = self.p[new] - p
+            away = np.einsum("ij,ij->i", away, away)
+            order = np.argsort(away, kind="stable")
+            new, away = new[order], away[order]
+            i, n = 0, 2 * k
+            while i < len(new):
+                # the stopping test on each projected neighbour: those behind the first that fails it are further away still
+                end = len(new) if kth == -np.inf else int(np.searchsorted(away, stop * max(square - 2 * kth, 0), side="right"))
+                part, i, n = new[i : min(end, i + n)], i + n, 2 * n
+                if not len(part):
+                    break
+                self.verified += len(part)
+                score = self.x[part] @ q
+                fine = score >= kth
+                best, rows = np.r_[best, score[fine]], np.r_[rows, part[fine]]
                 if len(best) > k:
                     # one place more than k: the query's own vector may be among them
                     top = np.partition(best, len(best) - k - 1)[len(best) - k - 1]
@@ -183,19 +196,20 @@ def _placed(dim: int, norm: float, nodes, query: bool):
 
 
 _PLACED = "shard int, ids array<long>, embedding array<double>, p array<double>"
-_FOUND = "query_id long, vec_id long, score double, shard int"
+_FOUND = "query long, query_id long, vec_id long, score double"
+_SENT = ("shard", "copy", "kind", "ids", "embedding", "p", "known", "query")
 
 
 def _searched(dim: int, norm: float, k: int, stop: float):
     """Of rows sorted by shard and copy, vectors (kind 0) before queries (kind 1): the best of each query in that shard."""
 
     def run(batches):
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("shard", pa.int32())])
+        schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         now, held, shard = None, [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            at, copy, kind = (b.column(c).to_numpy() for c in range(3))
+            at, copy, kind, query = (b.column(c).to_numpy() for c in (0, 1, 2, 7))
             x, p = matrix(b.column(4), dim), matrix(b.column(5), M)
             cuts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (copy[1:] != copy[:-1])])
             for i, j in zip(cuts, np.r_[cuts[1:], len(at)], strict=True):
@@ -210,22 +224,40 @@ def _searched(dim: int, norm: float, k: int, stop: float):
                         held = [held[0]]
                     far = _distances(p[cut:j], shard.low, shard.high)
                     ids, known = b.column(3).slice(cut, j - cut).to_pylist(), b.column(6).slice(cut, j - cut).to_numpy(zero_copy_only=False)
-                    out = ([], [], [])
+                    out = ([], [], [], [])
                     for n in range(j - cut):
-                        scores, found = shard.search(x[cut + n], far[n], ids[n][0], norm, k, stop, known[n])
-                        out[0].extend(ids[n] * len(found))
-                        out[1].extend(found)
-                        out[2].extend(scores)
-                    yield batch(schema, longs(out[0]), longs(out[1]), out[2], np.full(len(out[0]), at[i], np.int32))
+                        scores, found = shard.search(x[cut + n], p[cut + n], far[n], ids[n][0], norm, k, stop, known[n])
+                        for column, values in zip(out, ([query[cut + n]] * len(found), ids[n] * len(found), found, scores), strict=True):
+                            column.extend(values)
+                    yield batch(schema, *map(longs, out[:3]), out[3])
 
     return run
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _onward(low: np.ndarray, high: np.ndarray, shards: list[int], dim: int, norm: float, stop: float, first: int, last: int):
+    """Each query with the shards that are, but for its own, its first to last nearest and that the stopping test does not rule out."""
+    numbers = np.array(shards, np.int32)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, p, known, home = matrix(b.column(2), dim), matrix(b.column(3), M), b.column(4).to_numpy(), b.column(0).to_numpy()
+            far = _distances(p, low, high)
+            far[home[:, None] == numbers] = np.inf
+            near = np.argsort(far, axis=1, kind="stable")[:, first:last]
+            reach = stop * np.maximum((x * x).sum(axis=1) + norm * norm - 2 * known, 0)
+            q, c = np.nonzero((d := np.take_along_axis(far, near, axis=1)) <= np.where(np.isfinite(d), reach[:, None], -1))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[near[q, c]]), *[column.take(pa.array(q)) for column in b.columns[1:]]], names=b.schema.names)
+
+    return run
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, p: float = P) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries (vec_id, embedding) up to k rows of vectors with the largest inner products found."""
     spark = vectors.sparkSession
@@ -247,40 +279,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, p: float = P) ->
     points = [r.p for r in sample.mapInArrow(_placed(dim, norm, [], False), _PLACED).select("p").collect()]
     nodes = borders(np.array(points), min(size.n // SHARD + 1, len(points) // 8 + 1)) if points else []
     index = materialize(places.mapInArrow(_placed(dim, norm, nodes, False), _PLACED))
-    boxes = index.select("shard", F.posexplode("p").alias("d", "x")).groupBy("shard", "d").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect()
+    boxes = index.select("shard", F.posexplode("p").alias("d", "x")).groupBy("shard", "d").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).collect()
     shards = sorted({r.shard for r in boxes})
     low, high = np.zeros((len(shards), M)), np.zeros((len(shards), M))
     row_of = {s: i for i, s in enumerate(shards)}
+    # what no worker holds at once is dealt out; every query of the shard visits all its pieces
+    pieces = {r.shard: -(-r.n // (2 * SHARD)) for r in boxes if r.n > 2 * SHARD}
     for r in boxes:
         low[row_of[r.shard], r.d], high[row_of[r.shard], r.d] = r.low, r.high
-    asked = rows(queries).select(F.array("vec_id").alias("ids"), "embedding").mapInArrow(_placed(dim, norm, nodes, True), _PLACED)
-    asked = materialize(asked.withColumn("known", F.lit(float("-inf"))))
+    asked = rows(queries).dropDuplicates(["vec_id", "embedding"]).select(F.array("vec_id").alias("ids"), "embedding").mapInArrow(_placed(dim, norm, nodes, True), _PLACED)
+    asked = materialize(asked.withColumn("known", F.lit(float("-inf"))).withColumn("query", F.monotonically_increasing_id()))
+
+    def by_shard(values: dict[int, int], otherwise: int):
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("shard")), F.lit(otherwise)) if values else F.lit(otherwise)
 
     def search(visits: DataFrame) -> DataFrame:
         """visits: rows of asked, each with the shard it visits."""
         counts = {r.shard: -(-r["count"] // VISITS) for r in visits.groupBy("shard").count().collect()}
-        copies = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("shard")), F.lit(0)) if counts else F.lit(0)
-        held = index.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-        held = held.select("shard", F.col("copy").cast("int").alias("copy"), F.lit(0).alias("kind"), "ids", "embedding", "p", F.lit(0.0).alias("known"))
-        sent = visits.withColumn("copy", F.pmod(F.xxhash64("ids"), F.greatest(copies, F.lit(1)).cast("long")).cast("int")).select("shard", "copy", F.lit(1).alias("kind"), "ids", "embedding", "p", "known")
-        both = held.unionByName(sent).repartition(partitions(spark), "shard", "copy").sortWithinPartitions("shard", "copy", "kind").select("shard", "copy", "kind", "ids", "embedding", "p", "known")
-        return both.mapInArrow(_searched(dim, norm, k, stop), _FOUND)
-
-    at_home = materialize(search(asked))
-    if len(shards) == 1:
-        return _best(at_home, k).select("query_id", "rank", "vec_id", "score")
-    kth = at_home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    onward = asked.withColumn("query_id", F.col("ids")[0]).join(kth, "query_id", "left").withColumn("known", F.coalesce("kth", F.lit(float("-inf"))))
-
-    def others(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, pr, known, home = matrix(b.column(2), dim), matrix(b.column(3), M), b.column(4).to_numpy(), b.column(0).to_numpy()
-            reach = stop * np.maximum((x * x).sum(axis=1) + norm * norm - 2 * known, 0)
-            there = (_distances(pr, low, high) <= reach[:, None]) & (home[:, None] != np.array(shards)[None, :])
-            q, s = np.nonzero(there)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(shards, np.int32)[s]), *[c.take(pa.array(q)) for c in b.columns[1:]]], names=b.schema.names)
-
-    visits = onward.select("shard", "ids", "embedding", "p", "known").mapInArrow(others, "shard int, ids array<long>, embedding array<double>, p array<double>, known double")
-    return _best(at_home.unionByName(search(materialize(visits))), k).select("query_id", "rank", "vec_id", "score")
+        copies, split_in = by_shard(counts, 0), by_shard(pieces, 1)
+        # of a shard in pieces, copy c of piece i is copy c * pieces + i
+        held = index.filter(copies > 0).withColumn("c", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)))))
+        held = held.withColumn("copy", ((F.col("c") - 1) * split_in + F.pmod(F.xxhash64("ids"), split_in.cast("long"))).cast("int"))
+        held = held.select("shard", "copy", F.lit(0).alias("kind"), "ids", "embedding", "p", F.lit(0.0).alias("known"), F.lit(0).cast("long").alias("query"))
+        own = F.pmod(F.xxhash64("query"), F.greatest(copies, F.lit(1)).cast("long")).cast("int")
+        sent = visits.withColumn("copy", F.explode(F.transform(F.sequence(F.lit(0), split_in - 1), lambda i: (own * split_in + i).cast("int"))) if pieces else own)
+        sent = sent.select("shard", "copy", F.lit(1).alias("kind"), "ids", "embedding", "p", "known", "query")
+        both = held.unionByName(sent).repartition(partitions(spark), "shard", "copy").sortWithinPartitions("shard", "copy", "kind").select(*_SENT)
+        return materialize(both.mapInArrow(_searched(dim, norm, k, stop), _FOUND))
+
+    found, first, width = search(asked), 0, 1
+    while first < len(shards) - 1:
+        kth = _best(found, k).groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+        onward = asked.drop("known").join(kth, "query", "left").select("shard", "ids", "embedding", "p", F.coalesce("kth", F.lit(float("-inf"))).alias("known"), "query")
+        visits = materialize(onward.mapInArrow(_onward(low, high, shards, dim, norm, stop, first, first + width), "shard int, ids array<long>, embedding array<double>, p array<double>, known double, query long"))
+        found, first, width = found.unionByName(search(visits)), first + width, 2 * width
+    return _best(found, k).select("query_id", "rank", "vec_id", "score")

@@ -5,8 +5,15 @@ nearest pivot. A vector also visits every other cell in which something within
 the radius can live: its angle to that pivot may exceed neither the cell's
 widest home angle plus the radius nor its own home angle plus twice the radius
 (triangle inequality), and it may lie no further than the radius's chord beyond
-the plane half-way between both pivots. Cells are then joined independently,
-home vectors in bounded blocks against the cell's stream of members.
+the plane half-way between both pivots. For a few reference pivots each cell
+also keeps its least and greatest home angle; a visitor must come within the
+radius of all these spans. Cells are then joined independently, home vectors in
+bounded blocks against the cell's stream of members.
+
+Pivots are a bounded sample's vectors that lie far apart. Into how many cells
+they part the vectors follows from what the bounds rule out on that sample:
+where they rule out little, few large cells in large blocks copy each vector
+less often than many small ones. No result depends on it.
 
 Identical vectors are one class with a count; all links between different
 vectors are compared in double precision.
@@ -29,10 +36,12 @@ from labelspark.llm.common import batch, bound_batches, longs, materialize, part
 from labelspark.llm.components import components
 
 THRESHOLD = 0.9
-#: Vectors a cell is meant to hold, and the most pivots; pivots are a sample, no result depends on it.
-CELL, MAX_PIVOTS = 4096, 2048
-#: Home vectors that one task holds at a time, and members compared with them at once.
-BLOCK, STEP = 8192, 512
+#: Vectors that the smallest cells are meant to hold, the most pivots, the vectors they are chosen from, and pivots whose spans each cell keeps.
+CELL, MAX_PIVOTS, SAMPLE, REFERENCES = 4096, 2048, 16_384, 16
+#: A block of home vectors grows with the root of their number, so that the copies of a vector do too: the least block, its growth, and the bytes that one may take.
+BLOCK, GROWTH, HELD = 8192, 36, 256 << 20
+#: Members compared with a block at once, and how many of its dot products a copy that is sent costs.
+STEP, COPY = 512, 4096
 #: A single-precision dot product of unit vectors is at most so far off; nearer pairs are compared in double precision.
 MARGIN = 1e-4
 
@@ -63,19 +72,52 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ pivots.T, -1, 1))
 
 
-def _homes(pivots: np.ndarray):
+def far_apart(sample: np.ndarray, k: int) -> np.ndarray:
+    """k of the unit vectors, each the one that lies furthest from those before."""
+    chosen, nearest = [0], sample @ sample[0]
+    while len(chosen) < min(k, len(sample)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, sample @ sample[chosen[-1]])
+    return sample[chosen]
+
+
+def _spans(pivots: np.ndarray):
+    """For each cell and reference pivot the least and greatest angle of the cell's home vectors; reference -1 is the cell's own pivot."""
+
     def run(batches):
-        schema = pa.schema([("cell", pa.int32()), ("angle", pa.float64())])
+        schema = pa.schema([("cell", pa.int32()), ("ref", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("n", pa.int64())])
         for b in batches:
             if b.num_rows:
-                a = _angles(unit(matrix(b.column(0), pivots.shape[1])), pivots)
-                home = a.argmin(axis=1)
-                yield batch(schema, home.astype(np.int32), a[np.arange(len(a)), home])
+                yield batch(schema, *spans(unit(matrix(b.column(0), pivots.shape[1])), pivots))
 
     return run
 
 
-def visits(x: np.ndarray, pivots: np.ndarray, widest: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+def spans(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, ...]:
+    a = _angles(x, pivots)
+    home = a.argmin(axis=1)
+    a = np.c_[a[np.arange(len(a)), home], a[:, :REFERENCES]]
+    cells, at = np.unique(home, return_inverse=True)
+    low, high = np.full((len(cells), a.shape[1]), np.inf), np.full((len(cells), a.shape[1]), -np.inf)
+    np.minimum.at(low, at, a)
+    np.maximum.at(high, at, a)
+    refs = np.arange(a.shape[1]) - 1
+    return np.repeat(cells, len(refs)).astype(np.int32), np.tile(refs, len(cells)).astype(np.int32), low.ravel(), high.ravel(), np.repeat(np.bincount(at), len(refs)).astype(np.int64)
+
+
+def bounds(rows, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (cell, ref, low, high, n): each cell's widest angle to its pivot, its spans by reference pivot, and how many are at home."""
+    widest, counts = np.zeros(k), np.zeros(k, np.int64)
+    low, high = np.full((k, min(k, REFERENCES)), np.inf), np.full((k, min(k, REFERENCES)), -np.inf)
+    for cell, ref, least, most, n in rows:
+        if ref < 0:
+            widest[cell], counts[cell] = most, n
+        else:
+            low[cell, ref], high[cell, ref] = least, most
+    return widest, low, high, counts
+
+
+def visits(x: np.ndarray, pivots: np.ndarray, widest: np.ndarray, low: np.ndarray, high: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """Home cell of each unit vector, and for each cell whether the vector belongs to it, at home or as a visitor."""
     slack, dots = 1e-7, x @ pivots.T
     a = np.arccos(np.clip(dots, -1, 1))
@@ -85,11 +127,36 @@ def visits(x: np.ndarray, pivots: np.ndarray, widest: np.ndarray, radius: float)
     apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 1e-18))[home]
     beyond = (dots[own, home][:, None] - dots) / apart  # from the plane half-way between both pivots
     there &= beyond <= 2 * np.sin(radius / 2) + slack
+    for ref in range(low.shape[1]):
+        there &= (a[:, ref, None] >= low[:, ref] - radius - slack) & (a[:, ref, None] <= high[:, ref] + radius + slack)
     there[own, home] = True
     return home, there
 
 
-def _members(pivots: np.ndarray, widest: np.ndarray, blocks: np.ndarray, radius: float, kind: str):
+def block_size(n: int, dim: int) -> int:
+    return int(min(max(BLOCK, GROWTH * n**0.5), max(HELD // (12 * dim), 1)))
+
+
+def choose_cells(sample: np.ndarray, n: int, cell: int, radius: float) -> np.ndarray:
+    """Pivots for n vectors like those of the sample: of several numbers of cells the one whose copies and comparisons cost least on it."""
+    most = int(min(max(1, n // cell), MAX_PIVOTS, len(sample)))
+    pivots, best = far_apart(sample, most), None
+    tried, block = sample[:2048], block_size(n, sample.shape[1])
+    k = most
+    while True:
+        # home vectors decide the bounds, so these are the sample's own and a little too tight; that costs nothing but a worse choice
+        widest, low, high, counts = bounds(zip(*(x.tolist() for x in spans(sample, pivots[:k])), strict=True), k)
+        _, there = visits(tried, pivots[:k], widest, low, high, radius)
+        size = counts * (n / len(sample))
+        cost = float((there * (size + COPY * np.ceil(size / block))).sum(axis=1).mean())
+        if best is None or cost < best[0]:
+            best = cost, k
+        if k == 1:
+            return pivots[: best[1]]
+        k = max(1, k // 4)
+
+
+def _members(pivots: np.ndarray, widest: np.ndarray, low: np.ndarray, high: np.ndarray, blocks: np.ndarray, radius: float, kind: str):
     """Each vector once at home, in one block of its cell, and once for each block of each cell that it must be compared in; vectors travel as bytes."""
 
     def run(batches):
@@ -99,7 +166,7 @@ def _members(pivots: np.ndarray, widest: np.ndarray, blocks: np.ndarray, radius:
                 continue
             ids, n = b.column(0).to_numpy(), b.column(1).to_numpy()
             raw = matrix(b.column(2), pivots.shape[1])
-            home, there = visits(unit(raw), pivots, widest, radius)
+            home, there = visits(unit(raw), pivots, widest, low, high, radius)
             packed = np.array([x.tobytes() for x in raw.astype(kind)], object)
             row, cell = np.nonzero(there)
             times = blocks[cell]
@@ -192,14 +259,13 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, cell: int
     rest = rows.filter(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not size.n:
         return rest
-    k = int(min(max(1, size.n // cell), MAX_PIVOTS))
-    sample = [r.embedding for r in classes.orderBy(F.xxhash64("least"), "least").limit(k).select("embedding").collect()]
-    pivots = unit(np.array([x + [0.0] * (size.dim - len(x)) for x in sample]))
+    sample = [r.embedding for r in classes.orderBy(F.xxhash64("least"), "least").limit(SAMPLE).select("embedding").collect()]
     radius = float(np.arccos(threshold))
-    widest, blocks = np.zeros(k), np.ones(k, np.int64)
-    for r in classes.select("embedding").mapInArrow(_homes(pivots), "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("a"), F.count("*").alias("n")).collect():
-        widest[r.cell], blocks[r.cell] = r.a, -(-r.n // BLOCK)
-    members = classes.select("id", "n", "embedding").mapInArrow(_members(pivots, widest, blocks, radius, kind), "cell int, block int, guest int, id long, n long, v binary")
+    pivots = choose_cells(unit(np.array([x + [0.0] * (size.dim - len(x)) for x in sample])), size.n, cell, radius)
+    found = classes.select("embedding").mapInArrow(_spans(pivots), "cell int, ref int, low double, high double, n long").groupBy("cell", "ref").agg(F.min("low"), F.max("high"), F.sum("n")).collect()
+    widest, low, high, counts = bounds(found, len(pivots))
+    blocks = np.maximum(-(-counts // block_size(size.n, size.dim)), 1)
+    members = classes.select("id", "n", "embedding").mapInArrow(_members(pivots, widest, low, high, blocks, radius, kind), "cell int, block int, guest int, id long, n long, v binary")
     dealt = members.repartition(partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "guest")
     found = materialize(dealt.mapInArrow(_join(kind, size.dim, threshold), "kind int, u long, v long"))
     links = found.filter("kind = 0").groupBy(F.col("u").alias("id")).agg(F.sum("v").alias("links"))

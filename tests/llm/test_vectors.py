@@ -63,22 +63,65 @@ def test_visits_lose_no_pair():
     radius = float(np.arccos(0.9))
     angles = np.arccos(np.clip(x @ pivots.T, -1, 1))
     home = angles.argmin(axis=1)
-    widest = np.array([angles[home == c, c].max(initial=0) for c in range(len(pivots))])
-    found, there = vector_dedup.visits(x, pivots, widest, radius)
-    assert (found == home).all() and there.sum() < 0.9 * there.size
+    widest, low, high, counts = vector_dedup.bounds(zip(*(c.tolist() for c in vector_dedup.spans(x, pivots)), strict=True), len(pivots))
+    assert np.allclose(widest, [angles[home == c, c].max(initial=0) for c in range(len(pivots))]) and (counts == np.bincount(home, minlength=len(pivots))).all()
+    found, there = vector_dedup.visits(x, pivots, widest, low, high, radius)
+    assert (found == home).all() and there.sum() < 0.6 * there.size
     a, b = np.nonzero(x @ x.T >= 0.9)
     assert there[b, home[a]].all()
 
 
+def test_cells_follow_what_the_bounds_rule_out():
+    """Tight clusters get many cells and few copies; vectors without clusters get few cells, and copies grow with the root of their number."""
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((40, 64))
+    tight = vector_dedup.unit(np.repeat(centres, 100, axis=0) + rng.standard_normal((4000, 64)) * 0.1)
+    rng.shuffle(tight)
+    loose = vector_dedup.unit(rng.standard_normal((4000, 64)))
+    radius = float(np.arccos(0.9))
+    pivots = vector_dedup.choose_cells(tight, 1_000_000, 4096, radius)
+    widest, low, high, _ = vector_dedup.bounds(zip(*(c.tolist() for c in vector_dedup.spans(tight, pivots)), strict=True), len(pivots))
+    assert len(pivots) >= 15 and vector_dedup.visits(tight, pivots, widest, low, high, radius)[1].mean() < 0.25
+    assert len(vector_dedup.choose_cells(loose, 1_000_000, 4096, radius)) <= 4
+    copies = [n / vector_dedup.block_size(n, 64) for n in (10**6, 10**8)]
+    assert copies[1] <= 11 * copies[0]
+
+
+def test_repeated_queries(spark):
+    """A repeated query row is one query; rows that share an id but no vector are two."""
+    df = spark.createDataFrame([(20 + k, [1.0, float(k)], 0, 0) for k in range(30)], SCHEMA)
+    twice = df.filter("vec_id = 20").unionByName(df.filter("vec_id = 20"))
+    out = ann.nearest(df, twice).collect()
+    assert len(out) == 20 and len({r.vec_id for r in out}) == 20
+    other = twice.unionByName(spark.createDataFrame([(20, [0.0, 1.0], 5, 5)], SCHEMA))
+    assert len(ann.nearest(df, other).collect()) == 40
+
+
+def test_search_stops(spark):
+    """On vectors without clusters the stopping test leaves a good part unverified."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 64))
+    norm = float(np.sqrt((x * x).sum(axis=1)).max())
+    directions = ann.projection(64)
+    shard = ann.Shard(x, [[k] for k in range(3000)], ann.lifted(x, norm) @ directions)
+    for k in range(40):
+        p = np.r_[x[k], 0] @ directions
+        shard.search(x[k], p, ann._distances(p[None], shard.low, shard.high)[0], k, norm, 20, ann.chi2_quantile(ann.P, ann.M), -np.inf)
+    assert shard.verified < 0.85 * 40 * 3000
+
+
 def test_chi_square():
     assert ann.chi2_cdf(3.841459, 1) == pytest.approx(0.95, abs=1e-6)
     assert ann.chi2_cdf(18.307038, 10) == pytest.approx(0.95, abs=1e-6)
     assert ann.chi2_quantile(0.95, 10) == pytest.approx(18.307038, abs=1e-5)
 
 
-@pytest.mark.parametrize("shard", [100, 100_000])
-def test_nearest(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "leaves"), [(100, 64), (100_000, 64), (60, 2)])
+def test_nearest(spark, monkeypatch, shard, leaves):
+    """leaves 2: fewer shards than their size asks for, so that they are dealt out in pieces."""
     monkeypatch.setattr(ann, "SHARD", shard)
+    own = ann.borders
+    monkeypatch.setattr(ann, "borders", lambda points, n: own(points, min(n, leaves)))
     monkeypatch.setattr(ann, "VISITS", 20)
     rows = vectors()
     good = usable(rows)
