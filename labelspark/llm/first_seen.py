@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +15,44 @@ from labelspark.llm.common import batch, longs, materialize, partitions
 KEY = ("h1", "h2", "doc_id", "pos")
 _EMITTED = "kind int, part int, h1 long, h2 long, doc_id long, pos long"
 DROP, PENDING, HEAD, TAIL = 0, 1, 2, 3
+#: Rows of the source, and rows a partition made of them, from which borders are read. They decide how even partitions are, and no result.
+SAMPLE, PER_PART = 2048, 100
+
+
+def places(keys: list[np.ndarray], borders: list[np.ndarray]) -> np.ndarray:
+    """How many of the sorted borders, tuples over the same columns, are at most as large as each key."""
+    low, high = (np.searchsorted(borders[0], keys[0], side) for side in ("left", "right"))
+    if len(keys) == 1:
+        return high
+    for value in np.unique(keys[0][low < high]):
+        rows = np.flatnonzero(keys[0] == value)
+        i, j = low[rows[0]], high[rows[0]]
+        low[rows] = i + places([k[rows] for k in keys[1:]], [b[i:j] for b in borders[1:]])
+    return low
+
+
+def ranged(schema: pa.Schema, columns: list[np.ndarray], borders: list[np.ndarray] | None) -> pa.RecordBatch:
+    """A batch of the columns, all of them keys, and of their partition, which comes last in the schema."""
+    part = np.zeros(len(columns[0]), np.int64) if borders is None else places(columns, borders)
+    return batch(schema, *map(longs, columns), part.astype(np.int32))
+
+
+def by_range(source: DataFrame, emit: Callable, keys: tuple[str, ...]) -> DataFrame:
+    """The rows (keys, all long and not null) that emit makes of the source (doc_id, mark, ...), in partitions by range and sorted inside by all keys.
+
+    emit takes borders, or None, and gives a function for mapInArrow whose rows
+    end in their partition. Borders come from a bounded sample of the source, so
+    the rows are made once; Spark's own range exchange would make them twice.
+    """
+    parts = partitions(source.sparkSession)
+    schema = ", ".join(f"{k} long" for k in keys) + ", part int"
+    size = SAMPLE + 8 * parts
+    some = source.filter(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(max(source.count(), 1))) < size)
+    seen = some.mapInArrow(emit(None), schema).orderBy(F.xxhash64(*keys)).limit(PER_PART * parts).select(*keys).toArrow()
+    columns = [seen.column(k).to_numpy() for k in keys]
+    order = np.lexsort(columns[::-1])[[k * seen.num_rows // parts for k in range(1, parts)]] if seen.num_rows else np.empty(0, np.int64)
+    made = source.mapInArrow(emit([c[order] for c in columns]), schema)
+    return made.repartitionById(parts, "part").select(*keys).sortWithinPartitions(*keys)
 
 
 def _stream(batches):
@@ -21,8 +62,6 @@ def _stream(batches):
     its first document here are pending, and HEAD and TAIL rows say with which
     hash and first document the partition starts and ends.
     """
-    import pyarrow as pa
-
     schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64())])
     part = TaskContext.get().partitionId()
     head = tail = None  # (h1, h2, first document)
@@ -54,15 +93,15 @@ def _stream(batches):
             yield batch(schema, np.array([kind], np.int32), np.array([part], np.int32), longs([a]), longs([b_]), longs([d]), longs([0]))
 
 
-def held_before(rows: DataFrame) -> DataFrame:
-    """(doc_id, pos) of the rows (h1, h2, doc_id, pos) whose hash a smaller doc_id holds too.
+def held_before(source: DataFrame, emit: Callable) -> DataFrame:
+    """(doc_id, pos) of the rows (h1, h2, doc_id, pos) made of the source whose hash a smaller doc_id holds too.
 
     One range exchange on the hash, then document, then position: a hash that
     holds a third of all rows spreads over as many partitions as it needs. The
-    driver sees two rows a partition, from which it decides what was pending.
-    No column may be null.
+    driver sees two rows a partition, from which it decides what was pending,
+    and the sample that by_range takes.
     """
-    dealt = rows.select(*KEY).repartitionByRange(partitions(rows.sparkSession), *KEY).sortWithinPartitions(*KEY)
+    dealt = by_range(source, emit, KEY)
     emitted = materialize(dealt.mapInArrow(_stream, _EMITTED))
     edges: dict[int, dict] = {}
     for r in emitted.filter(F.col("kind") >= HEAD).collect():

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.llm.common import batch, bound_batches, longs, with_id
-from labelspark.llm.first_seen import held_before
+from labelspark.llm.first_seen import held_before, ranged
 
 #: Keys of fewer code points are never dropped.
 MIN_KEY = 10
-_HASHED = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64())])
+_HASHED = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("part", pa.int32())])
 
 
 def line_key(line: bytes) -> bytes:
@@ -39,7 +40,7 @@ def _long_enough(key: bytes, least: int) -> bool:
     return len(key) >= 4 * least or len(key) >= least and len(key) - sum((c & 0xC0) == 0x80 for c in key) >= least
 
 
-def _hash_lines(least: int):
+def _hash_lines(least: int, borders):
     def run(batches):
         for b in batches:
             digests, docs, places = [], [], []
@@ -51,7 +52,7 @@ def _hash_lines(least: int):
                         places.append(k << 31 | mark)
                 docs += [doc] * (len(digests) - n)
             h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            yield batch(_HASHED, longs(h[:, 0]), longs(h[:, 1]), longs(docs), longs(places))
+            yield ranged(_HASHED, [h[:, 0], h[:, 1], np.array(docs, np.int64), np.array(places, np.int64)], borders)
 
     return run
 
@@ -80,8 +81,7 @@ def _pack_all(batches):
 def line_bitmaps(documents: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """(doc_id, mark, keep) of the documents that lose lines; mark tells apart texts that share a doc_id."""
     bound_batches(documents.sparkSession)
-    rows = with_id(documents).filter("doc_id is not null").mapInArrow(_hash_lines(min_key), "h1 long, h2 long, doc_id long, pos long")
-    gone = held_before(rows)
+    gone = held_before(with_id(documents).filter("doc_id is not null"), partial(_hash_lines, min_key))
     mark, line = F.col("pos").bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftright("pos", 31)
     lists = gone.groupBy("doc_id", mark.alias("mark")).agg(F.collect_set(line).alias("lines"))
     return lists.mapInArrow(_pack_all, "doc_id long, mark long, keep binary")

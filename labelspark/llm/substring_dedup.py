@@ -23,8 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.llm.common import batch, bound_batches, longs, materialize, partitions, with_id
-from labelspark.llm.first_seen import held_before
+from labelspark.llm.common import batch, bound_batches, longs, materialize, with_id
+from labelspark.llm.first_seen import by_range, held_before, ranged
 
 WINDOW = 50
 #: A perfect difference set: each remainder by 31 is the difference of two of its members.
@@ -53,22 +53,26 @@ def cover_positions(n: int) -> np.ndarray:
     return p[np.isin(p % PERIOD, COVER)]
 
 
-def _anchors(batches):
-    schema = pa.schema([("a", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64())])
-    for b in batches:
-        hashes, docs, places = [], [], []
-        for doc, text, mark in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-            words = split_words(text.as_buffer().to_pybytes())
-            if len(words) < WINDOW:
-                continue
-            joined = b" ".join(words)
-            starts, ends = _bounds(words)
-            at = cover_positions(len(words))
-            hashes.append(np.frombuffer(b"".join([xxhash.xxh3_64_digest(joined[i:j]) for i, j in zip(starts[at].tolist(), ends[at + ANCHOR - 1].tolist(), strict=True)]), ">i8").astype(np.int64))
-            docs.append(np.full(len(at), doc, np.int64))
-            places.append(at << 31 | mark)
-        if hashes:
-            yield batch(schema, *(longs(np.concatenate(x)) for x in (hashes, docs, places)))
+def _anchors(borders):
+    schema = pa.schema([("a", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("part", pa.int32())])
+
+    def run(batches):
+        for b in batches:
+            hashes, docs, places = [], [], []
+            for doc, text, mark in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                words = split_words(text.as_buffer().to_pybytes())
+                if len(words) < WINDOW:
+                    continue
+                joined = b" ".join(words)
+                starts, ends = _bounds(words)
+                at = cover_positions(len(words))
+                hashes.append(np.frombuffer(b"".join([xxhash.xxh3_64_digest(joined[i:j]) for i, j in zip(starts[at].tolist(), ends[at + ANCHOR - 1].tolist(), strict=True)]), ">i8").astype(np.int64))
+                docs.append(np.full(len(at), doc, np.int64))
+                places.append(at << 31 | mark)
+            if hashes:
+                yield ranged(schema, [np.concatenate(x) for x in (hashes, docs, places)], borders)
+
+    return run
 
 
 def _shared(batches):
@@ -129,17 +133,21 @@ def _around(batches):
         yield batch(schema, *map(list, zip(*rows, strict=True))) if rows else batch(schema, *[[]] * 6)
 
 
-def _windows(batches):
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64())])
-    unzip = zstandard.ZstdDecompressor()
-    for b in batches:
-        for doc, mark, zipped, starts_ in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-            joined = unzip.decompress(zipped)
-            starts, ends = _bounds(joined.split(b" "))
-            at = np.flatnonzero(np.unpackbits(np.frombuffer(starts_, np.uint8))[: len(starts) - WINDOW + 1])
-            for part in np.array_split(at, len(at) // 100_000 + 1):
-                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(joined[i:j]) for i, j in zip(starts[part].tolist(), ends[part + WINDOW - 1].tolist(), strict=True)]), ">i8").astype(np.int64).reshape(-1, 2)
-                yield batch(schema, longs(h[:, 0]), longs(h[:, 1]), longs(np.full(len(part), doc)), longs(part << 31 | mark))
+def _windows(borders):
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("part", pa.int32())])
+
+    def run(batches):
+        unzip = zstandard.ZstdDecompressor()
+        for b in batches:
+            for doc, mark, zipped, starts_ in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                joined = unzip.decompress(zipped)
+                starts, ends = _bounds(joined.split(b" "))
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(starts_, np.uint8))[: len(starts) - WINDOW + 1])
+                for part in np.array_split(at, len(at) // 100_000 + 1):
+                    h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(joined[i:j]) for i, j in zip(starts[part].tolist(), ends[part + WINDOW - 1].tolist(), strict=True)]), ">i8").astype(np.int64).reshape(-1, 2)
+                    yield ranged(schema, [h[:, 0], h[:, 1], np.full(len(part), doc, np.int64), part << 31 | mark], borders)
+
+    return run
 
 
 def covered(n: int, starts: np.ndarray) -> np.ndarray:
@@ -170,13 +178,12 @@ def _judged(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents finished at once, and (doc_id, words, starts) of those that share an anchor."""
     bound_batches(documents.sparkSession)
     docs = with_id(documents)
-    rows = docs.filter("doc_id is not null").mapInArrow(_anchors, "a long, doc_id long, pos long")
-    dealt = rows.repartitionByRange(partitions(documents.sparkSession), "a", "doc_id", "pos").sortWithinPartitions("a", "doc_id", "pos")
+    dealt = by_range(docs.filter("doc_id is not null"), _anchors, ("a", "doc_id", "pos"))
     anchors = _lists(dealt.mapInArrow(_shared, "doc_id long, pos long"), "anchors")
     joined = docs.join(anchors.hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "mark", "text", "anchors")
     around = materialize(joined.mapInArrow(_around, "doc_id long, n_words long, sha string, mark long, words binary, starts binary"))
     open_ = around.filter("words is not null").select("doc_id", "mark", "words", "starts")
-    starts = _lists(held_before(open_.mapInArrow(_windows, "h1 long, h2 long, doc_id long, pos long")), "gone")
+    starts = _lists(held_before(open_, _windows), "gone")
     return around.filter("words is null"), open_.join(starts.hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "words", "gone")
 
 
