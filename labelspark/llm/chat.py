@@ -56,11 +56,11 @@ def _control_places(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Where a `<` begins `<`, some backslashes, `|` inside one text; data holds the texts one after another."""
     bars = np.flatnonzero(data == 0x7C)
     back = bars - 1
-    while True:
-        on = (back >= 0) & (data[back] == 0x5C)
-        if not on.any():
-            break
-        back = np.where(on, back - 1, back)
+    behind = np.flatnonzero((back >= 0) & (data[np.maximum(back, 0)] == 0x5C))
+    if len(behind):
+        slashes = np.flatnonzero(data == 0x5C)
+        runs = slashes[np.r_[True, np.diff(slashes) > 1]]
+        back[behind] = runs[np.searchsorted(runs, back[behind], side="right") - 1] - 1
     hit = (back >= 0) & (data[np.maximum(back, 0)] == 0x3C)
     at, bars = back[hit], bars[hit]
     return at[np.searchsorted(ends, at, side="right") == np.searchsorted(ends, bars, side="right")]

@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; a batch of very long texts must still fit a worker.
@@ -25,9 +25,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; one of our own only where none is set."""
+    """The folder that driver and executors share, as the session or its context names it; one of our own only where none is set and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if own.isDefined():
+            return own.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         found = tempfile.mkdtemp(prefix="labelspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,18 +57,34 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _text_and_mark(text: Column) -> tuple[Column, Column]:
+    own = F.coalesce(text.cast("string"), F.lit(""))
+    return own, F.xxhash64(own).bitwiseAND(F.lit(0x7FFFFFFF))
+
+
 def with_id(documents: DataFrame, *more) -> DataFrame:
     """doc_id as long, the text as UTF-8 bytes (null: empty), and a mark of the text that tells apart rows that share a doc_id."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        text.cast("binary").alias("text"),
-        F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).alias("mark"),
-        *more,
-    )
+    text, mark = _text_and_mark(F.col("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), mark.alias("mark"), *more)
     return spread(rows)
 
 
+def keep_rows(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The documents, all their columns, whose (doc_id, mark) is chosen, one row of each; rows without doc_id stay. chosen: (doc_id, mark, rows), rows of that kind."""
+    names = {c: f"c{k}" for k, c in enumerate(documents.columns)}
+    docs = documents.select(*[F.col(f"`{c}`").alias(x) for c, x in names.items()])
+    doc_id, (_, mark) = F.col(names["doc_id"]).cast("long"), _text_and_mark(F.col(names["text"]))
+    keep = chosen.select(F.col("doc_id").alias("keep"), F.col("mark").alias("keep_mark"), F.col("rows").alias("keep_rows"))
+    own = (doc_id == F.col("keep")) & (mark == F.col("keep_mark"))
+    out = docs.join(keep.filter("keep_rows = 1").hint("shuffle_hash"), own, "left_semi").unionByName(docs.filter(doc_id.isNull()))
+    several = keep.filter("keep_rows > 1")
+    if not several.isEmpty():
+        again = docs.join(several.hint("shuffle_hash"), own, "left_semi")
+        first = Window.partitionBy(doc_id, mark).orderBy(F.xxhash64(names["text"]))
+        out = out.unionByName(again.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth"))
+    return out.select(*[F.col(x).alias(c) for c, x in names.items()])
+
+
 def longs(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.int64))
 

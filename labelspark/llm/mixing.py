@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Weights are whole numbers; their sum D is the schedule's period. Block j (from
+Weights become whole numbers (shares of a period of at most PERIOD, the largest
+remainders rounded up, none below one); their sum D is the schedule's period. Block j (from
 1) of a source of weight a is released at slot floor((j - 1) D / a) and due by
 ceil(j D / a). Earliest deadline first over the released blocks fills each slot
 and meets all deadlines, so after any number of slots a source has had its
@@ -12,7 +13,8 @@ Every row gets its rank within its source (by a hash of its doc_id) without any
 task that holds a source: rows are counted in buckets of the hash, the counts
 are summed up, and ranks inside a bucket are added. Only built-in functions run.
 
-Defined results: every row comes out once. A source that runs out leaves its
+Defined results: every row comes out once. A negative or non-finite weight is
+an error, a source of weight zero has none. A source that runs out leaves its
 slots, and the others keep their proportions. Rows whose source is null or has
 no weight follow all others, ordered by the same hash. Rows that repeat a
 doc_id are ordered by their texts' hash, equal rows arbitrarily; a null doc_id
@@ -23,14 +25,42 @@ are carried along under their own names, which may be any but those added.
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Documents of a block.
 BLOCK = 16
-#: Rows that a bucket is meant to hold.
-BUCKET = 1024
+#: Rows that a bucket is meant to hold, and buckets whose counts are summed in one piece.
+BUCKET, PIECE = 1024, 4096
+#: The longest period: the schedule and its tables are of this size, whatever the weights.
+PERIOD = 1000
+
+
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The weights above zero as whole numbers by source, in the sources' order."""
+    if any(not math.isfinite(w) or w < 0 for w in weights.values()):
+        raise ValueError(f"weights are finite and not negative: {weights}")
+    own = {s: Fraction(weights[s]) for s in sorted(weights) if weights[s] > 0}
+    if len(own) > PERIOD:
+        raise ValueError(f"at most {PERIOD} sources have a weight")
+    total = sum(own.values())
+    if all(w.denominator == 1 for w in own.values()):
+        common = math.gcd(*map(int, own.values())) if own else 1
+        if total / common <= PERIOD:
+            return {s: int(w) // common for s, w in own.items()}
+    # the least period that gives all shares exactly as written, else the longest
+    exact = {s: (w / total).limit_denominator(PERIOD) for s, w in own.items()}
+    period = math.lcm(*(w.denominator for w in exact.values()))
+    if sum(exact.values()) == 1 and period <= PERIOD and all(abs(w - own[s] / total) < Fraction(1, 10**12) for s, w in exact.items()):
+        return {s: int(w * period) for s, w in exact.items()}
+    parts = {s: max(1, int(w / total * PERIOD)) for s, w in own.items()}
+    for s in sorted(own, key=lambda s: (int(own[s] / total * PERIOD) - own[s] / total * PERIOD, s))[: max(0, PERIOD - sum(parts.values()))]:
+        parts[s] += 1
+    return parts
 
 
 def schedule(weights: list[int]) -> list[int]:
@@ -63,17 +93,22 @@ def _case(of: Column, values: dict, otherwise) -> Column:
     return F.lit(otherwise) if out is None else out.otherwise(otherwise)
 
 
-def mix(documents: DataFrame, weights: dict[str, int], block: int = BLOCK, carry: bool = True) -> DataFrame:
+def _numbers(values: list[int]) -> Column:
+    """A list of numbers as one constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
+def mix(documents: DataFrame, weights: dict[str, float], block: int = BLOCK, carry: bool = True) -> DataFrame:
     """Each row with block (from 0, within its source), slot (null without a weight) and position (from 0, without gaps).
 
     carry: with all columns of documents, else only doc_id and source.
     """
-    sources = [s for s in sorted(weights) if weights[s] > 0]
-    numbers = [int(weights[s]) for s in sources]
+    parts = whole_weights(weights)
+    sources, numbers = list(parts), list(parts.values())
     period = sum(numbers)
     slots = schedule(numbers)
     own = [[t for t, i in enumerate(slots) if i == k] for k in range(len(sources))]
-    before = [[sum(i == k for i in slots[:t]) for t in range(period)] for k in range(len(sources))]
+    before = [list(itertools.accumulate((i == k for i in slots[:-1]), initial=0)) for k in range(len(sources))]
 
     rows = documents if carry else documents.select("doc_id", "source")
     buckets = -(-documents.count() // BUCKET)
@@ -83,8 +118,12 @@ def mix(documents: DataFrame, weights: dict[str, int], block: int = BLOCK, carry
     bucket = F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * F.lit(max(buckets, 1)).cast("long") / F.lit(2**32)).cast("long")
     rows = rows.withColumns({"_g": group, "_k": key, "_b": bucket})
     counts = documents.select(group.alias("_g"), bucket.alias("_b")).groupBy("_g", "_b").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("_g").orderBy("_b")
-    starts = counts.withColumn("_start", F.sum("_n").over(w) - F.col("_n")).select("_g", "_b", "_start")
+    # in two levels, so that no task sums all buckets of a source
+    piece = F.floor(F.col("_b") / PIECE).alias("_q")
+    pieces = counts.groupBy("_g", piece).agg(F.sum("_n").alias("_n"))
+    before_piece = pieces.select("_g", "_q", (F.sum("_n").over(Window.partitionBy("_g").orderBy("_q")) - F.col("_n")).alias("_before"))
+    inner = F.sum("_n").over(Window.partitionBy("_g", "_q").orderBy("_b")) - F.col("_n")
+    starts = counts.select("*", piece).select("_g", "_b", "_q", inner.alias("_inner")).join(before_piece, ["_g", "_q"]).select("_g", "_b", (F.col("_inner") + F.col("_before")).alias("_start"))
     totals = {r[0]: r[1] for r in counts.groupBy("_g").agg(F.sum("_n")).collect()}
 
     inside = Window.partitionBy("_g", "_b").orderBy("_k", *tie)
@@ -95,21 +134,21 @@ def mix(documents: DataFrame, weights: dict[str, int], block: int = BLOCK, carry
         out = out.withColumns({"slot": F.lit(None).cast("long"), "position": F.col("_rank")})
     else:
         weight = _case(F.col("_g"), dict(enumerate(numbers)), 1)
-        slot_of = F.element_at(_case(F.col("_g"), {k: F.array(*[F.lit(t) for t in x]) for k, x in enumerate(own)}, F.array(F.lit(0))), (F.col("block") % weight + 1).cast("int"))
+        slot_of = F.element_at(_case(F.col("_g"), {k: _numbers(x) for k, x in enumerate(own)}, _numbers([0])), (F.col("block") % weight + 1).cast("int"))
         slot = F.floor(F.col("block") / weight).cast("long") * period + slot_of
         out = out.withColumn("slot", F.when(F.col("_g") < len(sources), slot))
         # rows before this slot: of each source its blocks in earlier slots, as far as it has rows
         turn, at = F.floor(F.col("slot") / period).cast("long"), (F.col("slot") % period + 1).cast("int")
         ahead = F.lit(0).cast("long")
         for k, a in enumerate(numbers):
-            blocks = turn * a + F.element_at(F.array(*[F.lit(t) for t in before[k]]), at)
+            blocks = turn * a + F.element_at(_numbers(before[k]), at)
             ahead = ahead + F.least(blocks * block, F.lit(totals.get(k, 0)).cast("long"))
         known = sum(totals.get(k, 0) for k in range(len(sources)))
         out = out.withColumn("position", F.when(F.col("slot").isNotNull(), ahead + F.col("_rank") % block).otherwise(F.col("_rank") + known))
     return out.drop("_g", "_b", "_k", "_r", "_start", "_rank")
 
 
-def mixed(documents: DataFrame, weights: dict[str, int], block: int = BLOCK) -> DataFrame:
+def mixed(documents: DataFrame, weights: dict[str, float], block: int = BLOCK) -> DataFrame:
     """The documents, all their columns, in the mixed order: partitions follow each other, rows in order inside."""
     read = {c: c if c in ("doc_id", "source", "text") else f"c{k}" for k, c in enumerate(documents.columns)}
     out = mix(documents.select(*[F.col(f"`{c}`").alias(x) for c, x in read.items()]), weights, block)
@@ -129,11 +168,12 @@ def with_position(written: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(starts), "_file").withColumn("position", F.col("_start") + F.col("_at")).drop("_part", "_file", "_at", "_start")
 
 
-def mix_sql(weights: dict[str, int], block: int = BLOCK) -> str:
+def mix_sql(weights: dict[str, float], block: int = BLOCK) -> str:
     """The same report (doc_id, source, block, slot, position) as plain SQL over `documents`."""
-    sources = [s for s in sorted(weights) if weights[s] > 0]
-    slots = schedule([weights[s] for s in sources])
-    values = ", ".join(f"('{sources[i]}', {weights[sources[i]]}, {sum(j == i for j in slots[:t])}, {t})" for t, i in enumerate(slots))
+    parts = whole_weights(weights)
+    sources = list(parts)
+    slots = schedule(list(parts.values()))
+    values = ", ".join(f"('{sources[i]}', {parts[sources[i]]}, {sum(j == i for j in slots[:t])}, {t})" for t, i in enumerate(slots))
     return f"""
         WITH sched(source, weight, nth, place) AS (VALUES {values}),
         ranked AS (SELECT d.doc_id, d.source, w.source IS NOT NULL AS known,

@@ -11,7 +11,7 @@ choice of t of them blanked, equal keys are verified bit by bit.
 Defined results: a null or empty text has no words and fingerprint 0, which
 links like any other; repeated rows are one class; a row without doc_id gets
 its class's component; an empty table gives an empty table; columns beside
-doc_id and text are not read.
+doc_id and text are not read, those that keep_one carries may have any names.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.llm.common import batch, bound_batches, longs, materialize, partitions, with_id
+from labelspark.llm import near_copies
+from labelspark.llm.common import batch, bound_batches, keep_rows, longs, materialize, partitions, with_id
 from labelspark.llm.components import components
 
 BITS, LIMIT, SHINGLE, SEED = 64, 3, 3, 42
@@ -230,14 +231,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return fps.join(member, "fp").select("doc_id", "mark", "fp", "component_id")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents, all their columns: of each component only the row of its least doc_id (one of the rows that repeat it); rows without doc_id stay."""
-    keep = materialize(near_duplicates(documents).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows")))
-    own = F.col("doc_id").cast("long") == F.col("_keep")
-    out = documents.join(keep.filter("_rows = 1").hint("shuffle_hash"), own, "left_semi").unionByName(documents.filter("doc_id is null"))
-    several = keep.filter("_rows > 1")
-    if several.isEmpty():
-        return out
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    again = documents.join(several.hint("shuffle_hash"), own, "left_semi").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
-    return out.unionByName(again)
+def keep_one(documents: DataFrame, least: float | None = None, shingle: int = near_copies.SHINGLE) -> DataFrame:
+    """The documents, all their columns: of each group one row, that of its least doc_id (of several texts under it that of the least mark); rows without doc_id stay.
+
+    Groups are those of near_duplicates, or, with `least`, of texts whose sets of
+    shingles are at least so similar, for which fingerprints are a screen.
+    """
+    if least is None:
+        found = near_duplicates(documents).withColumnRenamed("component_id", "component")
+    else:
+        found = near_copies.near_copies(documents, shingle, least)
+    found = materialize(found.filter("doc_id is not null").groupBy("component", "doc_id", "mark").agg(F.count("*").alias("rows")))
+    chosen = found.groupBy("component").agg(F.min(F.struct("doc_id", "mark", "rows")).alias("x")).select("x.*")
+    return keep_rows(documents, materialize(chosen))

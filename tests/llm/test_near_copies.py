@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from labelspark.llm import near_copies
+from labelspark.llm import near_copies, simhash
 
 DOCS = "doc_id long, text string, source string"
 
@@ -75,8 +75,23 @@ def test_crowds_of_common_shingles(spark, monkeypatch):
     rows = documents()
     df = spark.createDataFrame(rows, DOCS).repartition(3)
     monkeypatch.setattr(near_copies, "SAMPLE", 0)
-    assert sorted(r.doc_id for r in near_copies.keep_one(df).filter("doc_id is not null").collect()) == kept(rows)
+    assert sorted(r.doc_id for r in simhash.keep_one(df, least=0.8).filter("doc_id is not null").collect()) == kept(rows)
 
 
 def test_no_rows(spark):
-    assert near_copies.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+    assert simhash.keep_one(spark.createDataFrame([], DOCS), least=0.8).count() == 0
+
+
+def test_names_that_clash_and_texts_that_share_a_doc_id(spark):
+    """All columns come through under any name; of two texts of a doc_id each is judged by its own group."""
+    base = " ".join(f"w{k}" for k in range(80))
+    texts = [(1, base), (2, base + " x"), (2, "a text of its own that is like no other one here"), (3, "a text of its own that is like no other one here"), (3, base)]
+    rows = [(d, t, d, "m", 7, "n", "k") for d, t in texts] + [(4, "again and again", 4, "m", 7, "n", "k")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, _keep long, mark string, _rows int, c1 string, keep string")
+    for least in (None, 0.8):
+        out = simhash.keep_one(df, least)
+        assert out.schema == df.schema
+        got = sorted(map(tuple, out.collect()))
+        if least:
+            assert got == sorted([rows[0], rows[2], rows[5]])
+        assert all(r[2:] == (r[0], "m", 7, "n", "k") for r in got) and got.count(rows[5]) == 1

@@ -1,5 +1,6 @@
 """Mixing, URL filters, the quality classifier and the pipeline."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -94,6 +95,43 @@ def test_urls(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_weighted_vocabulary(spark):
+    """Some thousand weighted terms against a plain count of distinct terms between boundaries."""
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcxyz") for _ in range(rng.randrange(2, 6))) for _ in range(3000)})
+    table = [(w.upper() if k % 7 == 0 else w, 0.25 * (1 + k % 5)) for k, w in enumerate(words)] + [(None, 1.0), (" ", 1.0), ("zz", None), (words[0], 0.1)]
+    terms = url_filter.read_terms(spark.createDataFrame(table, "term string, weight double"))
+    assert terms == {w: 0.25 * (1 + k % 5) for k, w in enumerate(words)}
+    urls = ["http://h.test/" + rng.choice("-/._").join(rng.choice(words) + rng.choice(["", "", "q"]) for _ in range(rng.randrange(0, 4))) for _ in range(400)]
+    out = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), terms=terms).collect()
+    for r in out:
+        found = {t for t in re.split("[^a-z0-9]+", urls[r.page_id]) if t in terms} | {t for t in terms if re.search(f"(?<![a-z0-9]){t}(?![a-z0-9])", urls[r.page_id])}
+        assert r.verdict == ("block" if sum(terms[t] for t in found) >= 2 else "allow") and r.n_strict == 0 and r.n_soft == len(found)
+    with pytest.raises(ValueError):
+        url_filter.read_terms(spark.createDataFrame(table, "term string, weight double"), most=10)
+
+
+def test_whole_weights():
+    """Fractions keep their shares, large numbers are brought into the period, and what cannot be scheduled is refused."""
+    assert mixing.whole_weights({"b": 0.3, "a": 0.7, "z": 0}) == {"a": 7, "b": 3}
+    assert mixing.whole_weights({"a": 20, "b": 10}) == {"a": 2, "b": 1} and mixing.whole_weights({}) == {}
+    assert mixing.whole_weights({"a": 1 / 3, "b": 2 / 3}) == {"a": 1, "b": 2}
+    large = mixing.whole_weights({"a": 10**9, "b": 1, "c": 0.37})
+    assert min(large.values()) >= 1 and sum(large.values()) <= mixing.PERIOD + 3 and large["a"] > 990
+    odd = mixing.whole_weights({f"s{k}": 0.1 + k / 977 for k in range(50)})
+    total = sum(0.1 + k / 977 for k in range(50))
+    assert sum(odd.values()) == mixing.PERIOD and all(abs(odd[f"s{k}"] / mixing.PERIOD - (0.1 + k / 977) / total) < 1 / mixing.PERIOD for k in range(50))
+    for bad in ({"a": -1}, {"a": float("nan")}, {"a": float("inf")}, {f"s{k}": 1 for k in range(2000)}):
+        with pytest.raises(ValueError):
+            mixing.whole_weights(bad)
+
+
+def test_fractional_weights(spark):
+    rows = [(k, "t", "ab"[k % 2]) for k in range(2000)]
+    out = sorted(map(tuple, mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"a": 0.7, "b": 0.3}, 2).select("position", "source").collect()))
+    assert abs(sum(s == "a" for _, s in out[:1000]) - 700) < 2
+
+
 def labelled(spark):
     good = ["the quick brown fox jumps over the lazy dog. it was a fine day and all went well. " * (k % 5 + 1) for k in range(150)]
     bad = [("buy### now%%% cheap&&& " * (k % 9 + 3)) if k % 2 else ("home | about | contact | " * (k % 7 + 3)) for k in range(150)]

@@ -2,10 +2,14 @@
 
 import hashlib
 import random
+from collections import Counter
 
+import numpy as np
 import public_tokenizers as tokens
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from labelspark.llm import bpe, chat, line_dedup, simhash, substring_dedup
 
@@ -207,3 +211,66 @@ def test_partitioning_changes_nothing(spark, rows, run):
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     assert got(run(df.coalesce(1))) == many
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_long_runs_of_escapes():
+    """Runs of a hundred thousand backslashes cost no more than their length, and places are right."""
+    import time
+
+    texts = [b"<" + b"\\" * 100_000 + b"|im_end|>" + b"|" * 20_000, b"<\\|<|\\|", b"\\|", b"|", b"<|"] + [b"<" + b"\\" * k + b"|" for k in range(50)]
+    began = time.perf_counter()
+    data, ends, starts, stops = chat.assemble(pa.array([b"user"] * len(texts), pa.large_binary()), pa.array(texts, pa.large_binary()))
+    assert time.perf_counter() - began < 2
+    raw = data.tobytes()
+    assert [raw[i:j] for i, j in zip(starts, stops, strict=True)] == [chat.escape(t) for t in texts]
+    assert [chat.unescape(chat.escape(t)) for t in texts] == texts
+
+
+def test_shared_folder(spark, tmp_path):
+    """A session that names no folder gets one of its own only on this machine."""
+    from labelspark.llm import common
+
+    class Cluster:
+        conf = type("", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("", (), {"master": "spark://host:7077", "_jsc": spark.sparkContext._jsc})
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(ValueError):
+            common.shared_dir(Cluster)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_ranges(spark, parts):
+    """Partitions by range hold all rows in order, a hot key spread over several."""
+    from labelspark.llm import first_seen
+
+    source = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("mark"))
+
+    def emit(borders):
+        schema = pa.schema([(c, pa.int64()) for c in ("h", "doc_id", "pos")] + [("part", pa.int32())])
+
+        def run(batches):
+            for b in batches:
+                d = np.repeat(b.column(0).to_numpy(), 3)
+                yield first_seen.ranged(schema, [np.where(d % 3 == 0, 7, d * 977 % 1013 - 500), d, np.arange(len(d)) % 3], borders)
+
+        return run
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        out = first_seen.by_range(source, emit, ("h", "doc_id", "pos")).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    keys = [(r.h, r.doc_id, r.pos) for r in sorted(out, key=lambda r: r.p)]
+    assert keys == sorted(keys) and len(keys) == 6000
+    if parts == 40:
+        assert len({r.p for r in out if r.h == 7}) >= 8 and max(Counter(r.p for r in out).values()) < 600
+
+
+def test_dedup_substrings(spark):
+    """Texts that lose words come back without them, others not at all; other columns may have any names."""
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(1, " ".join(["a", *passage]), "x"), (2, " ".join(["b", "c", *passage, "d"]), "y"), (3, "short", "z"), (4, None, "z"), (None, " ".join(passage), "w")]
+    out = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string, words string")).collect()
+    assert [tuple(r) for r in out] == [(2, 63, 60, "b c d")]
