@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from labelspark.llm import near_copies, simhash
 
@@ -70,6 +72,31 @@ def test_stage_keeps_one_of_each_group(spark):
     assert out.filter("doc_id is null").count() == 2
 
 
+@pytest.mark.parametrize("small", [1, 6])
+def test_crowds_by_difference(spark, monkeypatch, small):
+    """Large groups, here nearly all, lose no link: near copies of one text, some too far from it, some of those close to each other."""
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+
+    def edited(words, k):
+        out = list(words)
+        for at in rng.sample(range(len(out)), k):
+            what = rng.randrange(3)
+            out[at] = [f"e{rng.randrange(10**6)}"] if what == 0 else [] if what == 1 else [out[at], f"i{rng.randrange(50)}"]
+        return [w for x in out for w in ([x] if isinstance(x, str) else x)]
+
+    texts = [base] + [edited(base, rng.randrange(0, 10)) for _ in range(90)]
+    far = [edited(base, 8) for _ in range(6)]
+    texts += far + [edited(x, rng.randrange(0, 5)) for x in far for _ in range(4)]
+    texts += [base[:100] + [f"t{k}_{i}" for i in range(rng.randrange(0, 40))] for k in range(20)] + [base + base[:k] for k in range(5, 60, 5)]
+    rows = [(k, " ".join(t), "a") for k, t in enumerate(texts)] + documents()
+    rows = [(k, t, s) for k, (_, t, s) in enumerate(rows)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(df, least=0.8).collect()) == kept(rows)
+
+
 def test_crowds_of_common_shingles(spark, monkeypatch):
     """A sample that sees all and one that sees nothing give the same."""
     rows = documents()
