@@ -97,21 +97,29 @@ def salvaged_json(text: pd.Series) -> pd.Series:
     return pd.Series([_salvage(t) for t in text], dtype=object)
 
 
+def _parsed(text: str | None) -> tuple | None:
+    """The JSON value of a text, in a tuple; None where it has none."""
+    try:
+        return None if text is None else (json.loads(text),)
+    except (ValueError, RecursionError):
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def without_paths(text: pd.Series) -> pd.Series:
-    """JSON without any key that ends in `path`."""
+    """JSON without any key that ends in `path`; null where the text is no JSON."""
 
     def strip(x):
         if isinstance(x, dict):
             return {k: strip(v) for k, v in x.items() if not k.lower().endswith("path")}
         return [strip(v) for v in x] if isinstance(x, list) else x
 
-    return text.map(lambda t: None if t is None else json.dumps(strip(json.loads(t)), ensure_ascii=False))
+    return pd.Series([None if (x := _parsed(t)) is None else json.dumps(strip(x[0]), ensure_ascii=False) for t in text], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def json_strings(text: pd.Series) -> pd.Series:
-    """All strings inside a JSON value."""
+    """All strings inside a JSON value; none where the text is no JSON."""
 
     def walk(x):
         if isinstance(x, str):
@@ -119,7 +127,7 @@ def json_strings(text: pd.Series) -> pd.Series:
         for v in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
             yield from walk(v)
 
-    return text.map(lambda t: [] if t is None else list(walk(json.loads(t))))
+    return pd.Series([[] if (x := _parsed(t)) is None else list(walk(x[0])) for t in text], dtype=object)
 
 
 # Fixed value: the shape of one item of a model's answer.

@@ -61,10 +61,9 @@ def group_summary(docs: DataFrame) -> DataFrame:
     """Per therapeutic group of (doc, code, label, has_pgx): by code, else label, else `(sem grupo)`; the longest label names it."""
     none = lambda c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c)))
     key = F.coalesce(none("code"), none("label"), F.lit("(sem grupo)"))
-    out = docs.groupBy(key.alias("group")).agg(
-        F.max(F.when(none("label").isNotNull(), F.struct(F.length("label").alias("n"), F.col("label"))))["label"].alias("label"),
-        F.count_distinct("doc").alias("n_docs"), F.count_distinct(F.when(F.col("has_pgx"), F.col("doc"))).alias("n_pgx"),
-    )
+    longest = F.max(F.when(none("label").isNotNull(), F.struct(F.length("label").alias("n"), F.col("label")))).alias("label")
+    one = docs.groupBy(key.alias("group"), "doc").agg(longest, F.coalesce(F.bool_or("has_pgx"), F.lit(False)).alias("x"))
+    out = one.groupBy("group").agg(F.max("label")["label"].alias("label"), F.count("doc").alias("n_docs"), F.count_if(F.col("x") & F.col("doc").isNotNull()).alias("n_pgx"))
     return out.withColumn("pct_pgx", percent(F.col("n_pgx"), F.col("n_docs")))
 
 
@@ -100,11 +99,9 @@ def coverage_grains(positions: DataFrame) -> DataFrame:
 
 
 def coverage_by_gene(positions: DataFrame) -> DataFrame:
-    """Per gene: documents and positions, expected and covered."""
-    out = positions.groupBy("gene").agg(
-        F.count_distinct("doc").alias("docs_expected"), F.count_distinct(F.when(F.col("is_covered"), F.col("doc"))).alias("docs_covered"),
-        F.count("*").alias("expected"), F.count_if("is_covered").alias("covered"),
-    )
+    """Per gene: documents and positions, expected and covered. Documents are made distinct first, so no row is expanded for each count."""
+    by = positions.groupBy("gene", "doc").agg(F.bool_or("is_covered").alias("x"), F.count("*").alias("n"), F.count_if("is_covered").alias("c"))
+    out = by.groupBy("gene").agg(F.count("doc").alias("docs_expected"), F.count_if(F.col("x") & F.col("doc").isNotNull()).alias("docs_covered"), F.sum("n").alias("expected"), F.sum("c").alias("covered"))
     return out.withColumns({"pct_docs": percent(F.col("docs_covered"), F.col("docs_expected")), "pct_positions": percent(F.col("covered"), F.col("expected"))})
 
 
@@ -126,10 +123,11 @@ def unique_entities(items: DataFrame) -> DataFrame:
 
 
 def counts_block(items: DataFrame) -> DataFrame:
-    """Per document: distinct entities and mentions by kind and in all, and those with a guideline."""
-    by = [F.count_distinct(F.when(F.col("kind") == k, F.col("value"))).alias(f"unique_{k}") for k in KINDS] + [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"mentions_{k}") for k in KINDS]
-    pair = F.struct("kind", "value")
-    return items.groupBy("doc").agg(*by, F.count_distinct(pair).alias("unique_total"), F.sum("n").alias("mentions_total"), F.count_distinct(F.when(F.col("guideline"), pair)).alias("unique_guideline"), F.coalesce(F.sum(F.when(F.col("guideline"), F.col("n"))), F.lit(0)).alias("mentions_guideline"))
+    """Per document: distinct entities and mentions by kind and in all, and those with a guideline. Entities are made distinct first."""
+    one = items.groupBy("doc", "kind", "value").agg(F.sum("n").alias("n"), F.coalesce(F.bool_or("guideline"), F.lit(False)).alias("g"), F.coalesce(F.sum(F.when(F.col("guideline"), F.col("n"))), F.lit(0)).alias("gn"))
+    kind = lambda k: F.col("kind") == k
+    by = [F.count_if(kind(k) & F.col("value").isNotNull()).alias(f"unique_{k}") for k in KINDS] + [F.coalesce(F.sum(F.when(kind(k), F.col("n"))), F.lit(0)).alias(f"mentions_{k}") for k in KINDS]
+    return one.groupBy("doc").agg(*by, F.count("*").alias("unique_total"), F.sum("n").alias("mentions_total"), F.count_if("g").alias("unique_guideline"), F.sum("gn").alias("mentions_guideline"))
 
 
 def accumulated(items: DataFrame) -> DataFrame:

@@ -101,18 +101,24 @@ def holder_agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-def lots(df: DataFrame, n: int, order: str, bucket: int = 8192) -> DataFrame:
-    """df with lot (from 0): n contiguous slices of equal size by a whole-number column, the last one shorter.
+def lots(df: DataFrame, n: int, order: str, slices: int | None = None) -> DataFrame:
+    """df with lot (from 0): n contiguous slices of equal size by a numeric column, the last one shorter; rows without it come first.
 
-    Rows are numbered inside buckets of the column's range and the buckets' counts are summed up, so no task orders all rows.
+    Quantiles of the column, one for each shuffle partition, cut it into ranges
+    of about equal size, whether its values are dense or sparse; rows are
+    numbered inside ranges and the ranges' counts are summed up, so no task
+    orders all rows and none sees more counts than there are ranges.
     """
-    b = F.floor(F.col(order) / F.lit(bucket))
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx(order, [k / slices for k in range(1, slices)], 10 * slices)).first()[0] if slices > 1 else None
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<double>")
+    b = F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(bounds, lambda c: c < F.col(order))))
     counts = df.groupBy(b.alias("_b")).agg(F.count("*").alias("_c"))
     total = counts.agg(F.sum("_c")).first()[0] or 0
     size = max(1, -(-total // n))
     starts = counts.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_start"))
     inside = Window.partitionBy("_b").orderBy(order)
-    out = df.withColumn("_b", b).withColumn("_r", F.row_number().over(inside)).join(starts, "_b")
+    out = df.withColumn("_b", b).withColumn("_r", F.row_number().over(inside)).join(F.broadcast(starts), "_b")  # a row for each range
     return out.withColumn("lot", F.floor((F.col("_start") + F.col("_r") - 1) / F.lit(size)).cast("long")).drop("_b", "_r", "_start")
 
 

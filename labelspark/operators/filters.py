@@ -63,18 +63,63 @@ DOCUMENT_FIELDS = {
     "nome_medicamento": ("$.documento.nome_medicamento", "$.nome_medicamento"),
     "substancia_ativa": ("$.documento.substancia_ativa", "$.substancia_ativa"),
     "codigo_atc": ("$.documento.codigo_atc", "$.codigo_atc"),
+    "grupo": ("$.documento.grupo_farmacoterapeutico", "$.grupo_farmacoterapeutico"),
     "grupo_codigo": ("$.documento.grupo_farmacoterapeutico_codigo", "$.grupo_farmacoterapeutico_codigo"),
+    "mesh_id": ("$.identificadores_substancia.mesh_id",),
+    "chebi_id": ("$.identificadores_substancia.chebi_id",),
+    "umls_cui": ("$.identificadores_substancia.umls_cui", "$.identificadores_substancia.mrconso_cui"),
     "mrconso_cui": ("$.identificadores_substancia.mrconso_cui", "$.documento.mrconso_cui", "$.mrconso_cui"),
     "drugbank_id": ("$.identificadores_substancia.drugbank_id", "$.documento.drugbank_id", "$.drugbank_id"),
     "versao_pipeline": ("$.pipeline.pipeline_version", "$.pipeline_version"),
     "modelo": ("$.pipeline.llm.model", "$.modelo"),
 }
+# Lists, whole numbers, blocks of counts, and old names of the entity lists.
+LIST_FIELDS = {"aliases": "$.documento.aliases_substancia_ativa", "exclusivas_de_tabelas": "$.origem_entidades.exclusivas_de_tabelas"}
+NUMBER_FIELDS = {
+    "falhas_extracao": ("$.qualidade_extracao.falhas_extracao",), "nao_verbatim": ("$.qualidade_extracao.excertos_recompostos", "$.qualidade_extracao.excertos_nao_encontrados"),
+    "texto_unicas": ("$.origem_entidades.texto.entidades_unicas",), "texto_mencoes": ("$.origem_entidades.texto.mencoes",), "tabelas_unicas": ("$.origem_entidades.tabelas.entidades_unicas",), "tabelas_mencoes": ("$.origem_entidades.tabelas.mencoes",),
+}
+COUNT_BLOCKS = (("unique", "$.contagens"), ("extended", "$.contagens_documento"), ("unique", "$.contagens_finais"))
+ENTITY_LISTS = {"genes": "document_unique_genes", "star_alleles": "document_unique_star_alleles", "diplotypes": "document_unique_diplotypes", "rsids": "document_unique_rsids"}
 
 
 def document_fields(raw: Column) -> list[Column]:
     return [json_field(raw, *paths).alias(name) for name, paths in DOCUMENT_FIELDS.items()]
 
 
+def _json_list(raw: Column, path: str) -> Column:
+    """The elements of a JSON list as text; null where there is none."""
+    c = F.get_json_object(raw, path)
+    return F.when(c.startswith("["), F.from_json(c, "array<string>"))
+
+
+def _whole(raw: Column, path: str) -> Column:
+    return F.coalesce(F.get_json_object(raw, path).try_cast("double").cast("long"), F.lit(0))
+
+
+def document_blocks(raw: Column) -> list[Column]:
+    """All blocks of a result: document, identifiers, provenance, quality, origin; sums of several places, empty lists and 0 where there is nothing."""
+    none = F.array().cast("array<string>")
+    numbers = [sum((_whole(raw, p) for p in paths[1:]), _whole(raw, paths[0])).alias(name) for name, paths in NUMBER_FIELDS.items()]
+    llm = F.get_json_object(raw, "$.pipeline.llm")
+    part = lambda k: F.coalesce(F.get_json_object(llm, f"$.{k}"), F.lit("None"))
+    config = F.when(llm.startswith("{") & (llm != "{}"), F.concat(part("model"), F.lit(" temp="), part("temperature"), F.lit(" seed="), part("seed")))
+    return [*document_fields(raw), *[F.coalesce(_json_list(raw, p), none).alias(n) for n, p in LIST_FIELDS.items()], *numbers, config.alias("configuracao")]
+
+
+def counts_block(unique: Column, extended: Column) -> Column:
+    """The first block of counts, as JSON, that is an object with something in it."""
+    side = {"unique": unique, "extended": extended}
+    found = [F.get_json_object(side[s], p) for s, p in COUNT_BLOCKS]
+    return F.coalesce(*[F.when(c.startswith("{") & (c != "{}"), c) for c in found])
+
+
+def entity_list(raw: Column, category: str) -> Column:
+    """The first list of a category: of the new layout, of the one before, under its old name; else empty."""
+    places = (f"$.entidades.{category}", f"$.entidades_unicas.{category}", f"$.{ENTITY_LISTS[category]}")
+    return F.coalesce(*[_json_list(raw, p) for p in places], F.array().cast("array<string>"))
+
+
 def usability(text: Column, pages: Column | None = None, words: tuple[str, ...] = COMMON_WORDS) -> Column:
     """digital, scanned, corrupt, or unknown where there is no text layer to judge (null)."""
     m = readability(text, words)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,8 @@ from labelspark.functions.text import fold
 
 #: Characters of a gram by which contained strings are blocked.
 GRAM = 12
+#: Characters of all items, 16 added for each, up to which they are sent to every task.
+SENT = 8_000_000
 
 
 def first_by(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
@@ -142,8 +145,8 @@ def _grams(n: int):
     return run
 
 
-def contains_join(texts: DataFrame, text: str, items: DataFrame, item: str, gram: int = GRAM) -> DataFrame:
-    """Pairs of texts and items such that the text contains the item; an empty item is in no text.
+def contains_by_keys(texts: DataFrame, text: str, items: DataFrame, item: str, gram: int = GRAM) -> DataFrame:
+    """contains_join for any number of items, none of which is sent to all tasks.
 
     What stands between two spaces inside an item stands between two spaces in
     every text that contains it: such items are joined on the longest of these
@@ -170,6 +173,47 @@ def contains_join(texts: DataFrame, text: str, items: DataFrame, item: str, gram
     return out.select(*[F.col(c) for c in texts.columns], *[F.col(o).alias(c) for o, c in zip(own, items.columns, strict=True)])
 
 
+def _found(names: list[str]):
+    """For each text the numbers of the names that it contains."""
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for k, name in enumerate(names):
+            automaton.add_word(name, k)
+        if names:
+            automaton.make_automaton()
+        for b in batches:
+            hits = [sorted({k for _, k in automaton.iter(t)}) if t and names else [] for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hits, pa.list_(pa.int32()))], names=[*b.schema.names[:-1], "hits"])
+
+    return run
+
+
+def contains_join(texts: DataFrame, text: str, items: DataFrame, item: str) -> DataFrame:
+    """Pairs of texts and items such that the text contains the item; an empty item is in no text.
+
+    Distinct items of together at most SENT characters, which is counted before,
+    go to every task as one automaton, which reads each text once and shuffles
+    nothing; for more, the join on keys gives the same rows.
+    """
+    names = items.filter(F.length(item) > 0).select(F.col(item).alias("_i")).distinct()
+    chars = names.agg(F.sum(F.length("_i") + 16)).first()[0] or 0
+    if chars > SENT:
+        return contains_by_keys(texts, text, items, item)
+    found = sorted(r[0] for r in names.collect())
+    carried = [f"_t{k}" for k in range(len(texts.columns))]
+    rows = texts.filter(F.length(text) > 0).toDF(*carried).withColumn("_text", F.col(carried[texts.columns.index(text)]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", hits array<int>"
+    hits = rows.mapInArrow(_found(found), schema).withColumn("_k", F.explode("hits")).drop("hits")
+    own = [f"_i{k}" for k in range(len(items.columns))]
+    numbers = items.sparkSession.createDataFrame(list(enumerate(found)), "_k int, _n string")
+    numbered = items.filter(F.length(item) > 0).toDF(*own).join(numbers, F.col(own[items.columns.index(item)]) == F.col("_n")).drop("_n")
+    out = hits.join(numbered, "_k")
+    return out.select(*[F.col(o).alias(c) for o, c in zip(carried, texts.columns, strict=True)], *[F.col(o).alias(c) for o, c in zip(own, items.columns, strict=True)])
+
+
 def concept_candidates(queries: DataFrame, concepts: DataFrame, least: int = 5, cap: int = 25) -> DataFrame:
     """(query, cui, str, exact, pos) of the concepts (pos, cui, str) of each query: equal folded strings, else strings that hold the query or are held by it, the first `cap` in file order.
 
@@ -234,16 +278,38 @@ def assign_compound(hits: DataFrame, known: DataFrame) -> DataFrame:
     return known.select("file", "compound").unionByName(best)
 
 
-def lexicon_hits(texts: DataFrame, key: str, text: str, lexicon: DataFrame, term: str, longest: int = 3) -> DataFrame:
-    """(key, term, n): mentions of a lexicon's terms of up to `longest` words among the texts' word sequences."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"(?U)[^\p{L}\p{N}*:-]+"), lambda w: w != "")
-    t = texts.select(key, words.alias("_w"))
+def lexicon_hits(texts: DataFrame, key: str, text: str, lexicon: DataFrame, term: str, kind: str | None = None) -> DataFrame:
+    """(key, term, n), and the kind if one is named: mentions of a lexicon's terms among the texts' word sequences, at each place the longest term.
+
+    Terms may have any number of words. A term that lies inside a longer hit is
+    not counted there. Words are runs of letters, digits and the marks of
+    alleles and variants, in lower case.
+    """
+    split = lambda c: F.filter(F.split(F.lower(c), r"(?U)[^\p{L}\p{N}*:-]+"), lambda w: w != "")
+    named = [F.col(kind).alias("kind")] if kind else []
+    own = lexicon.select(F.col(term).alias("term"), split(F.col(term)).alias("_w"), *named).filter(F.size("_w") > 0)
+    own = own.withColumns({"_t": F.array_join("_w", " "), "_size": F.size("_w")}).drop("_w").dropDuplicates(["_t"])
+    sizes = sorted(r[0] for r in own.select("_size").distinct().collect())  # a number for each length of terms
+    t = texts.select(key, split(F.col(text)).alias("_w")).filter(F.size("_w") > 0)
 
     def runs(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, n), " "))
+        return F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice("_w", i + 1, n), " ").alias("t")))
+
+    none = F.array().cast("array<struct<at:int,size:int,t:string>>")
+    each = [F.when(F.size("_w") >= n, runs(n)).otherwise(none) for n in sizes] or [none]
+    said = t.withColumn("_row", F.monotonically_increasing_id()).select(key, "_row", F.explode(F.concat(*each)).alias("_r")).select(key, "_row", F.col("_r.at").alias("at"), F.col("_r.t").alias("_t"))
+    hits = said.join(own, "_t").withColumn("_end", F.col("at") + F.col("_size"))
+    # what starts before, or here and is longer, reaches beyond the end of what it holds
+    before = Window.partitionBy(key, "_row").orderBy("at", F.desc("_size")).rowsBetween(Window.unboundedPreceding, -1)
+    alone = hits.withColumn("_reach", F.max("_end").over(before)).filter(F.col("_reach").isNull() | (F.col("_end") > F.col("_reach")))
+    return alone.groupBy(key, "term", *(["kind"] if kind else [])).agg(F.count("*").alias("n"))
+
+
+def entity_lexicon(genes: DataFrame) -> DataFrame:
+    """(term, kind) of a gene dictionary (symbol, ...): symbols with a digit, which running text does not hold by chance."""
+    return genes.filter(F.col("symbol").rlike("[0-9]")).select(F.trim("symbol").alias("term"), F.lit("gene").alias("kind")).distinct()
 
-    each = [F.col("_w")] + [runs(n) for n in range(2, longest + 1)]
-    said = t.filter(F.size("_w") > 0).select(key, F.explode(F.concat(*each)).alias("_t")).groupBy(key, "_t").agg(F.count("*").alias("n"))
-    own = lexicon.select(F.col(term).alias("term"), F.lower(F.trim(term)).alias("_t")).dropDuplicates(["_t"])
-    return said.join(own, "_t").select(key, "term", "n")
 
+def lexicon_kind(term: Column, kind: Column) -> Column:
+    """The kind of a hit: what holds a `*` is an allele, an rs number a variant, else as the lexicon says."""
+    return F.when(F.instr(term, "*") > 0, "alelo").when(term.rlike(r"(?i)^rs[0-9]+$"), "rsid").otherwise(kind)

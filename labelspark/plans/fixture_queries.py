@@ -79,6 +79,8 @@ _cases("json_salvage", "id int, raw string", [
     (1, '{"a": 1}', '{"a": 1}'), (2, 'Aqui: {"a": 1} e nota {"b": 2}', '{"a": 1}'), (3, '```json\n[1, 2]\n```', "[1, 2]"), (4, 'x {"a": "}{"} y', '{"a": "}{"}'), (5, "nada", None), (6, "lista [1] fim", "[1]"), (7, None, None),
 ], "json", lambda: fid.salvaged_json("raw"))
 _cases("path_keys_dropped", "id int, raw string", [(1, '{"a": 1, "file_path": "x", "b": {"PATH": 2, "c": [{"path": 1, "d": 3}]}}', '{"a": 1, "b": {"c": [{"d": 3}]}}')], "json", lambda: fid.without_paths("raw"))
+_cases("bad_json_paths", "id int, raw string", [(1, "{bad", None), (2, None, None), (3, "", None), (4, '{"path": 1}', "{}"), (5, "[" * 5000, None)], "json", lambda: fid.without_paths("raw"))
+_cases("bad_json_strings", "id int, raw string", [(1, "{bad", []), (2, '"x"', ["x"]), (3, "[1, null]", [])], "strings", lambda: fid.json_strings("raw"))
 _cases("json_strings", "id int, raw string", [(1, '{"a": "x", "b": ["y", {"c": "z"}], "d": 1}', ["x", "y", "z"]), (2, None, [])], "strings", lambda: fid.json_strings("raw"))
 _cases("headings", "id int, line string", [
     (1, "4.4 Advertências", "### 4.4 Advertências"), (2, "## 4 . 2 Posologia", "### 4.2 Posologia"), (3, "4.2. Posologia", "### 4.2 Posologia"), (4, "5.2 Biotransformação).", "# 5. 2 Biotransformação)."), (5, "2. 2.COMPOSIÇÃO", "# 2. COMPOSIÇÃO"),
@@ -436,3 +438,37 @@ def entity_items(spark, sf_dir):
     i = rows(spark, "doc string, kind string, value string, gene string, section string, n int", [("a", "alelo", "CYP2C9*2", "CYP2C9", "4.2", 1), ("a", "alelo", "CYP2C9*2", "CYP2C9", "4.5", 2), ("a", "gene", "ZZZ", "ZZZ", "4.2", 1)])
     out = analysis.entity_items(i, rows(spark, "gene string, hgnc_id string", [("CYP2C9", "H1")]), rows(spark, "kind string, value string", [("alelo", "CYP2C9*2")]), rows(spark, "value string, guideline_id string", [("CYP2C9*2", "PA1")]))
     return analysis.compact_entities(out.select("doc", "kind", "value", "gene", "total_mentions", "sections", "hgnc_id", "has_variant", "guideline_ids", "has_guideline"))
+
+
+_RESULT = """{"documento": {"nome_medicamento": "M", "aliases_substancia_ativa": ["a", "b"], "grupo_farmacoterapeutico": "G"}, "identificadores_substancia": {"mesh_id": "D1", "umls_cui": "", "mrconso_cui": "C1"},
+    "qualidade_extracao": {"falhas_extracao": 2, "excertos_recompostos": "3", "excertos_nao_encontrados": 4}, "origem_entidades": {"texto": {"entidades_unicas": 5, "mencoes": 6}, "tabelas": {"mencoes": "x"}, "exclusivas_de_tabelas": ["e"]},
+    "pipeline": {"pipeline_version": "2", "llm": {"model": "m", "temperature": 0.1}}}"""
+
+
+@query(table("id, nome_medicamento, grupo, mesh_id, umls_cui, aliases, exclusivas_de_tabelas, falhas_extracao, nao_verbatim, texto_unicas, texto_mencoes, tabelas_unicas, tabelas_mencoes, versao_pipeline, configuracao", [
+    (1, "M", "G", "D1", "C1", ["a", "b"], ["e"], 2, 7, 5, 6, 0, 0, "2", "m temp=0.1 seed=None"), (2, "old", None, None, None, [], [], 0, 0, 0, 0, 0, 0, "1", None), (3, None, None, None, None, [], [], 0, 0, 0, 0, 0, 0, None, None),
+]))
+def result_blocks(spark, sf_dir):
+    """Document, identifiers, quality, origin and provenance of results in new, old and broken layouts."""
+    r = rows(spark, "id int, raw string", [(1, _RESULT), (2, '{"nome_medicamento": "old", "pipeline_version": "1", "pipeline": {"llm": {}}}'), (3, "{broken")])
+    out = r.select("id", *filters.document_blocks(c("raw")))
+    numbers = [n for n in filters.NUMBER_FIELDS]
+    return out.select("id", "nome_medicamento", "grupo", "mesh_id", "umls_cui", "aliases", "exclusivas_de_tabelas", *[F.col(n).cast("int").alias(n) for n in numbers], "versao_pipeline", "configuracao")
+
+
+_cases("counts_blocks", "id int, u string, e string", [
+    (1, '{"contagens": {"a": 1}}', '{"contagens_documento": {"b": 2}}', '{"a":1}'), (2, '{"contagens": {}, "contagens_finais": {"c": 3}}', '{"contagens_documento": {"b": 2}}', '{"b":2}'), (3, '{"contagens_finais": {"c": 3}}', None, '{"c":3}'), (4, '{"contagens": [1]}', "", None),
+], "block", lambda: filters.counts_block(c("u"), c("e")))
+_cases("entity_lists", "id int, raw string", [
+    (1, '{"entidades": {"genes": ["a"]}, "entidades_unicas": {"genes": ["b"]}}', ["a"]), (2, '{"entidades": {"genes": "x"}, "entidades_unicas": {"genes": [{"symbol": "b"}]}}', ['{"symbol":"b"}']), (3, '{"document_unique_genes": ["c", "d"]}', ["c", "d"]), (4, "{}", []), (5, None, []),
+], "genes", lambda: filters.entity_list(c("raw"), "genes"))
+
+
+@query(table("id, term, kind, n", [(1, "CYP2D6", "gene", 1), (1, "CYP2D6*4", "alelo", 1), (1, "alpha beta", "termo", 1), (1, "alpha beta gamma delta", "termo", 1), (2, "rs123", "rsid", 2), (2, "beta gamma", "termo", 1), (3, "delta", "termo", 2)]))
+def longest_terms(spark, sf_dir):
+    """At each place the longest term counts, whatever its length; alleles and variants have kinds of their own, genes need a digit."""
+    genes = matching.entity_lexicon(rows(spark, "symbol string", [("CYP2D6",), ("POR",)]))
+    terms = rows(spark, "term string, kind string", [("alpha beta", "termo"), ("alpha beta gamma delta", "termo"), ("beta gamma", "termo"), ("delta", "termo"), ("CYP2D6*4", "gene"), ("rs123", "gene")])
+    lexicon = genes.unionByName(terms).withColumn("kind", matching.lexicon_kind(c("term"), c("kind")))
+    texts = rows(spark, "id int, text string", [(1, "Alpha beta; alpha BETA gamma delta, cyp2d6 por CYP2D6*4"), (2, "rs123 beta gamma rs123 alpha"), (3, "delta\ndelta"), (4, None), (5, "")])
+    return matching.lexicon_hits(texts, "id", "text", lexicon, "term", "kind").select("id", "term", "kind", F.col("n").cast("int").alias("n"))

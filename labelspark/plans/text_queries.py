@@ -111,13 +111,13 @@ def sectionise_lines(spark, sf_dir):
     return s.groupBy("page_id", "section").agg(F.sum(F.length(tx.squeeze(F.regexp_replace("piece", "<[^>]+>", " ")))).alias("n_chars"))
 
 
-@query(r"""WITH lex AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}*:-]+'), lambda x: length(x) >= 8)) AS term FROM benchmark),
+@query(r"""WITH lex AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}*:-]+'), lambda x: x <> '')) AS term FROM benchmark),
     said AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}*:-]+'), lambda x: x <> '')) AS term FROM documents)
     SELECT doc_id, term, count(*) AS n FROM said JOIN lex USING (term) GROUP BY doc_id, term""")
 def lexicon_hits(spark, sf_dir):
-    words = F.filter(F.split(F.lower("text"), r"(?U)[^\p{L}\p{N}*:-]+"), lambda w: F.length(w) >= 8)
+    words = F.filter(F.split(F.lower("text"), r"(?U)[^\p{L}\p{N}*:-]+"), lambda w: w != "")
     lexicon = read(spark, sf_dir, "benchmark").select(F.explode(words).alias("term")).distinct()
-    return matching.lexicon_hits(read(spark, sf_dir, "documents"), "doc_id", "text", lexicon, "term", 1)
+    return matching.lexicon_hits(read(spark, sf_dir, "documents"), "doc_id", "text", lexicon, "term")
 
 
 @query(r"""SELECT doc_id, len(list_filter(regexp_split_to_array(upper(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x = 'THE'))::BIGINT AS n FROM documents""")

@@ -19,9 +19,14 @@ VARIANTS = "variant string, gene string, type string, level string, chemicals st
 FINGERPRINT = "ficheiro string, digitalizacao boolean, caracteres long, hash string, motivo string, erro string, word_density double, letter_fraction double, control_fraction double"
 
 
-def _with_pos(df: DataFrame) -> DataFrame:
-    """File order, as far as a split file has one: ids grow with the place in the file."""
-    return df.withColumn("pos", F.monotonically_increasing_id())
+def with_pos(files: DataFrame) -> DataFrame:
+    """Rows as read from files, with pos: a struct that sorts them by file name, by the piece of the file a task read, and by the place in it.
+
+    It must stand right on the reader: what a projection has left knows no file.
+    Ids grow with the place inside a piece; Spark deals pieces out by size.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    return files.withColumn("pos", place)
 
 
 def pdf_files(spark: SparkSession, folder: str, listed: DataFrame | None = None) -> DataFrame:
@@ -38,7 +43,7 @@ def file_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
-    """(path, file, text), line ends as they are."""
+    """(path, file, text), line ends as they are. An empty file gives no row, so with_markdown falls back as for a missing one."""
     rows = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
@@ -69,8 +74,7 @@ def split_unusable(docs: DataFrame, markers: DataFrame) -> tuple[DataFrame, Data
 
 
 def gene_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.csv(path, sep="\t", header=True, schema=GENES)
-    return _with_pos(rows.filter(F.trim("symbol") != ""))
+    return with_pos(spark.read.csv(path, sep="\t", header=True, schema=GENES)).filter(F.trim("symbol") != "")
 
 
 def last_by_symbol(genes: DataFrame) -> DataFrame:
@@ -79,7 +83,7 @@ def last_by_symbol(genes: DataFrame) -> DataFrame:
 
 
 def variant_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    return _with_pos(spark.read.csv(path, sep="\t", header=True, schema=VARIANTS))
+    return with_pos(spark.read.csv(path, sep="\t", header=True, schema=VARIANTS))
 
 
 def guidelines(spark: SparkSession, path: str) -> DataFrame:
@@ -94,9 +98,9 @@ def guidelines(spark: SparkSession, path: str) -> DataFrame:
 def concepts(spark: SparkSession, path: str) -> DataFrame:
     """(pos, cui, lat, scui, sdui, sab, code, str) of a pipe-separated concept file; short rows are skipped."""
     f = F.split("value", r"\|")
-    rows = spark.read.text(path).select(f.alias("f")).filter(F.size("f") >= 15)
+    rows = with_pos(spark.read.text(path)).select(f.alias("f"), "pos").filter(F.size("f") >= 15)
     names = {"cui": 0, "lat": 1, "scui": 9, "sdui": 10, "sab": 11, "code": 13, "str": 14}
-    return _with_pos(rows.select(*[F.col("f")[k].alias(n) for n, k in names.items()]))
+    return rows.select(*[F.col("f")[k].alias(n) for n, k in names.items()], "pos")
 
 
 def register(spark: SparkSession, path: str) -> DataFrame:
@@ -111,13 +115,13 @@ def latest(rows: DataFrame, key: str, pos: str) -> DataFrame:
 def fingerprint_log(spark: SparkSession, path: str) -> DataFrame:
     """The last fingerprint of each file of a JSON-Lines log; bad lines are skipped."""
     rows = spark.read.schema(FINGERPRINT + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return latest(_with_pos(rows.filter("_bad is null").drop("_bad")), "ficheiro", "pos").drop("pos")
+    return latest(with_pos(rows).filter("_bad is null").drop("_bad"), "ficheiro", "pos").drop("pos")
 
 
 def compound_list(spark: SparkSession, path: str) -> DataFrame:
     """(pos, compound, inn) of lines `12. name;inn`, separated by tab, semicolon or bar."""
     parts = F.transform(F.split(F.regexp_replace("value", r"^\s*\d+[.)]\s*", ""), r"[\t;|]"), lambda x: F.trim(x))
-    rows = _with_pos(spark.read.text(path)).filter((F.trim("value") != "") & ~F.trim("value").startswith("#"))
+    rows = with_pos(spark.read.text(path)).filter((F.trim("value") != "") & ~F.trim("value").startswith("#"))
     return rows.select("pos", parts[0].alias("compound"), F.coalesce(F.try_element_at(parts, F.lit(2)), parts[0]).alias("inn"))
 
 

@@ -29,8 +29,8 @@ def clean_sheet(df: DataFrame) -> DataFrame:
 
 
 def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
-    """One Parquet table for each sheet; names are legal sheet names and distinct."""
-    bad = [n for n in sheets if not n or len(n) > 31 or any(c in n for c in "[]:*?/\\")]
+    """One Parquet table for each sheet; names are legal sheet names (not blank, no apostrophe at either end) and distinct."""
+    bad = [n for n in sheets if not n.strip() or len(n) > 31 or any(c in n for c in "[]:*?/\\") or "'" in (n[0], n[-1])]
     if bad or len({n.lower() for n in sheets}) < len(sheets):
         raise ValueError(f"sheet names: {bad or 'not distinct'}")
     for name, df in sheets.items():

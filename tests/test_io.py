@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelspark.functions import sections as sec
-from labelspark.operators import matching
+from labelspark.operators import dedup, matching
 from labelspark.plans import api, store
 from labelspark.sources import readers, sinks
 from labelspark.streaming import incremental
@@ -79,8 +79,9 @@ def test_writers(spark, tmp_path):
     assert rows(readers.sheet(spark, str(tmp_path / "x/Resumo"), "k", "k string, v int")) == [("ab", 1)]
     with pytest.raises(ValueError):
         sinks.write_sheets({"a/b": s}, str(tmp_path))
-    with pytest.raises(ValueError):
-        sinks.write_sheets({"A": s, "a": s}, str(tmp_path))
+    for names in ({"A": s, "a": s}, {"'a": s}, {"a'": s}, {" ": s}):
+        with pytest.raises(ValueError):
+            sinks.write_sheets(names, str(tmp_path))
     sinks.write_csv(s, str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 1
 
@@ -105,9 +106,12 @@ def test_blocks(spark):
     assert out[1].b == [] and out[2].b == []
 
 
-def test_contains_join_is_the_nested_loop(spark):
+@pytest.mark.parametrize("sent", [matching.SENT, 0])
+def test_contains_join_is_the_nested_loop(spark, monkeypatch, sent):
+    """By one automaton, and by the join on keys for more items than that may hold."""
+    monkeypatch.setattr(matching, "SENT", sent)
     texts = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "ab"), (3, ""), (4, None), (5, "quick brown fox")], "id int, t string")
-    items = spark.createDataFrame([("a", "quick brown fox"), ("b", "b"), ("c", "ab"), ("d", ""), ("e", None), ("f", "x" * 40)], "k string, item string")
+    items = spark.createDataFrame([("a", "quick brown fox"), ("a2", "quick brown fox"), ("b", "b"), ("c", "ab"), ("d", ""), ("e", None), ("f", "x" * 40)], "k string, item string")
     want = rows(texts.join(items, F.contains("t", "item") & (F.length("item") > 0)), "id", "k")
     assert rows(matching.contains_join(texts, "t", items, "item"), "id", "k") == want
 
@@ -118,3 +122,48 @@ def test_store_and_limits(spark):
         api.coverage({}, state="parcial")
     ids = store.numbered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(9), ["k"]).collect()
     assert all(r.id == r.k + 1 for r in ids)
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "13"])
+def test_lots_of_sparse_and_repeated_ids(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        ids = [k * k * 1_000_003 for k in range(500)] + [9_000_009] * 30
+        out = dedup.lots(spark.createDataFrame([(i,) for i in ids], "i long").repartition(5), 7, "i").collect()
+        assert [r.lot for r in sorted(out, key=lambda r: (r.i, r.lot))] == [k // 76 for k in range(530)]
+        assert dedup.lots(spark.createDataFrame([], "i long"), 7, "i").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_similarity_of_whole_texts(spark):
+    """Texts that differ only far behind their beginning, against difflib."""
+    import difflib
+
+    from labelspark.functions import text as tx
+
+    pairs = [("a" * 2500 + "bcd", "a" * 2500 + "xyz"), ("w " * 1500 + "end", "w " * 1500), ("", "x"), (None, None)]
+    out = spark.createDataFrame(pairs, "a string, b string").select(tx.similarity("a", "b").alias("r")).collect()
+    assert [r.r for r in out] == [difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in pairs]
+
+
+def test_tables_and_figures_lose_nothing(spark):
+    """Captions, bodies and figures are found, the longest caption of a number stays, and all other text remains."""
+    text = "Antes.\nTabela 1. Doses por peso\n| a | b |\n|---|---|\n| 1 | 2 |\nMeio.\nTabela 1: x\nFigura 2: Curva\nFim."
+    x = spark.createDataFrame([(text,), ("sem nada",), (None,)], "t string").select(sec.tables_and_figures("t").alias("x")).collect()
+    first = x[0].x
+    assert [(t.numero, t.titulo) for t in first.tables] == [("1", "Doses por peso")] and "| 1 | 2 |" in first.tables[0].texto
+    assert [(f.numero, f.descricao) for f in first.figures] == [("2", "Curva")]
+    assert [w for w in ("Antes.", "Meio.", "Fim.") if w in first.text] == ["Antes.", "Meio.", "Fim."] and "|" not in first.text
+    assert (x[1].x.text, x[1].x.tables, x[2].x.text) == ("sem nada", [], "")
+
+
+def test_seeded_sample(spark):
+    """The sample is a function of the seed, of the asked size, and of keys that are there."""
+    from labelspark.operators import agreement
+
+    df = spark.createDataFrame([(f"s{k % 50}", k) for k in range(500)], "source string, doc_id int")
+    one, again, other = (rows(agreement.seeded_sample(d, "source", 20, seed)) for d, seed in ((df, 42), (df.repartition(7), 42), (df, 43)))
+    keys = [r[0] for r in one]
+    assert one == again and one != other and len(set(keys)) == 20 and set(keys) <= {f"s{k}" for k in range(50)}
