@@ -30,6 +30,7 @@ GENERIC = (
 EQUIVALENT = {"dexibuprofen": ("ibuprofen",), "acetylsalicylic acid": ("aspirin",), "ascorbic acid": ("vitamin c",), "metamizole": ("dipyrone",), "metamizol": ("dipyrone",)}
 LEAST = 4
 
+# What parts a combination, and stereochemical prefixes before which a name is another substance.
 _SEPARATORS = r"(?iU)\s*(?:\+|/|;|,|\be\b|\band\b)\s*"
 _STEREO = r"(?<!(?:\((?:s|r|\+|-)\)|\b(?:s|r|l|d))-\s{0,5})"
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelspark.functions.substances import expanded, same_substance
+from labelspark.functions.substances import GENERIC, expanded, same_substance
 from labelspark.functions.text import fold
 
 #: Characters of a gram by which contained strings are blocked.
@@ -91,20 +91,30 @@ def with_variant_evidence(asked: DataFrame, variants: DataFrame, key: str = "gen
 
 
 def _words(c: Column) -> Column:
-    """The distinct words of a folded name, and the name itself, that an index may hold it by."""
-    return F.array_distinct(F.concat(F.array(c), F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda w: w != "")))
+    """The distinct words of a folded name; the name itself where it has none."""
+    words = F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
+    return F.when(F.size(words) > 0, words).otherwise(F.array(c))
+
+
+def _leading_word(c: Column) -> Column:
+    """The one word by which a name is sought in longer ones: the longest that is no salt or other generic word, if there is one."""
+    return F.array_max(F.transform(_words(c), lambda w: F.struct((~w.isin(*GENERIC)).alias("own"), F.length(w).alias("n"), w.alias("w"))))["w"]
 
 
 def boundary_join(values: DataFrame, value: str, queries: DataFrame, query: str) -> DataFrame:
     """Pairs of values and queries that match as substances.
 
-    A whole-word match shares its first word, so both sides are filed under
-    their words and joined on them; the full test runs on those pairs only.
+    All words of the shorter name are words of the longer. So each name is filed
+    once under its leading word, as the shorter, and once under every word, as
+    the longer; the two are joined both ways and the full test runs on those
+    pairs only. A salt that very many names hold meets only names of nothing else.
     """
     v = values.withColumn("_v", fold(F.col(value)))
     q = queries.withColumn("_q0", fold(F.col(query))).withColumn("_q", F.explode(expanded(F.col("_q0"))))
-    file = lambda df, c: df.withColumn("_w", F.explode(_words(F.col(c))))
-    pairs = file(v, "_v").join(file(q, "_q"), "_w").filter(same_substance(F.col("_v"), F.col("_q")))
+    all_words = lambda df, c: df.withColumn("_w", F.explode(_words(F.col(c))))
+    leading = lambda df, c: df.withColumn("_w", _leading_word(F.col(c)))
+    match = same_substance(F.col("_v"), F.col("_q"))
+    pairs = all_words(v, "_v").join(leading(q, "_q"), "_w").filter(match).unionByName(leading(v, "_v").join(all_words(q, "_q"), "_w").filter(match))
     return pairs.select(*values.columns, *queries.columns).distinct()
 
 

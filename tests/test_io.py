@@ -167,3 +167,14 @@ def test_seeded_sample(spark):
     one, again, other = (rows(agreement.seeded_sample(d, "source", 20, seed)) for d, seed in ((df, 42), (df.repartition(7), 42), (df, 43)))
     keys = [r[0] for r in one]
     assert one == again and one != other and len(set(keys)) == 20 and set(keys) <= {f"s{k}" for k in range(50)}
+
+
+def test_boundary_join_is_the_nested_loop(spark):
+    """Names that share salts, names of nothing but salts, punctuation, equivalents and repeated rows."""
+    from labelspark.functions import substances as sub
+
+    names = ["sodium", "sodium chloride", "sodium chloride 0.9%", "warfarin sodium", "Warfarina", "warfarin", "(S)-citalopram", "citalopram hydrobromide", "citalopram", "acetylsalicylic acid", "aspirin", "--", "", None, "ácido fólico", "acido folico", "folic acid sodium salt", "valproate sodium", "sodium valproate", "vitamin c", "ascorbic acid", "K"]
+    v = spark.createDataFrame([(k, n) for k, n in enumerate(names)] + [(5, "warfarin")], "i int, value string")
+    q = spark.createDataFrame([(k, n) for k, n in enumerate(reversed(names))], "j int, query string")
+    want = rows(v.crossJoin(q).filter(sub.matches(F.col("value"), F.col("query"))).distinct(), "i", "j")
+    assert rows(matching.boundary_join(v, "value", q, "query"), "i", "j") == want and len(want) > 25
