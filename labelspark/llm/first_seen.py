@@ -15,8 +15,8 @@ from labelspark.llm.common import batch, longs, materialize, partitions
 KEY = ("h1", "h2", "doc_id", "pos")
 _EMITTED = "kind int, part int, h1 long, h2 long, doc_id long, pos long"
 DROP, PENDING, HEAD, TAIL = 0, 1, 2, 3
-#: Rows of the source, and rows a partition made of them, from which borders are read. They decide how even partitions are, and no result.
-SAMPLE, PER_PART = 2048, 100
+#: Rows of the source from which borders are read, how many more for each partition, and about how many rows made of each. They decide how even partitions are, and no result.
+SAMPLE, MORE, PER_ROW = 2048, 8, 16
 
 
 def places(keys: list[np.ndarray], borders: list[np.ndarray]) -> np.ndarray:
@@ -32,9 +32,15 @@ def places(keys: list[np.ndarray], borders: list[np.ndarray]) -> np.ndarray:
 
 
 def ranged(schema: pa.Schema, columns: list[np.ndarray], borders: list[np.ndarray] | None) -> pa.RecordBatch:
-    """A batch of the columns, all of them keys, and of their partition, which comes last in the schema."""
-    part = np.zeros(len(columns[0]), np.int64) if borders is None else places(columns, borders)
-    return batch(schema, *map(longs, columns), part.astype(np.int32))
+    """A batch of the columns, all of them keys and the last but one the document, and of their partition, which comes last in the schema. Without borders only a sample of each document's rows, evenly spaced."""
+    if borders is None:
+        doc = columns[-2]
+        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(doc)])
+        nth = np.arange(len(doc)) - np.repeat(starts, sizes)
+        columns = [c[nth % np.repeat(-(-sizes // PER_ROW), sizes) == 0] for c in columns]
+        return batch(schema, *map(longs, columns), np.zeros(len(columns[0]), np.int32))
+    return batch(schema, *map(longs, columns), places(columns, borders).astype(np.int32))
 
 
 def by_range(source: DataFrame, emit: Callable, keys: tuple[str, ...]) -> DataFrame:
@@ -46,9 +52,9 @@ def by_range(source: DataFrame, emit: Callable, keys: tuple[str, ...]) -> DataFr
     """
     parts = partitions(source.sparkSession)
     schema = ", ".join(f"{k} long" for k in keys) + ", part int"
-    size = SAMPLE + 8 * parts
+    size = SAMPLE + MORE * parts
     some = source.filter(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(max(source.count(), 1))) < size)
-    seen = some.mapInArrow(emit(None), schema).orderBy(F.xxhash64(*keys)).limit(PER_PART * parts).select(*keys).toArrow()
+    seen = some.mapInArrow(emit(None), schema).select(*keys).toArrow()
     columns = [seen.column(k).to_numpy() for k in keys]
     order = np.lexsort(columns[::-1])[[k * seen.num_rows // parts for k in range(1, parts)]] if seen.num_rows else np.empty(0, np.int64)
     made = source.mapInArrow(emit([c[order] for c in columns]), schema)
