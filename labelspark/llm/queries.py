@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelspark.llm import ann, bpe, chat, line_dedup, mixing, quality, simhash, substring_dedup, url_filter, vector_dedup
+from labelspark.llm import ann, bpe, chat, fim, line_dedup, mixing, prefix_trie, quality, sharding, simhash, substring_dedup, url_filter, vector_dedup
 
 #: Parts of the mixture by source.
 WEIGHTS = {"src0": 10} | {f"src{k}": 3 for k in range(1, 6)} | {f"src{k}": 1 for k in range(6, 20)}
@@ -63,9 +63,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_report(_read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(_read(spark, sf_dir, "documents"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_report(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_nearest_vectors, op2_line_dedup, op3_chat_format, op4_vector_dedup, op5_source_mix, op6_bpe, op7_simhash, op8_url_filter, op9_quality, op10_substring_dedup)
+    for f in (op1_nearest_vectors, op2_line_dedup, op3_chat_format, op4_vector_dedup, op5_source_mix, op6_bpe, op7_simhash, op8_url_filter, op9_quality, op10_substring_dedup, op11_fill_in_middle, op12_shards, op13_prefix_trie)
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
