@@ -187,4 +187,4 @@ def prefix_trie(own: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 def trie_report(conversations: DataFrame, every: int = 5, most: int = 9) -> DataFrame:
     """The trie of the conversations with exchanged beginnings."""
     own, ids = regrown(materialize(turns(conversations)), every, most)
-    return prefix_trie(own, ids).drop("node", "bytes")
+    return prefix_trie(own, ids).drop("node", "bytes", "n_ends")

@@ -102,6 +102,9 @@ def _url_sql() -> str:
         FROM hits s LEFT JOIN fits USING (page_id)"""
 
 
+#: CRC-32 of ASCII text x, bit by bit.
+_CRC = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(x, ''), lambda c: ascii(c)::BIGINT), lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda v, w: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"
+
 ORACLES = {
     "op2_line_dedup": f"""
         WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
@@ -140,4 +143,30 @@ ORACLES = {
         kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text, count(*) AS n FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        drawn AS (SELECT *, len(u) AS n, list_transform(range(4), lambda k: ('0x' || substr(h, 8 * k + 1, 8))::BIGINT) AS r FROM d),
+        cut AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+        parts AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM cut)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+            sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM parts""",
+    "op13_prefix_trie": f"""
+        WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS n
+            FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS x FROM own)),
+        turns AS (SELECT i.conv_id, n, role, text FROM ids i JOIN own o ON o.conv_id = base WHERE n <= h UNION ALL SELECT conv_id, n, role, text FROM own JOIN ids USING (conv_id) WHERE n > h),
+        paths AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(sha256(strlen(role) || ':' || role || text), '') OVER w AS path, strlen(text) AS bytes FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY n)
+            UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+        lengths AS (SELECT conv_id, max(depth) AS len FROM paths GROUP BY conv_id),
+        nodes AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = len), '') AS ends
+            FROM paths JOIN lengths USING (conv_id) GROUP BY depth, path),
+        kids AS (SELECT depth - 1 AS depth, left(path, 64 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+        full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (depth, path)),
+        up AS (SELECT left(path, 64 * k) AS path, k AS depth, (n_children = 0)::INT AS leaf, (n_convs - 1) * bytes AS saved FROM (SELECT *, unnest(range(depth + 1)) AS k FROM full_nodes)),
+        sums AS (SELECT depth, path, sum(leaf) AS n_leaves, sum(saved) AS saved FROM up GROUP BY depth, path)
+        SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM full_nodes n JOIN sums USING (depth, path) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = left(n.path, 64 * p.depth)""",
 }
