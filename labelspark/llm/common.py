@@ -48,7 +48,17 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what materialize wrote for tables that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -57,20 +67,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _text_and_mark(text: Column) -> tuple[Column, Column]:
+def _text_and_mark(text: Column, full: bool = True) -> tuple[Column, Column]:
     own = F.coalesce(text.cast("string"), F.lit(""))
-    return own, F.xxhash64(own).bitwiseAND(F.lit(0x7FFFFFFF))
+    return own, F.unhex(F.md5(own.cast("binary"))) if full else F.xxhash64(own).bitwiseAND(F.lit(0x7FFFFFFF))
 
 
-def with_id(documents: DataFrame, *more) -> DataFrame:
-    """doc_id as long, the text as UTF-8 bytes (null: empty), and a mark of the text that tells apart rows that share a doc_id."""
-    text, mark = _text_and_mark(F.col("text"))
+def with_id(documents: DataFrame, *more, full: bool = False) -> DataFrame:
+    """doc_id as long, the text as UTF-8 bytes (null: empty), and a mark of the text that tells apart rows that share a doc_id: 31 bits that fit beside a place, or a full digest of 128."""
+    text, mark = _text_and_mark(F.col("text"), full)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), mark.alias("mark"), *more)
     return spread(rows)
 
 
 def keep_rows(documents: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The documents, all their columns, whose (doc_id, mark) is chosen, one row of each; rows without doc_id stay. chosen: (doc_id, mark, rows), rows of that kind."""
+    """The documents, all their columns, whose (doc_id, mark), with the full digest, is chosen, one row of each; rows without doc_id stay. chosen: (doc_id, mark, rows), rows of that kind."""
     names = {c: f"c{k}" for k, c in enumerate(documents.columns)}
     docs = documents.select(*[F.col(f"`{c}`").alias(x) for c, x in names.items()])
     doc_id, (_, mark) = F.col(names["doc_id"]).cast("long"), _text_and_mark(F.col(names["text"]))

@@ -56,7 +56,7 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprints(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("fp", pa.int64())])
     for b in batches:
         fps = np.array([fingerprint(t.as_buffer().to_pybytes()) for t in b.column(1)], np.uint64)
         yield batch(schema, b.column(0), b.column(2), longs(fps.view(np.int64)))
@@ -65,7 +65,7 @@ def _fingerprints(batches):
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, mark, fp): the fingerprint's bits as a long; mark tells apart texts that share a doc_id."""
     bound_batches(documents.sparkSession)
-    return with_id(documents).mapInArrow(_fingerprints, "doc_id long, mark long, fp long")
+    return with_id(documents, full=True).mapInArrow(_fingerprints, "doc_id long, mark binary, fp long")
 
 
 def _together(batches):

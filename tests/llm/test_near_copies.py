@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from labelspark.llm import near_copies, simhash
@@ -72,10 +74,11 @@ def test_stage_keeps_one_of_each_group(spark):
     assert out.filter("doc_id is null").count() == 2
 
 
-@pytest.mark.parametrize("small", [1, 6])
-def test_crowds_by_difference(spark, monkeypatch, small):
-    """Large groups, here nearly all, lose no link: near copies of one text, some too far from it, some of those close to each other."""
+@pytest.mark.parametrize(("small", "group"), [(1, 1), (6, 1024), (1, 40)])
+def test_crowds(spark, monkeypatch, small, group):
+    """Large groups, here nearly all, lose no link, be it by differences or in one task: near copies of one text, some too far from it, some of those close to each other."""
     monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "GROUP", group)
     rng = random.Random(11)
     base = [f"w{rng.randrange(5000)}" for _ in range(150)]
 
@@ -122,3 +125,27 @@ def test_names_that_clash_and_texts_that_share_a_doc_id(spark):
         if least:
             assert got == sorted([rows[0], rows[2], rows[5]])
         assert all(r[2:] == (r[0], "m", 7, "n", "k") for r in got) and got.count(rows[5]) == 1
+
+
+def test_copies_are_filed_once(spark, monkeypatch):
+    """3 000 copies of one text and one near copy: under each key that the two share there are two rows, not thousands."""
+    seen = []
+    against = near_copies._against
+    monkeypatch.setattr(near_copies, "_against", lambda members, *rest: seen.append(members.groupBy("key").count().agg({"count": "max", "key": "count"}).first()) or against(members, *rest))
+    base = " ".join(f"w{k}" for k in range(200))
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(base).alias("text"), F.lit("a").alias("source"))
+    df = df.unionByName(spark.createDataFrame([(5000, base + " more", "a"), (5001, "a text of its own", "a")], DOCS))
+    assert sorted(r.doc_id for r in simhash.keep_one(df, least=0.8).collect()) == [0, 5001]
+    assert seen[0][0] == 2 and 1 <= seen[0][1] <= 41
+
+
+def test_screen():
+    """Bits that two sets of the similarity asked for may differ in: more for lower similarity, and hardly a link lost."""
+    rng = random.Random(3)
+    for least in (0.5, 0.8):
+        for _ in range(300):
+            n, shared = 300, round(300 * 2 * least / (1 + least))
+            common = [rng.getrandbits(64) for _ in range(shared)]
+            a, b = (near_copies.simhash(np.unique(np.array(common + [rng.getrandbits(64) for _ in range(n - shared)], np.uint64))) for _ in range(2))
+            assert ((a ^ b) & (2**64 - 1)).bit_count() <= near_copies.screen(least)
+    assert near_copies.screen(0.95) < near_copies.screen(0.8) < near_copies.screen(0.5) < 64
