@@ -149,3 +149,18 @@ def test_screen():
             a, b = (near_copies.simhash(np.unique(np.array(common + [rng.getrandbits(64) for _ in range(n - shared)], np.uint64))) for _ in range(2))
             assert ((a ^ b) & (2**64 - 1)).bit_count() <= near_copies.screen(least)
     assert near_copies.screen(0.95) < near_copies.screen(0.8) < near_copies.screen(0.5) < 64
+
+
+def test_sketches():
+    """Hardly a link of any size is lost, and texts that share a passage are told apart."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    lost = apart = 0
+    for _ in range(500):
+        n = int(rng.integers(1, 700))
+        shared = draw(-(-n * 8 // 9))
+        a, b = (np.unique(np.r_[shared, draw(n - len(shared))]) for _ in range(2))
+        lost += not near_copies.agree(near_copies.sketch(a), near_copies.sketch(b), 0.8)
+        c, d = (np.unique(np.r_[shared[: n // 2], draw(n)]) for _ in range(2))
+        apart += not near_copies.agree(near_copies.sketch(c), near_copies.sketch(d), 0.8)
+    assert lost == 0 and apart > 450
