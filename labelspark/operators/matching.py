@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from labelspark.functions.substances import GENERIC, expanded, same_substance
 from labelspark.functions.text import fold
+from labelspark.operators import mentions
 
 #: Characters of a gram by which contained strings are blocked.
 GRAM = 12
@@ -288,19 +289,35 @@ def assign_compound(hits: DataFrame, known: DataFrame) -> DataFrame:
     return known.select("file", "compound").unionByName(best)
 
 
+def _term_words(c: Column) -> Column:
+    return F.filter(F.split(F.lower(c), r"(?U)[^\p{L}\p{N}*:-]+"), lambda w: w != "")
+
+
 def lexicon_hits(texts: DataFrame, key: str, text: str, lexicon: DataFrame, term: str, kind: str | None = None) -> DataFrame:
     """(key, term, n), and the kind if one is named: mentions of a lexicon's terms among the texts' word sequences, at each place the longest term.
 
     Terms may have any number of words. A term that lies inside a longer hit is
     not counted there. Words are runs of letters, digits and the marks of
-    alleles and variants, in lower case.
+    alleles and variants, in lower case. The lexicon, counted before, goes out
+    as a trie of words that reads each text once and shuffles counts only; one
+    beyond `mentions.SENT` characters is joined by runs of words.
     """
-    split = lambda c: F.filter(F.split(F.lower(c), r"(?U)[^\p{L}\p{N}*:-]+"), lambda w: w != "")
     named = [F.col(kind).alias("kind")] if kind else []
-    own = lexicon.select(F.col(term).alias("term"), split(F.col(term)).alias("_w"), *named).filter(F.size("_w") > 0)
-    own = own.withColumns({"_t": F.array_join("_w", " "), "_size": F.size("_w")}).drop("_w").dropDuplicates(["_t"])
+    own = lexicon.select(F.col(term).alias("term"), _term_words(F.col(term)).alias("_w"), *named).filter(F.size("_w") > 0)
+    own = first_by(own.withColumn("_t", F.array_join("_w", " ")).drop("_w"), ["_t"], ["term", *(["kind"] if kind else [])])
+    if (own.agg(F.sum(F.length("_t") + 16)).first()[0] or 0) > mentions.SENT:
+        return lexicon_by_runs(texts, key, text, own, bool(kind))
+    order = sorted(r[0] for r in own.select("_t").collect())
+    hits = mentions.walked(texts, key, text, own, order).join(own, "_t")
+    # rows that share a key are one text's mentions together
+    return hits.groupBy(key, "term", *(["kind"] if kind else [])).agg(F.sum("n").alias("n"))
+
+
+def lexicon_by_runs(texts: DataFrame, key: str, text: str, own: DataFrame, kind: bool) -> DataFrame:
+    """lexicon_hits for a lexicon (term, _t, and a kind) of any size: all runs of as many words as terms have meet the terms in a join."""
+    own = own.withColumn("_size", F.size(F.split("_t", " ")))
     sizes = sorted(r[0] for r in own.select("_size").distinct().collect())  # a number for each length of terms
-    t = texts.select(key, split(F.col(text)).alias("_w")).filter(F.size("_w") > 0)
+    t = texts.select(key, _term_words(F.col(text)).alias("_w")).filter(F.size("_w") > 0)
 
     def runs(n: int) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice("_w", i + 1, n), " ").alias("t")))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +10,13 @@ from pyspark.sql import functions as F
 
 from labelspark.plans.registry import query, read, rows, table
 from labelspark.sources import readers, sinks
+from labelspark.sources.shared import shared_dir
 from labelspark.streaming import incremental
 
 
 def _tree(spark: SparkSession, files: dict[str, bytes] | None = None) -> str:
     """A new folder that driver and executors share, with these files; it goes when the driver ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
-        shared = tempfile.gettempdir()
-    folder = f"{shared.rstrip('/')}/labelspark-files-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/labelspark-files-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path
     system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(path(folder))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labelspark.functions import entities as ent
 from labelspark.functions.text import fold
 from labelspark.operators import agreement, analysis, dedup
-from labelspark.plans import api, store
+from labelspark.plans import api, statements, store
 from labelspark.plans.registry import query, read
 from labelspark.sources.readers import latest
 from labelspark.streaming import incremental
@@ -220,19 +220,34 @@ def store_orphans(spark, sf_dir):
 
 @query("SELECT row_number() OVER (ORDER BY c_name) AS id, c_name FROM customer")
 def surrogate_ids(spark, sf_dir):
-    return store.numbered(read(spark, sf_dir, "customer").select("c_name"), ["c_name"])
+    return statements.numbered(read(spark, sf_dir, "customer").select("c_name"), ["c_name"])
 
 
 @query("SELECT n_nationkey, concat('(', n_nationkey, ', ''', replace(n_name, '''', ''''''), ''', ', n_regionkey, ')') AS row FROM nation")
 def dump_literals(spark, sf_dir):
     n = read(spark, sf_dir, "nation")
-    return n.select("n_nationkey", F.concat(F.lit("("), F.concat_ws(", ", store.literal(F.col("n_nationkey"), True), store.literal(F.col("n_name"), False), store.literal(F.col("n_regionkey"), True)), F.lit(")")).alias("row"))
+    return n.select("n_nationkey", F.concat(F.lit("("), F.concat_ws(", ", statements.literal(F.col("n_nationkey"), True), statements.literal(F.col("n_name"), False), statements.literal(F.col("n_regionkey"), True)), F.lit(")")).alias("row"))
 
 
-@query("""WITH r AS (SELECT o_orderkey, concat('(', o_orderkey, ', ''', o_orderpriority, ''')') AS t FROM orders), w AS (SELECT *, o_orderkey // 8192 AS b, sum(length(t) + 2) OVER (PARTITION BY o_orderkey // 8192 ORDER BY o_orderkey) AS c, count(*) OVER (PARTITION BY o_orderkey // 8192 ORDER BY o_orderkey) AS k FROM r)
-    SELECT b AS slice, greatest((c - 1) // 25000, (k - 1) // 200)::BIGINT AS batch, count(*) AS n_rows, 'INSERT INTO orders (o_orderkey, o_orderpriority) VALUES' || chr(10) || string_agg(t, ',' || chr(10) ORDER BY o_orderkey) || ';' AS statement FROM w GROUP BY 1, 2""")
+def _statements_sql(table: str, columns: str, row: str, order: str) -> str:
+    """Statements by their meaning: one begins at row 0, and the next where a row is one too many or would make it too long."""
+    return f"""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS i, {row} AS t FROM {table}),
+        c AS (SELECT i, t, length(t) AS len, sum(length(t) + 2) OVER (ORDER BY i) - length(t) - 2 AS before FROM r),
+        ends AS (SELECT a.i, coalesce(min(b.i), a.i + 200) AS after FROM c a LEFT JOIN c b ON b.i > a.i AND b.i <= a.i + 200 AND (b.i = a.i + 200 OR b.before - a.before + b.len > 25000) GROUP BY a.i),
+        starts AS (SELECT 0::BIGINT AS batch, 0::BIGINT AS i WHERE EXISTS (FROM r) UNION ALL SELECT batch + 1, after FROM starts JOIN ends USING (i) WHERE after < (SELECT count(*) FROM r))
+        SELECT s.batch, count(*) AS n_rows, 'INSERT INTO {table} ({columns}) VALUES' || chr(10) || string_agg(t, ',' || chr(10) ORDER BY c.i) || ';' AS statement
+        FROM starts s JOIN ends e USING (i) JOIN c ON c.i >= s.i AND c.i < e.after GROUP BY s.batch"""
+
+
+@query(_statements_sql("orders", "o_orderkey, o_orderpriority", "concat('(', o_orderkey, ', ''', o_orderpriority, ''')')", "o_orderkey"))
 def dump_batches(spark, sf_dir):
-    return store.insert_batches(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "orders", "o_orderkey")
+    return statements.insert_batches(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "orders", "o_orderkey")
+
+
+@query(_statements_sql("documents", "doc_id, source, text", "concat('(', doc_id, ', ', coalesce(chr(39) || source || chr(39), 'NULL'), ', ', coalesce(chr(39) || replace(text, chr(39), chr(39) || chr(39)) || chr(39), 'NULL'), ')')", "doc_id"))
+def dump_documents(spark, sf_dir):
+    """Rows between a few and some ten thousand characters: statements end by length."""
+    return statements.insert_batches(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "documents", "doc_id")
 
 
 @query("""WITH h AS (SELECT event_id % 2 AS run, user_id AS doc, string_agg(event_type, ',' ORDER BY event_id) AS raw, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS ents FROM events GROUP BY ALL),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspark.operators.matching import first_by
+from labelspark.plans.statements import numbered
 
 #: Tables in the order in which their references resolve.
 TABLES = ("substancia", "documento", "entidade", "entidade_seccao", "passagem", "guideline", "cobertura")
@@ -14,8 +15,6 @@ KEYS = {
     "substancia": ["nome"], "documento": ["ficheiro"], "entidade": ["documento_id", "tipo", "valor"], "entidade_seccao": ["entidade_id", "seccao"],
     "passagem": ["documento_id", "seccao"], "guideline": ["guideline_id", "farmaco", "gene"], "cobertura": ["documento_id", "guideline_id"],
 }
-# Limits of one insert statement.
-MOST_CHARS, MOST_ROWS = 25_000, 200
 
 
 def first_wins(rows: DataFrame, table: str, order: list) -> DataFrame:
@@ -23,23 +22,6 @@ def first_wins(rows: DataFrame, table: str, order: list) -> DataFrame:
     return first_by(rows, KEYS[table], order)
 
 
-def numbered(rows: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
-    """rows with whole-number ids by the order of their keys, without a task that sorts all rows.
-
-    Rows are numbered inside range partitions; the sizes of the partitions before are added.
-    """
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    dealt = dealt.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    dealt = dealt.persist()
-    sizes = {r[0]: r[1] for r in dealt.groupBy("_p").count().collect()}
-    start, total = {}, 0
-    for p in sorted(sizes):
-        start[p], total = total, total + sizes[p]
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("_p")) if start else F.lit(0)
-    first = F.col("_p").cast("long") * F.lit(1 << 33)
-    return dealt.withColumn(name, (F.col("_m") - first + base + 1).cast("long")).drop("_p", "_m")
-
-
 def load(substances: DataFrame, documents: DataFrame, mentions: DataFrame, passages: DataFrame, coverage: DataFrame) -> dict[str, DataFrame]:
     """The seven tables out of rows by document.
 
@@ -100,27 +82,6 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str = "id
     return child.filter(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
 
 
-def literal(c: Column, is_number: bool) -> Column:
-    """A value as SQL: numbers bare, quotes doubled, NULL."""
-    text = c.cast("string")
-    return F.coalesce(text if is_number else F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL"))
-
-
-def insert_batches(df: DataFrame, table: str, order: str, bucket: int = 8192) -> DataFrame:
-    """(batch, n_rows, statement): rows by `order` in statements of limited length and number of rows.
-
-    Statements are filled inside slices of the order's range, each of which starts a new one.
-    """
-    numeric = {f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")}
-    row = F.concat(F.lit("("), F.concat_ws(", ", *[literal(F.col(c), c in numeric) for c in df.columns]), F.lit(")"))
-    w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.select(order, F.floor(F.col(order) / F.lit(bucket)).alias("_b"), row.alias("_r"))
-    rows = rows.withColumn("_n", F.greatest(F.floor((F.sum(F.length("_r") + 2).over(w) - 1) / F.lit(MOST_CHARS)), F.floor((F.count("*").over(w) - 1) / F.lit(MOST_ROWS))))
-    head = f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES\n"
-    out = rows.groupBy("_b", "_n").agg(F.count("*").alias("n_rows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_r"))), lambda x: x["_r"]), ",\n").alias("_v"))
-    return out.select(F.col("_b").cast("long").alias("slice"), F.col("_n").cast("long").alias("batch"), "n_rows", F.concat(F.lit(head), "_v", F.lit(";")).alias("statement"))
-
-
 def star_store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The same seven tables over the star schema: customers as substances, orders as documents, line items as mentions, brands as genes, suppliers' nations as sources."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labelspark.functions import sections as sec
 from labelspark.functions import text as tx
 from labelspark.functions.entities import bounded_count, counting_text
-from labelspark.operators import agreement, dedup, filters, matching
+from labelspark.operators import agreement, dedup, filters, matching, mentions
 from labelspark.plans.registry import query, read
 
 _NORM = r"lower(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\x0b\x0c]+', ' ', 'g')))"
@@ -125,6 +125,22 @@ def bounded_occurrences(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", bounded_count(counting_text(F.col("text")), F.lit("THE")).cast("long").alias("n"))
 
 
+@query(r"""WITH names AS (SELECT DISTINCT name FROM (SELECT p_brand AS name FROM part UNION ALL SELECT p_name FROM part
+            UNION ALL SELECT unnest(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: length(x) >= 4)) FROM benchmark)),
+    forms AS (SELECT name, upper(regexp_replace(name, '\s+', '', 'g')) AS form FROM names),
+    canon AS (SELECT doc_id, trim(upper(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), ' ?([*-]) ?', '\1', 'g'))) AS t FROM documents),
+    pieces AS (SELECT doc_id, form, string_split(t, form) AS p FROM canon, (SELECT DISTINCT form FROM forms) WHERE contains(t, form)),
+    counted AS (SELECT doc_id, form, len(list_filter(range(1, len(p)), lambda i: NOT regexp_matches(right(CASE WHEN p[i] = '' AND i > 1 THEN form ELSE p[i] END, 1), '[\p{L}\p{N}]')
+        AND NOT regexp_matches(left(CASE WHEN p[i + 1] = '' AND i + 1 < len(p) THEN form ELSE p[i + 1] END, 1), '[\p{L}\p{N}]'))) AS n FROM pieces)
+    SELECT doc_id, name, form, n::BIGINT AS n FROM counted JOIN forms USING (form) WHERE n > 0""")
+def entity_counts(spark, sf_dir):
+    """All brands, part names and words of the benchmark, counted in one reading of each document."""
+    words = F.filter(F.split("text", "[^A-Za-z]+"), lambda w: F.length(w) >= 4)
+    p, b = read(spark, sf_dir, "part"), read(spark, sf_dir, "benchmark")
+    names = p.select(F.col("p_brand").alias("name")).unionByName(p.select(F.col("p_name").alias("name"))).unionByName(b.select(F.explode(words).alias("name")))
+    return mentions.mention_counts(read(spark, sf_dir, "documents"), "doc_id", "text", names, "name", ambiguous=())
+
+
 @query("SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
 def contains_join(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))

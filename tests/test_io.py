@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelspark.functions import sections as sec
 from labelspark.operators import dedup, matching
-from labelspark.plans import api, store
+from labelspark.plans import api, statements, store
 from labelspark.sources import readers, sinks
 from labelspark.streaming import incremental
 
@@ -120,7 +120,7 @@ def test_store_and_limits(spark):
     assert [api.clamp_limit(x) for x in (None, "x", 0, -1, "7", 5000)] == [100, 100, 100, 100, 7, 1000]
     with pytest.raises(ValueError):
         api.coverage({}, state="parcial")
-    ids = store.numbered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(9), ["k"]).collect()
+    ids = statements.numbered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(9), ["k"]).collect()
     assert all(r.id == r.k + 1 for r in ids)
 
 
