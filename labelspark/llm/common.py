@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from labelspark.sources.shared import discard, materialize, shared_dir  # noqa: F401
+
 #: Rows of one Arrow batch; a batch of very long texts must still fit a worker.
 BATCH_ROWS, BATCH_BYTES = 8192, 4 << 20
 
@@ -24,43 +23,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session or its context names it; one of our own only where none is set and all run on this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isDefined():
-            return own.get().rstrip("/")
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
-        found = tempfile.mkdtemp(prefix="labelspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps neither repeat its work nor depend on the executors that did it.
-
-    The table goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/labelspark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Delete what materialize wrote for tables that nothing reads any more."""
-    for df in tables:
-        if df is not None:
-            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt out evenly if it comes in fewer pieces than there are cores: a single small file would otherwise keep one core busy and all others idle."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,5 +1,6 @@
 """Mixing, URL filters, the quality classifier and the pipeline."""
 
+import math
 import random
 import re
 import zlib
@@ -116,16 +117,45 @@ def test_whole_weights():
     assert mixing.whole_weights({"b": 0.3, "a": 0.7, "z": 0}) == {"a": 7, "b": 3}
     assert mixing.whole_weights({"a": 20, "b": 10}) == {"a": 2, "b": 1} and mixing.whole_weights({}) == {}
     assert mixing.whole_weights({"a": 1 / 3, "b": 2 / 3}) == {"a": 1, "b": 2}
+    assert mixing.whole_weights({"a": 9999, "b": 1}) == {"a": 9999, "b": 1}
+    assert mixing.whole_weights({"a": 0.5, "b": 0.49999, "c": 0.00001}) == {"a": 50_000, "b": 49_999, "c": 1}
     large = mixing.whole_weights({"a": 10**9, "b": 1, "c": 0.37})
-    assert min(large.values()) >= 1 and sum(large.values()) <= mixing.PERIOD + 3 and large["a"] > 990
+    assert min(large.values()) >= 1 and sum(large.values()) <= mixing.longest_period(3) + 3 and large["a"] > 800_000
     odd = mixing.whole_weights({f"s{k}": 0.1 + k / 977 for k in range(50)})
-    total = sum(0.1 + k / 977 for k in range(50))
-    assert sum(odd.values()) == mixing.PERIOD and all(abs(odd[f"s{k}"] / mixing.PERIOD - (0.1 + k / 977) / total) < 1 / mixing.PERIOD for k in range(50))
-    for bad in ({"a": -1}, {"a": float("nan")}, {"a": float("inf")}, {f"s{k}": 1 for k in range(2000)}):
+    total, longest = sum(0.1 + k / 977 for k in range(50)), mixing.longest_period(50)
+    # a period that fits gives these exactly
+    assert sum(odd.values()) <= longest and all(abs(odd[f"s{k}"] / sum(odd.values()) - (0.1 + k / 977) / total) < 1e-9 for k in range(50))
+    uneven = {f"s{k}": math.sqrt(k + 2) for k in range(50)}
+    parts, total = mixing.whole_weights(uneven), sum(uneven.values())
+    assert sum(parts.values()) == longest and all(abs(parts[s] / longest - w / total) < 1 / longest for s, w in uneven.items())
+    for bad in ({"a": -1}, {"a": float("nan")}, {"a": float("inf")}, {f"s{k}": 1 for k in range(3000)}):
         with pytest.raises(ValueError):
             mixing.whole_weights(bad)
 
 
+def test_shares_far_below_a_thousandth(spark):
+    """Blocks of one row at 9999 to 1: every prefix within one block."""
+    rows = [(k, "t", "b" if k % 1000 == 0 else "a") for k in range(30_000)]
+    out = sorted(map(tuple, mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"a": 9999, "b": 1}, 1).select("position", "source").collect()))
+    had = 0
+    for k, (position, source) in enumerate(out[:29_000], 1):
+        had += source == "b"
+        assert position == k - 1 and abs(had - k / 10_000) < 1
+
+
+def test_rows_without_doc_id_are_spread(spark, monkeypatch):
+    """Ten thousand rows without doc_id do not meet in one bucket's window, and all come out."""
+    seen = []
+    number = mixing.F.row_number
+    monkeypatch.setattr(mixing.F, "row_number", lambda: seen.append(1) or number())
+    rows = [(None, f"text {k}", "a") for k in range(10_000)] + [(k, "t", "b") for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keys = df.select(F.substring(mixing.order_key(F.col("doc_id"), F.col("text")), 1, 2).alias("k")).groupBy("k").count().agg(F.max("count"), F.count("*")).first()
+    assert keys[0] < 120 and keys[1] == 256
+    out = mixing.mix(df, {"a": 1, "b": 1}).collect()
+    assert seen and sorted(r.position for r in out) == list(range(12_000)) and len({r.text for r in out}) == 10_001
+
+
 def test_fractional_weights(spark):
     rows = [(k, "t", "ab"[k % 2]) for k in range(2000)]
     out = sorted(map(tuple, mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"a": 0.7, "b": 0.3}, 2).select("position", "source").collect()))
