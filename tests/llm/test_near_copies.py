@@ -74,11 +74,12 @@ def test_stage_keeps_one_of_each_group(spark):
     assert out.filter("doc_id is null").count() == 2
 
 
-@pytest.mark.parametrize(("small", "group"), [(1, 1), (6, 1024), (1, 40)])
-def test_crowds(spark, monkeypatch, small, group):
+@pytest.mark.parametrize(("small", "group", "dense"), [(1, 1, 4), (6, 1024, 10**6), (1, 40, 1)])
+def test_crowds(spark, monkeypatch, small, group, dense):
     """Large groups, here nearly all, lose no link, be it by differences or in one task: near copies of one text, some too far from it, some of those close to each other."""
     monkeypatch.setattr(near_copies, "SMALL", small)
     monkeypatch.setattr(near_copies, "GROUP", group)
+    monkeypatch.setattr(near_copies, "DENSE", dense)
     rng = random.Random(11)
     base = [f"w{rng.randrange(5000)}" for _ in range(150)]
 
