@@ -225,20 +225,67 @@ def contains_join(texts: DataFrame, text: str, items: DataFrame, item: str) -> D
     return out.select(*[F.col(o).alias(c) for o, c in zip(carried, texts.columns, strict=True)], *[F.col(o).alias(c) for o, c in zip(own, items.columns, strict=True)])
 
 
+def _related(queries: list[str], least: int):
+    """For each string the numbers of the queries that equal it, and of those inside it or around it, both of at least `least` characters."""
+
+    def run(batches):
+        import ahocorasick
+
+        equal, automaton, grams = {q: k for k, q in enumerate(queries)}, ahocorasick.Automaton(), {}
+        for k, q in enumerate(queries):
+            if len(q) >= least:
+                automaton.add_word(q, k)
+                for g in {q[i : i + least] for i in range(len(q) - least + 1)}:
+                    grams.setdefault(g, []).append(k)
+        if grams:
+            automaton.make_automaton()
+        for b in batches:
+            same, near = [], []
+            for s in b.column(b.num_columns - 1).to_pylist():
+                same.append([equal[s]] if s in equal else [])
+                inside = {k for _, k in automaton.iter(s)} if grams and len(s) >= least else set()
+                around = {k for k in grams.get(s[:least], ()) if s in queries[k]} if len(s) >= least else set()
+                near.append(sorted((inside | around).difference(same[-1])))
+            arrays = [pa.array(x, pa.list_(pa.int32())) for x in (same, near)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*b.schema.names[:-1], "same", "near"])
+
+    return run
+
+
+def _related_by_joins(q: DataFrame, c: DataFrame, least: int) -> DataFrame:
+    """(query, cui, str, exact, pos) for any number of queries, none of which is sent to all tasks."""
+    exact = q.join(c, F.col("_q") == F.col("_s")).select("query", "cui", "str", F.lit(True).alias("exact"), "pos")
+    rest, long = q.filter(F.length("_q") >= least), c.filter(F.length("_s") >= least)
+    held = contains_join(rest, "_q", long, "_s")
+    holds = contains_join(long, "_s", rest, "_q")
+    near = [df.filter(F.col("_q") != F.col("_s")).select("query", "cui", "str", F.lit(False).alias("exact"), "pos") for df in (held, holds)]
+    return exact.unionByName(near[0]).unionByName(near[1])
+
+
 def concept_candidates(queries: DataFrame, concepts: DataFrame, least: int = 5, cap: int = 25) -> DataFrame:
     """(query, cui, str, exact, pos) of the concepts (pos, cui, str) of each query: equal folded strings, else strings that hold the query or are held by it, the first `cap` in file order.
 
-    cap is part of what the lookup returns, not of how it finds.
+    All three are found in one reading of the strings: the queries, counted
+    before, go to every task as an automaton, which finds those inside a string,
+    and under all their runs of `least` characters, of which a string that lies
+    inside a query begins with one. More than SENT characters of queries are
+    joined instead, with the same rows. cap is part of what the lookup returns,
+    not of how it finds; an exact match comes first, so it is never cut off.
     """
-    c = concepts.withColumn("_s", fold(F.col("str")))
+    c = concepts.select("cui", "str", "pos", fold(F.col("str")).alias("_s")).filter(F.col("_s") != "")
     q = queries.select("query", fold(F.col("query")).alias("_q")).filter(F.col("_q") != "").distinct()
-    exact = q.join(c, F.col("_q") == F.col("_s")).select("query", "cui", "str", F.lit(True).alias("exact"), "pos")
-    rest = q.join(exact.select("query").distinct(), "query", "left_anti").filter(F.length("_q") >= least)
-    long = c.filter(F.length("_s") >= least)
-    held = contains_join(rest, "_q", long, "_s").select("query", "cui", "str", "pos")
-    holds = contains_join(long, "_s", rest, "_q").select("query", "cui", "str", "pos")
-    partial = held.unionByName(holds).distinct().withColumn("exact", F.lit(False)).select("query", "cui", "str", "exact", "pos")
-    return first_by(exact.unionByName(partial), ["query"], [F.desc("exact"), "pos", "cui"], cap)
+    names = q.select("_q").distinct()
+    if (names.agg(F.sum(F.length("_q") + 16)).first()[0] or 0) > SENT:
+        found = _related_by_joins(q, c, least)
+    else:
+        sent = sorted(r[0] for r in names.collect())
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.schema[:-1]) + ", same array<int>, near array<int>"
+        hit = lambda column, exact: F.transform(column, lambda k: F.struct(k.alias("_k"), F.lit(exact).alias("exact")))
+        hits = c.mapInArrow(_related(sent, least), schema).select("cui", "str", "pos", F.inline(F.concat(hit("same", True), hit("near", False))))
+        numbers = queries.sparkSession.createDataFrame(list(enumerate(sent)), "_k int, _q string")
+        found = hits.join(q.join(numbers, "_q"), "_k").select("query", "cui", "str", "exact", "pos")
+    best = first_by(found, ["query"], [F.desc("exact"), "pos", "cui"], cap)
+    return best.withColumn("_any", F.max("exact").over(Window.partitionBy("query"))).filter(F.col("exact") == F.col("_any")).drop("_any")
 
 
 def concept_details(candidates: DataFrame, concepts: DataFrame, vendor: str = "DRUGBANK", terms: int = 12) -> DataFrame:

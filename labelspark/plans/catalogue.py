@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelspark.plans import column_queries, fixture_queries, io_queries, report_queries, star_queries, text_queries
+from labelspark.plans import column_queries, fixture_queries, io_queries, report_queries, star_queries, table_queries, text_queries
 from labelspark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "column_queries", "fixture_queries", "io_queries", "report_queries", "star_queries", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "column_queries", "fixture_queries", "io_queries", "report_queries", "star_queries", "table_queries", "text_queries"]
