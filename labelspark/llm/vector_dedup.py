@@ -11,9 +11,13 @@ radius of all these spans. Cells are then joined independently, home vectors in
 bounded blocks against the cell's stream of members.
 
 Pivots are a bounded sample's vectors that lie far apart. Into how many cells
-they part the vectors follows from what the bounds rule out on that sample:
-where they rule out little, few large cells in large blocks copy each vector
-less often than many small ones. No result depends on it.
+they part the vectors follows from the bounds of all vectors, taken for several
+numbers of cells in one reading, and from what these rule out for vectors of the
+sample that are no pivots: where they rule out little, few large cells in large
+blocks copy each vector less often than many small ones. Cells that would copy
+vectors more often than blocks alone are never chosen, so copies grow at most
+with the root of the vectors as long as blocks may grow, and in proportion to
+them beyond (with 64 dimensions from 10^8 vectors). No result depends on it.
 
 Identical vectors are one class with a count; all links between different
 vectors are compared in double precision.
@@ -38,10 +42,12 @@ from labelspark.llm.components import components
 THRESHOLD = 0.9
 #: Vectors that the smallest cells are meant to hold, the most pivots, the vectors they are chosen from, and pivots whose spans each cell keeps.
 CELL, MAX_PIVOTS, SAMPLE, REFERENCES = 4096, 2048, 16_384, 16
+#: Bytes that the sample may take on the driver, and its vectors on which numbers of cells are tried.
+SAMPLE_BYTES, TRIED = 128 << 20, 2048
 #: A block of home vectors grows with the root of their number, so that the copies of a vector do too: the least block, its growth, and the bytes that one may take.
 BLOCK, GROWTH, HELD = 8192, 36, 256 << 20
-#: Members compared with a block at once, and how many of its dot products a copy that is sent costs.
-STEP, COPY = 512, 4096
+#: Members compared with a block at once, and how many of its dot products a copy costs that is written, sent, sorted and read (both grow with the dimensions).
+STEP, COPY = 512, 16_384
 #: A single-precision dot product of unit vectors is at most so far off; nearer pairs are compared in double precision.
 MARGIN = 1e-4
 
@@ -81,20 +87,28 @@ def far_apart(sample: np.ndarray, k: int) -> np.ndarray:
     return sample[chosen]
 
 
+def numbers_of_cells(most: int) -> list[int]:
+    """The numbers of cells that are tried, from the most to one."""
+    return [most] if most == 1 else [most, *numbers_of_cells(max(1, most // 4))]
+
+
 def _spans(pivots: np.ndarray):
-    """For each cell and reference pivot the least and greatest angle of the cell's home vectors; reference -1 is the cell's own pivot."""
+    """For each number k of cells, cell and reference pivot the least and greatest angle of the cell's home vectors; reference -1 is the cell's own pivot."""
 
     def run(batches):
-        schema = pa.schema([("cell", pa.int32()), ("ref", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("n", pa.int64())])
+        schema = pa.schema([("k", pa.int32()), ("cell", pa.int32()), ("ref", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("n", pa.int64())])
         for b in batches:
             if b.num_rows:
-                yield batch(schema, *spans(unit(matrix(b.column(0), pivots.shape[1])), pivots))
+                a = _angles(unit(matrix(b.column(0), pivots.shape[1])), pivots)
+                for k in numbers_of_cells(len(pivots)):
+                    cells, *rest = spans(a[:, :k])
+                    yield batch(schema, np.full(len(cells), k, np.int32), cells, *rest)
 
     return run
 
 
-def spans(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, ...]:
-    a = _angles(x, pivots)
+def spans(a: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of vectors' angles to all pivots (cell, ref, low, high, n), as bounds() takes them."""
     home = a.argmin(axis=1)
     a = np.c_[a[np.arange(len(a)), home], a[:, :REFERENCES]]
     cells, at = np.unique(home, return_inverse=True)
@@ -137,23 +151,22 @@ def block_size(n: int, dim: int) -> int:
     return int(min(max(BLOCK, GROWTH * n**0.5), max(HELD // (12 * dim), 1)))
 
 
-def choose_cells(sample: np.ndarray, n: int, cell: int, radius: float) -> np.ndarray:
-    """Pivots for n vectors like those of the sample: of several numbers of cells the one whose copies and comparisons cost least on it."""
-    most = int(min(max(1, n // cell), MAX_PIVOTS, len(sample)))
-    pivots, best = far_apart(sample, most), None
-    tried, block = sample[:2048], block_size(n, sample.shape[1])
-    k = most
-    while True:
-        # home vectors decide the bounds, so these are the sample's own and a little too tight; that costs nothing but a worse choice
-        widest, low, high, counts = bounds(zip(*(x.tolist() for x in spans(sample, pivots[:k])), strict=True), k)
-        _, there = visits(tried, pivots[:k], widest, low, high, radius)
-        size = counts * (n / len(sample))
-        cost = float((there * (size + COPY * np.ceil(size / block))).sum(axis=1).mean())
-        if best is None or cost < best[0]:
+def choose_cells(tried: np.ndarray, pivots: np.ndarray, measured: dict[int, tuple], n: int, radius: float) -> int:
+    """Of the numbers of cells with the bounds measured for them on all n vectors the one whose copies and comparisons cost least for the vectors tried.
+
+    One cell in blocks copies each vector once a block; a number of cells that copies more often is left out.
+    """
+    block, best = block_size(n, pivots.shape[1]), None
+    for k in sorted(measured):
+        widest, low, high, counts = measured[k]
+        there = visits(tried, pivots[:k], widest, low, high, radius)[1]
+        blocks = np.ceil(counts / block)
+        copies, cost = (float((there * w).sum(axis=1).mean()) for w in (blocks, counts + COPY * blocks))
+        if best is None or (copies <= blocks_alone and cost < best[0]):
             best = cost, k
         if k == 1:
-            return pivots[: best[1]]
-        k = max(1, k // 4)
+            blocks_alone = copies
+    return best[1]
 
 
 def _members(pivots: np.ndarray, widest: np.ndarray, low: np.ndarray, high: np.ndarray, blocks: np.ndarray, radius: float, kind: str):
@@ -259,11 +272,16 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, cell: int
     rest = rows.filter(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not size.n:
         return rest
-    sample = [r.embedding for r in classes.orderBy(F.xxhash64("least"), "least").limit(SAMPLE).select("embedding").collect()]
+    taken = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * size.dim)))
+    sample = unit(matrix(classes.orderBy(F.xxhash64("least"), "least").limit(taken).select("embedding").toArrow().combine_chunks().column(0).combine_chunks(), size.dim))
+    # vectors that are tried are no pivots, unless there are few
+    tried = sample[-TRIED:]
+    pivots = far_apart(sample[:-TRIED] if len(sample) >= 2 * TRIED else sample, int(min(max(1, size.n // cell), MAX_PIVOTS)))
     radius = float(np.arccos(threshold))
-    pivots = choose_cells(unit(np.array([x + [0.0] * (size.dim - len(x)) for x in sample])), size.n, cell, radius)
-    found = classes.select("embedding").mapInArrow(_spans(pivots), "cell int, ref int, low double, high double, n long").groupBy("cell", "ref").agg(F.min("low"), F.max("high"), F.sum("n")).collect()
-    widest, low, high, counts = bounds(found, len(pivots))
+    found = classes.select("embedding").mapInArrow(_spans(pivots), "k int, cell int, ref int, low double, high double, n long").groupBy("k", "cell", "ref").agg(F.min("low"), F.max("high"), F.sum("n")).collect()
+    measured = {k: bounds([r[1:] for r in found if r[0] == k], k) for k in numbers_of_cells(len(pivots))}
+    pivots = pivots[: choose_cells(tried, pivots, measured, size.n, radius)]
+    widest, low, high, counts = measured[len(pivots)]
     blocks = np.maximum(-(-counts // block_size(size.n, size.dim)), 1)
     members = classes.select("id", "n", "embedding").mapInArrow(_members(pivots, widest, low, high, blocks, radius, kind), "cell int, block int, guest int, id long, n long, v binary")
     dealt = members.repartition(partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "guest")

@@ -63,7 +63,7 @@ def test_visits_lose_no_pair():
     radius = float(np.arccos(0.9))
     angles = np.arccos(np.clip(x @ pivots.T, -1, 1))
     home = angles.argmin(axis=1)
-    widest, low, high, counts = vector_dedup.bounds(zip(*(c.tolist() for c in vector_dedup.spans(x, pivots)), strict=True), len(pivots))
+    widest, low, high, counts = vector_dedup.bounds(zip(*(c.tolist() for c in vector_dedup.spans(vector_dedup._angles(x, pivots))), strict=True), len(pivots))
     assert np.allclose(widest, [angles[home == c, c].max(initial=0) for c in range(len(pivots))]) and (counts == np.bincount(home, minlength=len(pivots))).all()
     found, there = vector_dedup.visits(x, pivots, widest, low, high, radius)
     assert (found == home).all() and there.sum() < 0.6 * there.size
@@ -71,20 +71,37 @@ def test_visits_lose_no_pair():
     assert there[b, home[a]].all()
 
 
+def chosen(x, n, dim=64):
+    """The pivots chosen for n vectors like those of x, and how many copies a vector then gets."""
+    radius = float(np.arccos(0.9))
+    pivots = vector_dedup.far_apart(x[:-1000], min(n // 4096, 2048))
+    measured = {}
+    for k in vector_dedup.numbers_of_cells(len(pivots)):
+        rows = [c.tolist() for c in vector_dedup.spans(np.concatenate([vector_dedup._angles(part, pivots[:k]) for part in np.array_split(x, 10)]))]
+        widest, low, high, counts = vector_dedup.bounds(zip(*rows, strict=True), k)
+        measured[k] = widest, low, high, counts * (n / len(x))
+    k = vector_dedup.choose_cells(x[-1000:], pivots, measured, n, radius)
+    there = vector_dedup.visits(x[-1000:], pivots[:k], *measured[k][:3], radius)[1]
+    return k, there.mean(), float((there * np.ceil(measured[k][3] / vector_dedup.block_size(n, dim))).sum(axis=1).mean())
+
+
 def test_cells_follow_what_the_bounds_rule_out():
-    """Tight clusters get many cells and few copies; vectors without clusters get few cells, and copies grow with the root of their number."""
+    """Tight clusters get many cells and few visits."""
     rng = np.random.default_rng(1)
-    centres = rng.standard_normal((40, 64))
-    tight = vector_dedup.unit(np.repeat(centres, 100, axis=0) + rng.standard_normal((4000, 64)) * 0.1)
+    tight = np.repeat(rng.standard_normal((40, 64)), 100, axis=0) + rng.standard_normal((4000, 64)) * 0.1
     rng.shuffle(tight)
-    loose = vector_dedup.unit(rng.standard_normal((4000, 64)))
-    radius = float(np.arccos(0.9))
-    pivots = vector_dedup.choose_cells(tight, 1_000_000, 4096, radius)
-    widest, low, high, _ = vector_dedup.bounds(zip(*(c.tolist() for c in vector_dedup.spans(tight, pivots)), strict=True), len(pivots))
-    assert len(pivots) >= 15 and vector_dedup.visits(tight, pivots, widest, low, high, radius)[1].mean() < 0.25
-    assert len(vector_dedup.choose_cells(loose, 1_000_000, 4096, radius)) <= 4
-    copies = [n / vector_dedup.block_size(n, 64) for n in (10**6, 10**8)]
-    assert copies[1] <= 11 * copies[0]
+    k, visited, _ = chosen(vector_dedup.unit(tight), 1_000_000)
+    assert k >= 15 and visited < 0.25
+
+
+@pytest.mark.parametrize("n", [10**6, 10**7, 10**8, 10**9])
+def test_copies_never_exceed_those_of_blocks(n):
+    """Vectors without clusters: copies stay at those of blocks alone, which grow with the root of the vectors while blocks may grow."""
+    loose = vector_dedup.unit(np.random.default_rng(1).standard_normal((20_000, 64)))
+    _, _, copies = chosen(loose, n)
+    block = vector_dedup.block_size(n, 64)
+    assert copies <= np.ceil(n / block)
+    assert block == vector_dedup.HELD // (12 * 64) or copies <= n**0.5 / 30
 
 
 def test_repeated_queries(spark):
