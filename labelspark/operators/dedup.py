@@ -107,12 +107,14 @@ def lots(df: DataFrame, n: int, order: str, slices: int | None = None) -> DataFr
     Quantiles of the column, one for each shuffle partition, cut it into ranges
     of about equal size, whether its values are dense or sparse; rows are
     numbered inside ranges and the ranges' counts are summed up, so no task
-    orders all rows and none sees more counts than there are ranges.
+    orders all rows and none sees more counts than there are ranges. Rows
+    without a value have no order and are dealt into as many ranges by their hash.
     """
     slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.agg(F.percentile_approx(order, [k / slices for k in range(1, slices)], 10 * slices)).first()[0] if slices > 1 else None
     bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<double>")
-    b = F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(bounds, lambda c: c < F.col(order))))
+    dealt = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t and "variant" not in t]), F.lit(slices)).cast("int") - slices
+    b = F.when(F.col(order).isNull(), dealt).otherwise(F.size(F.filter(bounds, lambda c: c < F.col(order))))
     counts = df.groupBy(b.alias("_b")).agg(F.count("*").alias("_c"))
     total = counts.agg(F.sum("_c")).first()[0] or 0
     size = max(1, -(-total // n))

@@ -128,6 +128,11 @@ def substance_detail(spark, sf_dir):
     return api.substance(store.star_store(spark, sf_dir), "Customer#000000007")[2]
 
 
+@query(_S + "SELECT * EXCLUDE (id) FROM substancia WHERE id = 7")
+def substance_row(spark, sf_dir):
+    return api.substance(store.star_store(spark, sf_dir), "Customer#000000007")[0].drop("id")
+
+
 @query(_S + f"SELECT ficheiro, medicamento, codigo_atc, tem_pgx, tem_entidades FROM documento WHERE substancia_id = 7")
 def substance_documents(spark, sf_dir):
     return api.substance(store.star_store(spark, sf_dir), "Customer#000000007")[1]

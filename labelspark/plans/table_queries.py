@@ -457,3 +457,15 @@ def annexes_of_pages(spark, sf_dir):
     each = F.array(*[F.struct(F.lit(n).alias("n"), t.alias("text")) for n, t in enumerate((F.lit("1. NOME DO MEDICAMENTO\nver ANEXO II"), F.concat(F.col("html"), F.lit(" ANEXO II")), F.concat(F.col("html"), F.lit("\n ANEXO II\n")), F.lit("NOME DO MEDICAMENTO\nANEXO II"), F.concat(F.lit("folheto informativo\n"), F.col("html"))))])
     rows = p.select("doc", "k", F.explode(each).alias("x")).select("doc", (F.col("k") + F.col("x.n")).alias("page"), F.col("x.text").alias("text"))
     return sec.annex_bounds(rows)
+
+
+@query(f"""WITH {_LINES_SQL}, p AS (SELECT doc_id AS doc, pos + 1 AS page, line, pos % 6 = 1 AS opens, pos = 15 AS annex, pos % 9 = 8 AS leaflet FROM l),
+    d AS (SELECT doc, max(page) AS pages, min(page) FILTER (annex) AS annex_page, bool_or(leaflet) AND bool_or(annex) AS whole_annex, 2 * count(*) FILTER (leaflet AND NOT annex AND NOT opens) AS n_titles FROM p GROUP BY doc),
+    s AS (SELECT d.doc, p.page, substr(trim(regexp_replace(substr(line, 1, 199), '\\s+', ' ', 'g')), 1, 70) AS name, row_number() OVER (PARTITION BY d.doc ORDER BY p.page) AS k FROM d JOIN p ON d.doc = p.doc AND opens AND p.page <= coalesce(annex_page - 1, pages))
+    SELECT d.doc, pages, annex_page, whole_annex, coalesce(annex_page - 1, pages) AS last_page, any_value(n_titles) AS n_titles, count(s.page) AS n_summaries, coalesce(max(s.page) FILTER (k = 2) - 1, annex_page - 1, pages) AS first_summary_end,
+        coalesce(max(name) FILTER (k = 1), '') AS first_name, coalesce(max(name) FILTER (k = 2), '') AS second_name FROM d LEFT JOIN s ON d.doc = s.doc GROUP BY d.doc, pages, annex_page, whole_annex""")
+def annex_outlines(spark, sf_dir):
+    """Lines of documents as pages, some of which open summaries, annex II or a leaflet."""
+    t = sec.lines(read(spark, sf_dir, "documents").filter("text IS NOT NULL"), "doc_id", "text")
+    text = F.when(F.col("pos") % 6 == 1, F.concat(F.lit("p.\n 1.  Nome do Medicamento\n"), "line", F.lit("\n2. COMPOSIÇÃO\nx"))).when(F.col("pos") == 15, F.concat("line", F.lit("\nANEXO II"))).when(F.col("pos") % 9 == 8, F.concat(F.lit("RESUMO DAS CARACTERÍSTICAS, resumo das caracteristicas "), "line", F.lit("\nv. folheto informativo"))).otherwise(F.concat(F.lit("ver ANEXO II "), "line"))
+    return sec.annex_outline(t.select(F.col("doc_id").alias("doc"), (F.col("pos") + 1).alias("page"), text.alias("text")))
