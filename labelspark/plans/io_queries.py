@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from labelspark.plans.registry import query, read, rows, table
 from labelspark.sources import readers, sinks
 from labelspark.sources.shared import shared_dir
-from labelspark.streaming import incremental
+from labelspark.sources.sqlite import read_sqlite, write_sqlite
+from labelspark.streaming import incremental, snapshots
 
 
 def _tree(spark: SparkSession, files: dict[str, bytes] | None = None) -> str:
@@ -131,3 +132,44 @@ def first_texts_streamed(spark, sf_dir):
     every = texts[0].unionByName(texts[1]).groupBy(F.lower(F.regexp_replace("text", r"\s+", " ")).alias("t")).agg(F.count("*").cast("int").alias("n"), F.min("doc_id").alias("least"))
     first = spark.read.schema("doc_id long, hash string").parquet(f"{path}/out")
     return first.join(every, F.col("doc_id") == F.col("least")).select(F.col("doc_id").cast("int").alias("id"), F.col("least").cast("int").alias("first"), "n")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, count(*) AS n FROM events GROUP BY user_id")
+def merged_snapshots(spark, sf_dir):
+    """The last event of each user, kept by a stream that runs twice; its last batch comes again and changes nothing."""
+    e, path = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value"), _tree(spark)
+    key, order = ["user_id"], ["event_id"]
+    for k in range(2):
+        e.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == k).write.mode("append").parquet(f"{path}/in")
+        snapshots.merge_stream(spark, f"{path}/in", e.schema, f"{path}/cache", f"{path}/state", key, order, "events", 16).awaitTermination()
+    again = e.withColumn("event_id", F.col("event_id") + 1_000_000_000)
+    snapshots.merge(again, f"{path}/cache", key, order, ("events", 1))
+    return snapshots.snapshot(spark, f"{path}/cache").join(e.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE event_type <> 'error' OR user_id % 3 = 0 GROUP BY user_id")
+def snapshots_of_writers(spark, sf_dir):
+    """Two names write to one cache in turn; an earlier event that comes later does not replace a later one."""
+    e, path = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), _tree(spark)
+    parts = (("late", e.filter("event_type <> 'error'")), ("early", e.filter("event_type = 'error' and user_id % 3 = 0")))
+    for name, rows_ in parts:
+        snapshots.merge(rows_, path, ["user_id"], ["event_id"], (name, 0), 16)
+    snapshots.expire(spark, path, 1)
+    return snapshots.snapshot(spark, path)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority FROM orders")
+def sqlite_written(spark, sf_dir):
+    """Orders in SQLite files, one a task, and read back in ranges of row numbers."""
+    o, path = read(spark, sf_dir, "orders"), _tree(spark)
+    write_sqlite(o.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")), path, "orders")
+    return read_sqlite(spark, path, "orders", rows=5000).withColumnRenamed("o_orderdate", "day")
+
+
+@query("SELECT l_orderkey, count(*) AS n, sum(l_quantity)::DOUBLE AS quantity FROM lineitem WHERE l_quantity >= 30 AND l_linestatus = 'F' GROUP BY l_orderkey")
+def sqlite_filtered(spark, sf_dir):
+    """Line items in SQLite files, filtered there: only the rows and columns of the question come back."""
+    l, path = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("double").alias("l_quantity"), "l_linestatus", "l_extendedprice"), _tree(spark)
+    write_sqlite(l, path, "lineitem")
+    t = read_sqlite(spark, path, "lineitem", ["l_orderkey", "l_quantity", "l_linestatus"])
+    return t.filter("l_quantity >= 30 and l_linestatus = 'F'").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
