@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import json
+import os
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +21,9 @@ from labelspark.functions.text import DASHES
 # The share of an excerpt that must be in the block, the least fragment that counts, invisible characters.
 COVERAGE, FRAGMENT, INVISIBLE = 0.85, 20, "­​‌‍﻿"
 
+#: Excerpts of one unit that a task grades.
+PIECE = 20_000
+
 
 def comparable(text: str) -> str:
     text = unicodedata.normalize("NFKC", html.unescape(text or ""))
@@ -24,34 +31,99 @@ def comparable(text: str) -> str:
     return " ".join(re.sub(r"\s*-\s*", "", text).split()).lower()
 
 
-def _state(excerpt: str, block: str) -> str:
-    rest, there = comparable(excerpt), comparable(block)
-    if not rest or not there:
-        return "nao_encontrado"
-    if rest in there:
-        return "verbatim"
-    size, found = len(rest), 0
-    while rest:
-        # the longest prefix that the block holds: what a prefix lacks, a longer one lacks too
-        low, high = 0, len(rest)
-        while low < high:
-            middle = (low + high + 1) // 2
-            low, high = (middle, high) if rest[:middle] in there else (low, middle - 1)
-        if low < FRAGMENT:
-            break
-        found, rest = found + low, rest[low:].lstrip()
-    return "recomposto" if found / size >= COVERAGE else "nao_encontrado"
+class Block:
+    """A text made comparable once for all its excerpts, with the order of its suffixes as soon as an excerpt needs it."""
+
+    def __init__(self, text: str | None):
+        self.text, self.order = comparable(text), None
+
+    def _suffixes(self) -> np.ndarray:
+        """Where the suffixes begin, in order: ranked by 1, 2, 4 ... characters until no two are alike."""
+        rank = np.frombuffer(self.text.encode("utf-32-le"), "<u4").astype(np.int64) + 1
+        step = 1
+        while True:
+            after = np.zeros_like(rank)
+            after[:-step] = rank[step:]
+            order = np.lexsort((after, rank))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (rank[order[1:]] != rank[order[:-1]]) | (after[order[1:]] != after[order[:-1]])
+            rank[order] = np.cumsum(fresh)
+            step *= 2
+            if fresh.all() or step >= len(rank):
+                return order
+
+    def longest_prefix(self, rest: str) -> int:
+        """How many first characters of rest the text holds in one piece: as many as rest shares with one of the suffixes it would stand between."""
+        if self.order is None:
+            self.order = self._suffixes()
+        at = bisect.bisect_left(self.order, rest, key=lambda k: self.text[k : k + len(rest)])
+        near = (int(k) for k in self.order[max(at - 1, 0) : at + 1])
+        return max(len(os.path.commonprefix((rest, self.text[k : k + len(rest)]))) for k in near)
+
+    def state(self, excerpt: str | None) -> str:
+        """verbatim, recomposto (nearly all of it in pieces that are long enough) or nao_encontrado."""
+        rest = comparable(excerpt)
+        if not rest or not self.text:
+            return "nao_encontrado"
+        if rest in self.text:
+            return "verbatim"
+        size, found = len(rest), 0
+        while len(rest) >= FRAGMENT and (n := self.longest_prefix(rest)) >= FRAGMENT:
+            found, rest = found + n, rest[n:].lstrip()
+        return "recomposto" if found / size >= COVERAGE else "nao_encontrado"
 
 
 @F.pandas_udf(T.StringType())
 def fidelity(excerpt: pd.Series, block: pd.Series) -> pd.Series:
     """verbatim, recomposto (in pieces) or nao_encontrado."""
-    return pd.Series([_state(e, b) for e, b in zip(excerpt, block, strict=True)], dtype=object)
+    return pd.Series([Block(b).state(e) for e, b in zip(excerpt, block, strict=True)], dtype=object)
+
+
+def graded(units: DataFrame, excerpts: DataFrame, on: list[str], text: str = "texto", excerpt: str = "texto_original") -> DataFrame:
+    """The excerpts whose unit is there, with `fidelidade` to it. A unit is made comparable and indexed once, not once for each excerpt.
+
+    Units and excerpts are sorted together, each unit before its excerpts, so
+    a task holds one unit at a time. A unit of more than PIECE excerpts goes
+    to several tasks. Null keys meet nothing; of units with one key the last
+    text counts; null texts are empty and an empty excerpt is nowhere. Other columns of
+    the excerpts, of any type, stay as they are.
+    """
+    if {"_unit", "_piece", "fidelidade"} & set(excerpts.columns):
+        raise ValueError("_unit, _piece and fidelidade are columns of the result or on the way to it")
+    keys = [F.col(f"`{c}`") for c in on]
+    names, there = excerpts.columns, F.lit(True)
+    hashed = [F.col(f"`{f.name}`") for f in excerpts.schema if f.dataType.typeName() not in ("map", "variant")]
+    for k in keys:
+        there = there & k.isNotNull()
+    many = excerpts.filter(there).groupBy(*keys).agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_n")).filter("_n > 1")
+    pieces = F.coalesce("_n", F.lit(1))
+    e = excerpts.filter(there).join(many, on, "left").withColumn("_piece", F.pmod(F.xxhash64(*hashed), pieces).cast("int")).drop("_n")
+    u = units.filter(there).select(*keys, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_unit")).join(many, on, "left")
+    u = u.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_n")
+    both = e.withColumn("_unit", F.lit(None).cast("string")).unionByName(u, allowMissingColumns=True)
+    both = both.repartition(*keys, "_piece").sortWithinPartitions(*keys, "_piece", F.col("_unit").asc_nulls_last())
+    schema = T.StructType([*excerpts.schema.fields, T.StructField("fidelidade", T.StringType())])
+
+    def grade(batches):
+        block, key = Block(None), None
+        for batch in batches:
+            marks = list(zip(*[batch[c].to_pylist() for c in (*on, "_piece")], strict=True))
+            keep, states = [], []
+            for row, (mark, unit, said) in enumerate(zip(marks, batch["_unit"].to_pylist(), batch[excerpt].to_pylist(), strict=True)):
+                if unit is not None:
+                    block, key = Block(unit), mark
+                elif mark == key:
+                    keep.append(row)
+                    states.append(block.state(said))
+            out = batch.select(names).take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(states, pa.string())], names=[*names, "fidelidade"])
+
+    return both.mapInArrow(grade, schema)
 
 
 def evaluated(units: DataFrame, excerpts: DataFrame) -> DataFrame:
     """Per section of units (section, unit, origem, texto) and excerpts (section, unit, pos, texto_original): trusted text and counts by fidelity."""
-    both = excerpts.join(units, ["section", "unit"]).withColumn("fidelidade", fidelity("texto_original", "texto"))
+    both = graded(units, excerpts, ["section", "unit"]).join(units.select("section", "unit", "origem"), ["section", "unit"])
     trusted = F.col("fidelidade") != "nao_encontrado"
     text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("unit", "pos", "texto_original")))), lambda x: x["texto_original"]), "\n\n")
     return both.groupBy("section").agg(

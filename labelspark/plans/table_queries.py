@@ -443,6 +443,38 @@ def first_lines_verbatim(spark, sf_dir):
     return d.select("doc_id", (fid.fidelity(F.regexp_replace(line, " ", "  \n"), "text") == "verbatim").alias("verbatim"))
 
 
+_PLAIN_SQL = r"trim(regexp_replace(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9\n]', ' ', 'g')), '[ \n]+', ' ', 'g'))"
+_PAIRS_SQL = rf"""t AS (SELECT doc_id, {_PLAIN_SQL} AS block, unnest(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9\n]', ' ', 'g'), chr(10))) AS line FROM documents),
+    e AS (SELECT doc_id AS unit, doc_id AS origin, line FROM t UNION ALL SELECT doc_id - doc_id % 5, doc_id, line FROM t WHERE doc_id % 5 > 0),
+    v AS (SELECT unit, origin, trim(regexp_replace(lower(line), ' +', ' ', 'g')) AS line, {_PLAIN_SQL} AS block FROM e JOIN documents ON doc_id = unit)"""
+
+
+def _lines_against_texts(spark, sf_dir):
+    """Each line of a document as an excerpt of it, and of the first of its five."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9\n]", " ").alias("texto"))
+    lines = d.select(F.col("doc_id").alias("origin"), F.posexplode(F.split("texto", "\n")).alias("pos", "texto_original"))
+    home = F.col("origin") - F.col("origin") % 5
+    e = lines.withColumn("unit", F.explode(F.when(F.col("origin") == home, F.array("origin")).otherwise(F.array("origin", home))))
+    return d.withColumnRenamed("doc_id", "unit"), e
+
+
+@query(f"""WITH {_PAIRS_SQL} SELECT unit, count(*) AS n_excerpts, count_if(line <> '' AND contains(block, line))::BIGINT AS n_verbatim, count_if(line = '')::BIGINT AS n_blank FROM v GROUP BY unit""")
+def graded_lines(spark, sf_dir):
+    """How many lines of five documents each text repeats; a text is made comparable once for all of them."""
+    units, e = _lines_against_texts(spark, sf_dir)
+    blank = (F.trim("texto_original") == "") & (F.col("fidelidade") == "nao_encontrado")
+    return fid.graded(units, e, ["unit"]).groupBy("unit").agg(F.count("*").alias("n_excerpts"), F.count_if(F.col("fidelidade") == "verbatim").alias("n_verbatim"), F.count_if(blank).alias("n_blank"))
+
+
+@query(f"""WITH {_PAIRS_SQL} SELECT unit, sum(CASE WHEN line <> '' AND contains(block, line) THEN 1 ELSE 0 END)::BIGINT AS n_verbatim, count(*) FILTER (NOT (line <> '' AND contains(block, line)))::BIGINT AS n_rest FROM v GROUP BY unit""")
+def evaluated_documents(spark, sf_dir):
+    """Documents as sections of one unit each, evaluated by the lines of five."""
+    units, e = _lines_against_texts(spark, sf_dir)
+    u = units.select(F.col("unit").cast("string").alias("section"), "unit", F.lit("content").alias("origem"), "texto")
+    out = fid.evaluated(u, e.select(F.col("unit").cast("string").alias("section"), "unit", (F.col("origin") * 1_000_000 + F.col("pos")).alias("pos"), "texto_original"))
+    return out.select(F.col("section").cast("long").alias("unit"), "n_verbatim", (F.col("n_recomposto") + F.col("n_nao_encontrado")).alias("n_rest"))
+
+
 @query(r"""SELECT doc_id, regexp_matches(text, '(^|[^\p{L}\p{N}_])(the|THE|The)([^\p{L}\p{N}_]|$)') AS said FROM documents""")
 def alleles_said(spark, sf_dir):
     """Whether an allele's spellings occur in texts that say one word as that allele."""
