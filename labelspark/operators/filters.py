@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from labelspark.functions.text import COMMON_WORDS, readability, squeeze
+from labelspark.functions.text import COMMON_WORDS, composed, readability, squeeze
 
 # Limits of the usability cascade.
 LEAST_CHARS, LEAST_PER_PAGE, LEAST_WORDS, MOST_CONTROL, LEAST_LETTERS = 400, 120, 3.0, 0.05, 0.35
@@ -131,8 +131,8 @@ def usability(text: Column, pages: Column | None = None, words: tuple[str, ...]
 
 
 def readable(text: Column, words: tuple[str, ...] = COMMON_WORDS) -> Column:
-    """Whether a text passes the preflight."""
-    return F.coalesce(usability(squeeze(text), None, words) == "digital", F.lit(False))
+    """Whether a text passes the preflight, which judges it composed and in single spaces."""
+    return F.coalesce(usability(squeeze(composed(text)), None, words) == "digital", F.lit(False))
 
 
 def problems(folder: Column, sections: Column, output: Column, substance: Column) -> Column:

@@ -71,6 +71,16 @@ def usability_status(spark, sf_dir):
     return d.groupBy("status").agg(F.count("*").alias("n_docs"))
 
 
+@query(rf"""WITH composed AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\x20-\x7e]', ' ', 'g'), ' +', ' ', 'g')) AS text FROM documents), {_METRICS.replace('FROM documents', 'FROM composed')}
+    SELECT doc_id, coalesce(length(text) >= 400 AND word_density >= 3 AND letter_fraction >= 0.35, FALSE) AS readable FROM m""")
+def preflight_documents(spark, sf_dir):
+    """Texts whose characters a converter left in their wide forms are judged as the letters they are."""
+    plain = F.regexp_replace("text", r"[^\x20-\x7e]", " ")
+    ascii_ = "".join(map(chr, range(0x21, 0x7F)))
+    wide = F.translate(plain, ascii_, "".join(chr(ord(c) + 0xFEE0) for c in ascii_))
+    return read(spark, sf_dir, "documents").select("doc_id", filters.readable(wide, WORDS).alias("readable"))
+
+
 @query(r"""SELECT token, count(*) AS n FROM (SELECT unnest(string_split(trim(regexp_replace(lower(strip_accents(text)), '\s+', ' ', 'g')), ' ')) AS token FROM documents) WHERE token <> '' GROUP BY token""")
 def accent_fold_tokens(spark, sf_dir):
     t = read(spark, sf_dir, "documents").select(F.explode(F.split(tx.fold(F.col("text")), " ")).alias("token"))
