@@ -73,22 +73,45 @@ def _fits(own: Column, queries: Column) -> Column:
     return (F.size(queries) == 0) | either
 
 
-def variant_matches(asked: DataFrame, variants: DataFrame, key: str = "variant") -> DataFrame:
-    """asked (id, `key`, queries array) joined with the records (pos, variant, gene, chemicals, ...) of that key whose chemicals fit the queries."""
+def _fitting(asked: DataFrame, variants: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions (id, _k, _q), records with _k and _c, and (_k, _q, _c): which lists of chemicals fit which queries under a key.
+
+    Both sides have few distinct texts under one key, so texts are compared once
+    and neither every question with every record nor a record for each question.
+    """
     q = F.transform(F.coalesce("queries", F.array().cast("array<string>")), fold)
-    a = asked.select("id", F.upper(F.trim(key)).alias("_k"), F.filter(q, lambda x: x != "").alias("_q"))
-    v = variants.withColumn("_k", F.upper(F.trim(F.col(key)))).withColumn("_c", chemicals(F.col("chemicals")))
-    hit = a.join(v, "_k").filter(_fits(F.col("_c"), F.col("_q"))).drop("_k", "_q", "_c")
-    return hit if key == "variant" else hit.dropDuplicates([c for c in hit.columns if c != "pos"])
+    a = asked.select("id", F.upper(F.trim(key)).alias("_k"), F.array_sort(F.array_distinct(F.filter(q, lambda x: x != ""))).alias("_q"))
+    v = variants.withColumn("_k", F.upper(F.trim(F.col(key)))).withColumn("_c", F.coalesce(F.col("chemicals"), F.lit("")))
+    own = v.select("_k", "_c").distinct().withColumn("_own", chemicals(F.col("_c")))
+    fits = a.select("_k", "_q").distinct().join(own, "_k").filter(_fits(F.col("_own"), F.col("_q"))).drop("_own")
+    return a, v, fits
+
+
+def variant_matches(asked: DataFrame, variants: DataFrame, key: str = "variant") -> DataFrame:
+    """asked (id, `key`, queries array) joined with the records (pos, variant, gene, chemicals, ...) of that key whose chemicals fit the queries; by gene, equal records of one question once, as the first of them."""
+    a, v, fits = _fitting(asked, variants, key)
+    asks = a.join(fits, ["_k", "_q"])
+    # the matches are many more than the bytes that meet, by which joins are planned: both sides are dealt out by class to a fixed number of tasks
+    deal = lambda df: df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "_k", "_c")
+    if key == "variant":
+        return deal(asks).join(deal(v).hint("merge"), ["_k", "_c"]).drop("_k", "_q", "_c")
+    # records and what each question may have are made distinct before they meet
+    record = [c for c in v.columns if c != "pos"]
+    once = v.groupBy(*record).agg(F.min("pos").alias("pos")).select(*v.columns)
+    return deal(asks.select("id", "_k", "_c").distinct()).join(deal(once).hint("merge"), ["_k", "_c"]).drop("_k", "_c")
 
 
 def best_variant(asked: DataFrame, variants: DataFrame) -> DataFrame:
-    return first_by(variant_matches(asked, variants), ["id"], ["pos"])
+    """The first fitting record of each id: first found for each list of chemicals, then for each question."""
+    a, v, fits = _fitting(asked, variants, "variant")
+    best = first_by(fits.join(first_by(v, ["_k", "_c"], ["pos"]), ["_k", "_c"]), ["_k", "_q"], ["pos"])
+    return first_by(a.join(best, ["_k", "_q"]).drop("_k", "_q", "_c"), ["id"], ["pos"])
 
 
 def with_variant_evidence(asked: DataFrame, variants: DataFrame, key: str = "gene") -> DataFrame:
     """The rows of asked that have a fitting record."""
-    return asked.join(variant_matches(asked, variants, key).select("id"), "id", "left_semi")
+    a, _, fits = _fitting(asked, variants, key)
+    return asked.join(a.join(fits, ["_k", "_q"], "left_semi").select("id"), "id", "left_semi")
 
 
 def _words(c: Column) -> Column:
