@@ -345,12 +345,15 @@ def select_compounds(register: DataFrame, compounds: DataFrame) -> DataFrame:
     first = lambda c: F.split(fold(c), r"[^\p{L}\p{N}]+")[0]
 
     def route(side: str, name: str, rank: int):
-        tokens = register.withColumn("_w", F.explode(F.array_distinct(F.split(fold(F.col(side)), r"[^\p{L}\p{N}]+"))))
-        own = compounds.filter(F.trim(F.coalesce(F.col(name), F.lit(""))) != "").withColumn("_w", first(F.col(name)))
-        hit = tokens.join(own, "_w").filter(F.regexp_like(fold(F.col(side)), word(fold(F.col(name)))))
-        return hit.select("file", "compound", F.lit(("inn", "pt")[rank]).alias("route"), F.lit(rank).alias("rank"))
-
-    return first_by(route("atc_label", "inn", 0).unionByName(route("name", "pt", 1)), ["file", "compound"], ["rank"]).drop("rank")
+        # equal labels name the same compounds: each distinct one is read once
+        said = register.select(F.col(side).alias("_s")).filter(F.col("_s").isNotNull()).distinct().withColumn("_f", fold(F.col("_s")))
+        tokens = said.withColumn("_w", F.explode(F.array_distinct(F.split("_f", r"[^\p{L}\p{N}]+"))))
+        own = compounds.filter(F.trim(F.coalesce(F.col(name), F.lit(""))) != "").withColumn("_n", fold(F.col(name))).withColumn("_w", first(F.col(name)))
+        named = tokens.join(own, "_w").filter(F.regexp_like("_f", word(F.col("_n")))).select("_s", "compound").distinct()
+        return register.select("file", F.col(side).alias("_s")).join(named, "_s").select("file", "compound", F.lit(rank).alias("rank"))
+
+    both = route("atc_label", "inn", 0).unionByName(route("name", "pt", 1)).groupBy("file", "compound").agg(F.min("rank").alias("rank"))
+    return both.select("file", "compound", F.when(F.col("rank") == 0, "inn").otherwise("pt").alias("route"))
 
 
 def assign_compound(hits: DataFrame, known: DataFrame) -> DataFrame:

@@ -26,3 +26,12 @@ def test_questions_meet_lists_of_chemicals_and_not_records(spark):
     once = matching.variant_matches(by_gene, records, "gene").groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("p")).collect()
     assert len(once) == 2000 and {tuple(r.p) for r in once} == {(0, 10, 20)}
     assert time.monotonic() - began < 90  # 16 million pairs of texts took minutes for each of them
+
+
+def test_equal_labels_are_read_once(spark):
+    began = time.monotonic()
+    register = spark.range(40_000).selectExpr("id AS file", "'Acid 7 tablets' AS name", "if(id % 2 = 0, 'acid 3', NULL) AS atc_label")
+    compounds = spark.range(500).selectExpr("concat('c', id) AS compound", "concat('Acid ', id) AS inn", "concat('acid-', id) AS pt")
+    found = matching.select_compounds(register, compounds).groupBy("compound", "route").count().collect()
+    assert {tuple(r) for r in found} == {("c3", "inn", 20_000), ("c7", "pt", 40_000)}
+    assert time.monotonic() - began < 60  # 30 million tests of a name against a label took longer
