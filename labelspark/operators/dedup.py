@@ -125,8 +125,8 @@ def lots(df: DataFrame, n: int, order: str, slices: int | None = None) -> DataFr
 
 
 def longest_version(df: DataFrame, keys: list[str], text: str, pos: str) -> DataFrame:
-    """Of each key's texts the longest, of equally long ones the first."""
-    return first_by(df, keys, [F.desc(F.length(text)), pos])
+    """Of each key's texts the longest, of equally long ones the first, of those in one place the least."""
+    return first_by(df, keys, [F.desc(F.length(text)), pos, text])
 
 
 def ordered_distinct(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from labelspark.operators import matching
+from labelspark.operators import dedup, matching
 
 
 def _questions(spark, n):
@@ -35,3 +35,10 @@ def test_equal_labels_are_read_once(spark):
     found = matching.select_compounds(register, compounds).groupBy("compound", "route").count().collect()
     assert {tuple(r) for r in found} == {("c3", "inn", 20_000), ("c7", "pt", 40_000)}
     assert time.monotonic() - began < 60  # 30 million tests of a name against a label took longer
+
+
+def test_longest_version_has_one_answer(spark):
+    rows = [(1, p, "ab"[k] * 3) for p in range(50) for k in range(2)]
+    for n in (1, 7):
+        df = spark.createDataFrame(rows[::-1], "k int, p int, t string").selectExpr("k + p AS k", "0 AS pos", "t").repartition(n, "t")
+        assert {r.t for r in dedup.longest_version(df, ["k"], "t", "pos").collect()} == {"aaa"}
