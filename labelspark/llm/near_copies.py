@@ -1,7 +1,9 @@
 """Near copies for SimHash near-dedup: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Two sets that similar share one of the first n - ceil(0.8 n) + 1 elements of
-each under any common order, so every text is filed under those of its shingles;
+SimHash comes first: classes whose fingerprints are equal or linked within three
+bits, which partitions of bits find as in op7_simhash, are verified on their whole
+sets. It cannot find all. Two sets that similar share one of the first
+n - ceil(0.8 n) + 1 elements of each under any common order, so for the rest every text is filed under those of its shingles;
 shingles that a bounded sample of texts finds common come last in that order,
 which decides the cost and not the result. Pairs under one key whose sizes and
 five-word SimHashes allow it, and whose sketches of the smallest hashes agree
@@ -9,8 +11,8 @@ well enough, are verified on their whole sets. Only the texts of such pairs are
 read again.
 
 Fingerprints alone do not find these: at 0.8 a bit differs with a chance of
-0.152, so links would need 26 of 64 bits, for which the pigeonhole principle
-files every text with a large part of all others. Here they screen.
+0.152, so links would need 27 of 64 bits, for which the pigeonhole principle
+files every text with a large part of all others. There they screen.
 
 Texts with equal sets are one class, and only classes are filed. A group of near
 copies is not compared pair by pair. Members of a key are first held against the
@@ -39,6 +41,7 @@ without doc_id stay, and name no component; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import cache, partial
 
 import numpy as np
@@ -298,8 +301,21 @@ def _against(members: DataFrame, others: DataFrame, least: float) -> DataFrame:
     return near.select(F.greatest("node", "onode").alias("u"), F.least("node", "onode").alias("v"))
 
 
-def near_copies(documents: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """(doc_id, mark, component): rows that links of `least` or more reach share a component."""
+def _by_fingerprint(reps: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Candidates (u, v) by SimHash: classes of one fingerprint with the first of them, and the first ones of fingerprints that linked connects."""
+    lead = materialize(reps.groupBy("sim").agg(F.min("node").alias("lead"), F.count("*").alias("several")))
+    same = reps.join(lead.filter("several > 1"), "sim").filter("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    of = lambda name: lead.select(F.col("sim").alias(name), F.col("lead").alias(f"l{name}"))
+    near = linked(lead.select(F.col("sim").alias("fp"))).join(of("u"), "u").join(of("v"), "v").select(F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v"))
+    return same.unionByName(near)
+
+
+def near_copies(documents: DataFrame, size: int = SHINGLE, least: float = LEAST, linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, mark, component): rows that links of `least` or more reach share a component.
+
+    linked: fingerprints (fp) to links (u, v) between near ones, which are
+    tried before all other candidates.
+    """
     bound_batches(documents.sparkSession)
     rows = with_id(documents, full=True)
     common, counts = _common(rows, size)
@@ -321,34 +337,38 @@ def near_copies(documents: DataFrame, size: int = SHINGLE, least: float = LEAST)
 
     links = tested = found = now = None
     known: list[DataFrame] = []
-    for turn in range(3):
+    for turn in range(-1 if linked else 0, 3):
         discard(now)
-        if found is None:
-            now = member.withColumn("c", F.col("node"))
-        else:
-            now = member.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        apart = now.groupBy("key").agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.count("*").alias("size")).filter("_a <> _b").select("key", "size")
-        now = materialize(now.join(apart, "key"))
-        rank = F.xxhash64("node") if turn == 1 else F.struct(-F.col("many"), F.xxhash64("node"))
-        if turn < 2:
-            near = _against(now, now.groupBy("key").agg(F.min(F.struct(rank.alias("h"), "node", "n", "sim", "c")).alias("o")), least)
+        now = None
+        if turn < 0:
+            near = _by_fingerprint(reps, linked)
         else:
-            # what is not in the key's largest component against all members
-            few = now.filter(F.col("size") <= SMALL)
-            sizes = few.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("most"))
-            near = _against(few, few.join(sizes, "key").filter("c <> most.c").select("key", F.struct("node", "n", "sim", "c").alias("o")), least)
-            crowd = now.filter(F.col("size") > SMALL)
-            lead = crowd.groupBy("key").agg(F.min(F.struct(rank.alias("h"), "node")).alias("o")).select("key", F.col("o.node").alias("lead"))
-            grouped = crowd.join(lead, "key").select("lead", "node", "n", "sim", "c").distinct()
-            sizes = grouped.groupBy("lead").agg((F.count("*") <= GROUP).alias("fits"))
-            grouped = materialize(grouped.join(sizes, "lead"))
-            found_here = materialize(_in_groups(grouped.filter("fits").drop("fits"), sketches, least))
-            near = near.unionByName(found_here.filter("u <> v"))
-            dense = found_here.filter("u = v").select(F.col("u").alias("lead"), F.lit(True).alias("dense"))
-            large = grouped.join(dense, "lead", "left").filter("not fits or dense").drop("fits", "dense")
-            if not large.isEmpty():
-                own = _own_sets(large.select(F.explode(F.array("lead", "node")).alias("node")).distinct(), reps, rows, size, known)
-                near = near.unionByName(_by_difference(large, own, least))
+            if found is None:
+                now = member.withColumn("c", F.col("node"))
+            else:
+                now = member.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+            apart = now.groupBy("key").agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.count("*").alias("size")).filter("_a <> _b").select("key", "size")
+            now = materialize(now.join(apart, "key"))
+            rank = F.xxhash64("node") if turn == 1 else F.struct(-F.col("many"), F.xxhash64("node"))
+            if turn < 2:
+                near = _against(now, now.groupBy("key").agg(F.min(F.struct(rank.alias("h"), "node", "n", "sim", "c")).alias("o")), least)
+            else:
+                # what is not in the key's largest component against all members
+                few = now.filter(F.col("size") <= SMALL)
+                sizes = few.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("most"))
+                near = _against(few, few.join(sizes, "key").filter("c <> most.c").select("key", F.struct("node", "n", "sim", "c").alias("o")), least)
+                crowd = now.filter(F.col("size") > SMALL)
+                lead = crowd.groupBy("key").agg(F.min(F.struct(rank.alias("h"), "node")).alias("o")).select("key", F.col("o.node").alias("lead"))
+                grouped = crowd.join(lead, "key").select("lead", "node", "n", "sim", "c").distinct()
+                sizes = grouped.groupBy("lead").agg((F.count("*") <= GROUP).alias("fits"))
+                grouped = materialize(grouped.join(sizes, "lead"))
+                found_here = materialize(_in_groups(grouped.filter("fits").drop("fits"), sketches, least))
+                near = near.unionByName(found_here.filter("u <> v"))
+                dense = found_here.filter("u = v").select(F.col("u").alias("lead"), F.lit(True).alias("dense"))
+                large = grouped.join(dense, "lead", "left").filter("not fits or dense").drop("fits", "dense")
+                if not large.isEmpty():
+                    own = _own_sets(large.select(F.explode(F.array("lead", "node")).alias("node")).distinct(), reps, rows, size, known)
+                    near = near.unionByName(_by_difference(large, own, least))
         pairs = near.distinct()
         pairs = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
         pairs = materialize(_sketched(pairs, sketches, least))

@@ -235,12 +235,13 @@ def keep_one(documents: DataFrame, least: float | None = None, shingle: int = ne
     """The documents, all their columns: of each group one row, that of its least doc_id (of several texts under it that of the least mark); rows without doc_id stay.
 
     Groups are those of near_duplicates, or, with `least`, of texts whose sets of
-    shingles are at least so similar, for which fingerprints are a screen.
+    shingles are at least so similar: links of fingerprints, verified on the sets,
+    and those between other texts, for which fingerprints are a screen.
     """
     if least is None:
         found = near_duplicates(documents).withColumnRenamed("component_id", "component")
     else:
-        found = near_copies.near_copies(documents, shingle, least)
+        found = near_copies.near_copies(documents, shingle, least, linked)
     found = materialize(found.filter("doc_id is not null").groupBy("component", "doc_id", "mark").agg(F.count("*").alias("rows")))
     chosen = found.groupBy("component").agg(F.min(F.struct("doc_id", "mark", "rows")).alias("x")).select("x.*")
     return keep_rows(documents, materialize(chosen))

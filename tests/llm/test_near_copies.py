@@ -165,3 +165,20 @@ def test_sketches():
         c, d = (np.unique(np.r_[shared[: n // 2], draw(n)]) for _ in range(2))
         apart += not near_copies.agree(near_copies.sketch(c), near_copies.sketch(d), 0.8)
     assert lost == 0 and apart > 450
+
+
+def test_fingerprints_find_first_and_shuffles_go(spark, monkeypatch):
+    """Near copies within three bits come from SimHash links; what materialize shuffled is not kept."""
+    from labelspark.llm import common
+
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join([*words[:399], f"x{k}"]), "s") for k in range(4)] + [(9, "other " * 3, "s")]
+    df = spark.createDataFrame(rows, DOCS)
+    asked = []
+    real = simhash.linked
+    monkeypatch.setattr(simhash, "linked", lambda classes: asked.append(classes.count()) or real(classes))
+    monkeypatch.setattr(near_copies, "_against", lambda members, others, least: members.limit(0).selectExpr("node AS u", "node AS v"))
+    assert sorted(r.doc_id for r in simhash.keep_one(df, least=0.8).collect()) == [0, 9]
+    assert len(asked) == 1 and asked[0] >= 2
+    made = common.materialize(df.groupBy("doc_id").count())
+    assert made.count() == 5 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
