@@ -16,6 +16,9 @@ KEYS = {
     "passagem": ["documento_id", "seccao"], "guideline": ["guideline_id", "farmaco", "gene"], "cobertura": ["documento_id", "guideline_id"],
 }
 
+#: Documents whose rows a task gathers, about.
+DOCUMENTS = 100_000
+
 
 def first_wins(rows: DataFrame, table: str, order: list) -> DataFrame:
     """rows without those whose natural key an earlier one has."""
@@ -63,6 +66,12 @@ def complete_view(t: dict[str, DataFrame]) -> DataFrame:
     return out.select("id", "tipo", "valor", "gene", "seccoes", "mencoes", "ficheiro", "medicamento", "codigo_atc", "grupo_codigo", "substancia", "cui", "drugbank")
 
 
+def dealt(rows: DataFrame, documents: int, *keys: str) -> DataFrame:
+    """rows, of so many documents, dealt out by keys; the more documents there are, the more pieces, so that what a task gathers does not grow with them."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-documents // DOCUMENTS)), *keys)
+
+
 def table_counts(t: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in t.items():
@@ -93,8 +102,9 @@ def star_store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     entity = ["documento_id", "tipo", "valor"]
     key = F.concat_ws("|", *entity)
     guides = s.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("PA"), F.col("s_nationkey")).alias("guideline_id"), F.when(F.col("s_nationkey") % 2 == 0, "CPIC").otherwise("DPWG").alias("fonte"), F.col("s_name").alias("farmaco"), F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 25 + 1).cast("string")).alias("gene"))
-    cover = rows.join(guides.select(F.col("id").alias("l_suppkey"), F.col("gene").alias("wanted")), "l_suppkey").groupBy("documento_id", F.col("l_suppkey").alias("guideline_id")).agg(F.bool_or(F.col("gene") == F.col("wanted")).alias("y"), F.first("wanted").alias("w"))
     o = read("orders")
+    asked = rows.join(guides.select(F.col("id").alias("l_suppkey"), F.col("gene").alias("wanted")), "l_suppkey").select("documento_id", F.col("l_suppkey").alias("guideline_id"), (F.col("gene") == F.col("wanted")).alias("y"))
+    cover = dealt(asked, o.count(), "documento_id").groupBy("documento_id", "guideline_id").agg(F.bool_or("y").alias("y")).join(guides.groupBy(F.col("id").alias("guideline_id")).agg(F.min("gene").alias("w")), "guideline_id")
     return {
         "substancia": read("customer").select(F.col("c_custkey").alias("id"), F.lower("c_name").alias("nome"), F.concat(F.lit("C"), F.col("c_nationkey")).alias("cui"), F.lit(None).cast("string").alias("drugbank"), F.lit(None).cast("string").alias("mesh"), F.lower("c_mktsegment").alias("aliases")),
         "documento": o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("doc_"), F.col("o_orderkey")).alias("ficheiro"), F.col("o_orderpriority").alias("medicamento"), F.col("o_custkey").alias("substancia_id"), F.col("o_orderstatus").alias("codigo_atc"), F.lit(None).cast("string").alias("grupo_codigo"), (F.col("o_orderstatus") == "F").cast("int").alias("tem_pgx"), (F.col("o_orderstatus") != "O").cast("int").alias("tem_entidades")),
