@@ -7,16 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelspark.sources.shared import discard, materialize, shared_dir  # noqa: F401
-
-#: Rows of one Arrow batch; a batch of very long texts must still fit a worker.
-BATCH_ROWS, BATCH_BYTES = 8192, 4 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in bytes: texts have no upper length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+from labelspark.sources.shared import BATCH_BYTES, BATCH_ROWS, bound_batches, discard, materialize, shared_dir  # noqa: F401
 
 
 def partitions(spark: SparkSession) -> int:

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
+from labelspark.sources.shared import bound_batches
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
 def query(sql: str | None = None, name: str | None = None):
-    """Register a function (spark, sf_dir) -> DataFrame under its name, with its SQL equivalent if there is one."""
+    """Register a function (spark, sf_dir) -> DataFrame under its name, with its SQL equivalent if there is one; its Python workers get batches of bounded size."""
 
     def put(f):
-        QUERIES[name or f.__name__] = f
+        @functools.wraps(f)
+        def bounded(spark, sf_dir):
+            bound_batches(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name or f.__name__] = bounded
         if sql is not None:
             ORACLES[name or f.__name__] = sql
         return f
