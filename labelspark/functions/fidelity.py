@@ -25,10 +25,16 @@ COVERAGE, FRAGMENT, INVISIBLE = 0.85, 20, "­​‌‍﻿"
 PIECE = 20_000
 
 
-def comparable(text: str) -> str:
-    text = unicodedata.normalize("NFKC", html.unescape(text or ""))
-    text = text.translate({**dict.fromkeys(map(ord, INVISIBLE)), **dict.fromkeys(map(ord, DASHES), "-")})
-    return " ".join(re.sub(r"\s*-\s*", "", text).split()).lower()
+_MARKS = {**dict.fromkeys(map(ord, INVISIBLE)), **dict.fromkeys(map(ord, DASHES), "-")}
+
+
+def comparable(text: str | None) -> str:
+    text = html.unescape(text or "")
+    if not text.isascii():  # nothing to compose, no mark and no other dash in ASCII
+        text = unicodedata.normalize("NFKC", text).translate(_MARKS)
+    if "-" in text:
+        text = re.sub(r"\s*-\s*", "", text)
+    return " ".join(text.split()).lower()
 
 
 class Block:
@@ -68,7 +74,8 @@ class Block:
         if rest in self.text:
             return "verbatim"
         size, found = len(rest), 0
-        while len(rest) >= FRAGMENT and (n := self.longest_prefix(rest)) >= FRAGMENT:
+        while len(rest) >= FRAGMENT and rest[:FRAGMENT] in self.text:  # most excerpts of other texts need no order of suffixes
+            n = self.longest_prefix(rest)
             found, rest = found + n, rest[n:].lstrip()
         return "recomposto" if found / size >= COVERAGE else "nao_encontrado"
 
@@ -96,6 +103,7 @@ def graded(units: DataFrame, excerpts: DataFrame, on: list[str], text: str = "te
     for k in keys:
         there = there & k.isNotNull()
     many = excerpts.filter(there).groupBy(*keys).agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_n")).filter("_n > 1")
+    many = F.broadcast(many)  # one row for more than PIECE excerpts
     pieces = F.coalesce("_n", F.lit(1))
     e = excerpts.filter(there).join(many, on, "left").withColumn("_piece", F.pmod(F.xxhash64(*hashed), pieces).cast("int")).drop("_n")
     u = units.filter(there).select(*keys, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_unit")).join(many, on, "left")

@@ -11,6 +11,7 @@ from labelspark.functions import substances as sub
 from labelspark.operators import agreement, analysis, dedup, filters, matching
 from labelspark.plans.registry import query, read
 from labelspark.sources import readers, sinks
+from labelspark.sources.shared import materialize
 from labelspark.streaming import incremental
 
 
@@ -452,6 +453,7 @@ _PAIRS_SQL = rf"""t AS (SELECT doc_id, {_PLAIN_SQL} AS block, unnest(string_spli
 def _lines_against_texts(spark, sf_dir):
     """Each line of a document as an excerpt of it, and of the first of its five."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9\n]", " ").alias("texto"))
+    d = materialize(d)  # cleaned once for the texts, their lines and the lines' number
     lines = d.select(F.col("doc_id").alias("origin"), F.posexplode(F.split("texto", "\n")).alias("pos", "texto_original"))
     home = F.col("origin") - F.col("origin") % 5
     e = lines.withColumn("unit", F.explode(F.when(F.col("origin") == home, F.array("origin")).otherwise(F.array("origin", home))))

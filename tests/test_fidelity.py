@@ -1,6 +1,9 @@
 """Fidelity of excerpts against a search character by character."""
 
+import html
 import random
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -45,6 +48,24 @@ def test_states():
     assert seen == {"verbatim", "recomposto", "nao_encontrado"}
 
 
+def test_an_excerpt_of_another_text_needs_no_order():
+    """Nearly all excerpts of other texts are told by their first characters; an excerpt that begins in the text is still taken in pieces."""
+    text = " ".join(map(str, range(4000)))
+    block = fid.Block(text)
+    assert [block.state(e) for e in ("1 2 3", "none of these words is in there", "12 13 14 - 15", "", None)] == ["verbatim", "nao_encontrado", "nao_encontrado", "nao_encontrado", "nao_encontrado"]
+    assert block.order is None
+    assert block.state("100 101 102 103 104 105 300 301 302 303 304 305") == "recomposto" and block.order is not None
+
+
+def test_comparable_is_the_same_for_plain_characters():
+    rng = random.Random(7)
+    for _ in range(2000):
+        text = "".join(rng.choice("aB -\n\t\x1f\x0b\x85\xa0&;#45amp\u2013\u00ad\uff21e\u0301") for _ in range(rng.randrange(30)))
+        full = unicodedata.normalize("NFKC", html.unescape(text))
+        full = full.translate({**dict.fromkeys(map(ord, fid.INVISIBLE)), **dict.fromkeys(map(ord, fid.DASHES), "-")})
+        assert fid.comparable(text) == " ".join(re.sub(r"\s*-\s*", "", full).split()).lower()
+
+
 def test_longest_prefix():
     rng = random.Random(6)
     for _ in range(200):
