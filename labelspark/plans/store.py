@@ -62,7 +62,8 @@ def complete_view(t: dict[str, DataFrame]) -> DataFrame:
     sections = t["entidade_seccao"].groupBy(F.col("entidade_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("seccao")), " ; ").alias("seccoes"))
     d = t["documento"].select(F.col("id").alias("documento_id"), "ficheiro", "medicamento", "codigo_atc", "grupo_codigo", "substancia_id")
     s = t["substancia"].select(F.col("id").alias("substancia_id"), F.col("nome").alias("substancia"), "cui", "drugbank")
-    out = t["entidade"].join(sections, "id", "left").join(d, "documento_id").join(s, "substancia_id", "left")
+    named = d.join(s, "substancia_id", "left").drop("substancia_id")  # before the entities, which are more than the documents and would be shuffled by substance as well
+    out = t["entidade"].join(sections, "id", "left").join(named, "documento_id")
     return out.select("id", "tipo", "valor", "gene", "seccoes", "mencoes", "ficheiro", "medicamento", "codigo_atc", "grupo_codigo", "substancia", "cui", "drugbank")
 
 

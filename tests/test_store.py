@@ -43,3 +43,9 @@ def test_a_substance_reads_its_own_rows_only(spark):
     finally:
         api.FEW = few
     assert api.substance(t, "nobody")[2].collect() == []
+
+
+def test_documents_are_named_before_entities_meet_them(spark):
+    plan = store.complete_view(store.star_store(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().analyzed().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line and "substancia_id" in line]
+    assert len(joins) == 1 and plan.index("Join Inner, (documento_id") < plan.index(joins[0])
