@@ -4,16 +4,22 @@ Largest inner product becomes least distance once each vector gets one more
 component that lifts all to the largest norm. Gaussian (2-stable) projections
 to M dimensions then keep distances in the sense that the ratio of squared
 projected to squared true distance is chi-square with M degrees of freedom. A
-kd-tree yields projected neighbours, nearest first; each is verified on the
-original vectors, and the search stops at the first whose projected distance a
-vector nearer than the present k-th neighbour would exceed with a probability
-below 1 - P only.
+kd-tree yields projected neighbours, leaves nearest first; each is verified on
+the original vectors unless its projected distance is one that a vector nearer
+than the present k-th neighbour would exceed with a probability below 1 - P
+only, and the search stops at the first leaf as far away.
+
+Queries near each other search as a block: they share the leaves, and one
+product of matrices verifies what the test leaves to any of them. A vector is
+read once a block, not once a query, and no query verifies less than alone.
 
 The index is a coarse kd-tree over a bounded sample, whose leaves are shards,
 and a kd-tree of its own in each shard; every vector is indexed, and a shard of
 too many vectors is dealt out in pieces. A query searches its own shard, then,
 in rounds of one, two, four and so on, the nearest of those that the stopping
-test does not rule out; each round hands the k-th score on to the next.
+test does not rule out; each round hands the k-th score on to the next. Shards
+grow with the vectors up to what a worker holds, so that until then the number
+of shards, and of rows sent for a query, stays the same.
 
 Defined results: vectors that are null, zero or hold a null or non-finite
 component take no part, nor do rows without vec_id; shorter vectors are filled
@@ -37,11 +43,12 @@ from labelspark.llm.common import batch, bound_batches, longs, materialize, part
 from labelspark.llm.vector_dedup import matrix, valid_vector
 
 K, M, P, SEED = 20, 15, 0.92, 20240229
-#: Vectors a shard is meant to hold; rows of the sample that places the shards' borders, and so a bound on their number.
-SHARD, SAMPLE = 16_384, 32_768
-#: Queries that visit one copy of a shard; a shard that more visit is copied.
-VISITS = 4096
-LEAF = 64
+#: Vectors a shard is meant to hold at least, and bytes of vectors at most beyond that; rows of the sample that places the shards' borders, and so a bound on their number.
+SHARD, HELD, SAMPLE = 16_384, 32 << 20, 32_768
+#: Queries that visit one copy of a shard of SHARD vectors, more of a larger one; a shard that more visit is copied. So no more vectors are copied than queries sent.
+VISITS = 16_384
+#: Vectors of a leaf, leaves read at once, queries that search together, scores computed again at once.
+LEAF, WIDE, BLOCK, AGAIN = 64, 32, 128, 16_384
 
 
 def chi2_cdf(x: float, m: int) -> float:
@@ -128,12 +135,15 @@ def place(points: np.ndarray, nodes) -> np.ndarray:
 
 
 class Shard:
-    """Vectors, their projections, and the kd-tree's leaves and boxes. It counts the vectors it verifies."""
+    """Vectors, their projections, and the kd-tree's leaves and boxes. It counts the pairs it verifies."""
 
     def __init__(self, x: np.ndarray, ids: list, projected: np.ndarray):
         leaves = split(projected, LEAF)
         order = np.concatenate(leaves)
-        self.x, self.p, self.ids = x[order], projected[order], [ids[k] for k in order]
+        self.x, self.ids = x[order], [ids[k] for k in order]
+        self.first = np.array([i[0] for i in self.ids])
+        # times (-2 p, |p|^2 - reach, 1): by how much a squared distance in the projection exceeds the reach
+        self.p = np.c_[projected[order], np.ones(len(order)), (projected[order] ** 2).sum(axis=1)]
         self.ends = np.cumsum([len(x) for x in leaves])
         self.starts = self.ends - [len(x) for x in leaves]
         self.low = np.array([projected[rows].min(axis=0) for rows in leaves])
@@ -142,34 +152,53 @@ class Shard:
 
     def search(self, q: np.ndarray, p: np.ndarray, far: np.ndarray, own: int, norm: float, k: int, stop: float, known: float) -> tuple[list, list]:
         """Scores and ids of the k best of this shard; p: the query's projection, far: its squared distances to the boxes, known: the k-th score from elsewhere, or -inf."""
-        best, rows, kth = np.empty(0), np.empty(0, np.int64), known
-        square = float(q @ q) + norm * norm
-        boxes, at, step = np.argsort(far, kind="stable"), 0, 8
-        while at < len(boxes) and (kth == -np.inf or far[boxes[at]] <= stop * max(square - 2 * kth, 0)):
-            new = np.concatenate([np.arange(self.starts[j], self.ends[j]) for j in boxes[at : at + step]])
-            at, step = at + step, 2 * step
-            away = self.p[new] - p
-            away = np.einsum("ij,ij->i", away, away)
-            order = np.argsort(away, kind="stable")
-            new, away = new[order], away[order]
-            i, n = 0, 2 * k
-            while i < len(new):
-                # the stopping test on each projected neighbour: those behind the first that fails it are further away still
-                end = len(new) if kth == -np.inf else int(np.searchsorted(away, stop * max(square - 2 * kth, 0), side="right"))
-                part, i, n = new[i : min(end, i + n)], i + n, 2 * n
-                if not len(part):
-                    break
-                self.verified += len(part)
-                score = self.x[part] @ q
-                fine = score >= kth
-                best, rows = np.r_[best, score[fine]], np.r_[rows, part[fine]]
-                if len(best) > k:
-                    # one place more than k: the query's own vector may be among them
-                    top = np.partition(best, len(best) - k - 1)[len(best) - k - 1]
-                    keep = best >= top
-                    best, rows, kth = best[keep], rows[keep], max(kth, top)
-        pairs = sorted((-s, i) for s, r in zip(best.tolist(), rows.tolist(), strict=True) for i in self.ids[r] if i != own)[:k]
-        return [-s for s, _ in pairs], [i for _, i in pairs]
+        return self.search_block(q[None], p[None], far[None], [own], norm, k, stop, np.array([known]))[0]
+
+    def search_block(self, q: np.ndarray, p: np.ndarray, far: np.ndarray, own: list, norm: float, k: int, stop: float, known: np.ndarray) -> list[tuple[list, list]]:
+        """As search, for each of several queries."""
+        own_square, p_square = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", p, p)
+        # the margin is for rounding: distances come as differences, and neighbours may be equal but for the last bit
+        square, kth = (own_square + norm * norm) * (1 + 1e-12), known.astype(float)
+        # by so much a product of matrices may differ from the scores as they are returned
+        slack = 4e-16 * q.shape[1] * norm * np.sqrt(own_square)
+        who, rows, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        least = far.min(axis=0)
+        boxes, at, step = np.argsort(least, kind="stable"), 0, 4
+        while at < len(boxes):
+            reach = np.where(kth == -np.inf, np.inf, stop * np.maximum(square - 2 * kth, 0))
+            if least[boxes[at]] > reach.max():
+                break
+            some = boxes[at : at + step]
+            at, step = at + step, min(2 * step, WIDE)
+            near = far[:, some] <= reach[:, None]
+            some, asked = some[near.any(axis=0)], np.flatnonzero(near.any(axis=1))
+            if not len(some):
+                continue
+            new = np.concatenate([np.arange(self.starts[j], self.ends[j]) for j in some])
+            # the stopping test on each projected neighbour
+            fine = np.c_[-2 * p[asked], (p_square - reach)[asked], np.ones(len(asked))] @ self.p[new].T <= 0
+            new, asked = new[fine.any(axis=0)], asked[fine.any(axis=1)]
+            x = self.x[new]
+            score = q[asked] @ x.T
+            self.verified += score.size
+            a, b = np.divmod(np.flatnonzero(score >= (kth - slack)[asked, None]), len(new))
+            # each pair's own sum: it does not depend on the pairs around it
+            parts = [slice(i, i + AGAIN) for i in range(0, len(a), AGAIN)]
+            again = np.concatenate([np.einsum("ij,ij->i", q[asked[a[i]]], x[b[i]]) for i in parts] or [best[:0]])
+            hit = again >= kth[asked[a]]
+            who, rows, best = np.r_[who, asked[a[hit]]], np.r_[rows, new[b[hit]]], np.r_[best, again[hit]]
+            order = np.lexsort((self.first[rows], -best, who))
+            place = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+            # one place more than k: the query's own vector may be among them
+            order, place = order[place <= k], place[place <= k]
+            who, rows, best = who[order], rows[order], best[order]
+            last = place == k
+            kth[who[last]] = np.maximum(kth[who[last]], best[last])
+        out, ends = [], np.searchsorted(who, np.arange(len(q) + 1)).tolist()
+        for n, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
+            pairs = sorted((-s, v) for s, r in zip(best[i:j].tolist(), rows[i:j].tolist(), strict=True) for v in self.ids[r] if v != own[n])[:k]
+            out.append(([-s for s, _ in pairs], [v for _, v in pairs]))
+        return out
 
 
 def _distances(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -181,6 +210,11 @@ def _distances(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
+def shard_size(n: int, dim: int, parts: int) -> int:
+    """Vectors a shard is meant to hold: as many shards as 16, or partitions, so long as what one holds has its bounds."""
+    return max(SHARD, min(n // max(16, parts), HELD // (8 * dim)))
+
+
 def _placed(dim: int, norm: float, nodes, query: bool):
     directions = projection(dim)
 
@@ -201,7 +235,7 @@ _SENT = ("shard", "copy", "kind", "ids", "embedding", "p", "known", "query")
 
 
 def _searched(dim: int, norm: float, k: int, stop: float):
-    """Of rows sorted by shard and copy, vectors (kind 0) before queries (kind 1): the best of each query in that shard."""
+    """Of rows sorted by shard, copy, kind (0: vectors, 1: queries) and id: the best of each query in that shard."""
 
     def run(batches):
         schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -222,13 +256,14 @@ def _searched(dim: int, norm: float, k: int, stop: float):
                     if shard is None:
                         shard = Shard(np.concatenate([h[0] for h in held]), [ids for h in held for ids in h[1]], np.concatenate([h[2] for h in held]))
                         held = [held[0]]
-                    far = _distances(p[cut:j], shard.low, shard.high)
-                    ids, known = b.column(3).slice(cut, j - cut).to_pylist(), b.column(6).slice(cut, j - cut).to_numpy(zero_copy_only=False)
+                    ids, known = [i[0] for i in b.column(3).slice(cut, j - cut).to_pylist()], b.column(6).to_numpy(zero_copy_only=False)
                     out = ([], [], [], [])
-                    for n in range(j - cut):
-                        scores, found = shard.search(x[cut + n], p[cut + n], far[n], ids[n][0], norm, k, stop, known[n])
-                        for column, values in zip(out, ([query[cut + n]] * len(found), ids[n] * len(found), found, scores), strict=True):
-                            column.extend(values)
+                    for block in split(p[cut:j], BLOCK):
+                        own, block = [ids[n] for n in block], cut + block
+                        far = _distances(p[block], shard.low, shard.high)
+                        for n, i, (scores, found) in zip(block, own, shard.search_block(x[block], p[block], far, own, norm, k, stop, known[block]), strict=True):
+                            for column, values in zip(out, ([query[n]] * len(found), [i] * len(found), found, scores), strict=True):
+                                column.extend(values)
                     yield batch(schema, *map(longs, out[:3]), out[3])
 
     return run
@@ -275,16 +310,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, p: float = P) ->
     if not size.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, norm, stop = size.dim, float(np.sqrt(size.square)), chi2_quantile(p, M)
+    full = shard_size(size.n, dim, partitions(spark))
     sample = places.orderBy(F.xxhash64("ids")).limit(min(SAMPLE, 16 * (size.n // SHARD + 1))) if size.n > SHARD else places.limit(0)
     points = [r.p for r in sample.mapInArrow(_placed(dim, norm, [], False), _PLACED).select("p").collect()]
-    nodes = borders(np.array(points), min(size.n // SHARD + 1, len(points) // 8 + 1)) if points else []
+    nodes = borders(np.array(points), min(size.n // full + 1, len(points) // 8 + 1)) if points else []
     index = materialize(places.mapInArrow(_placed(dim, norm, nodes, False), _PLACED))
     boxes = index.select("shard", F.posexplode("p").alias("d", "x")).groupBy("shard", "d").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).collect()
     shards = sorted({r.shard for r in boxes})
     low, high = np.zeros((len(shards), M)), np.zeros((len(shards), M))
     row_of = {s: i for i, s in enumerate(shards)}
     # what no worker holds at once is dealt out; every query of the shard visits all its pieces
-    pieces = {r.shard: -(-r.n // (2 * SHARD)) for r in boxes if r.n > 2 * SHARD}
+    pieces = {r.shard: -(-r.n // (2 * full)) for r in boxes if r.n > 2 * full}
     for r in boxes:
         low[row_of[r.shard], r.d], high[row_of[r.shard], r.d] = r.low, r.high
     asked = rows(queries).dropDuplicates(["vec_id", "embedding"]).select(F.array("vec_id").alias("ids"), "embedding").mapInArrow(_placed(dim, norm, nodes, True), _PLACED)
@@ -295,16 +331,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, p: float = P) ->
 
     def search(visits: DataFrame) -> DataFrame:
         """visits: rows of asked, each with the shard it visits."""
-        counts = {r.shard: -(-r["count"] // VISITS) for r in visits.groupBy("shard").count().collect()}
+        counts = {r.shard: -(-r["count"] // (VISITS * full // SHARD)) for r in visits.groupBy("shard").count().collect()}
         copies, split_in = by_shard(counts, 0), by_shard(pieces, 1)
         # of a shard in pieces, copy c of piece i is copy c * pieces + i
         held = index.filter(copies > 0).withColumn("c", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)))))
         held = held.withColumn("copy", ((F.col("c") - 1) * split_in + F.pmod(F.xxhash64("ids"), split_in.cast("long"))).cast("int"))
         held = held.select("shard", "copy", F.lit(0).alias("kind"), "ids", "embedding", "p", F.lit(0.0).alias("known"), F.lit(0).cast("long").alias("query"))
-        own = F.pmod(F.xxhash64("query"), F.greatest(copies, F.lit(1)).cast("long")).cast("int")
+        own = F.pmod(F.xxhash64("ids"), F.greatest(copies, F.lit(1)).cast("long")).cast("int")
         sent = visits.withColumn("copy", F.explode(F.transform(F.sequence(F.lit(0), split_in - 1), lambda i: (own * split_in + i).cast("int"))) if pieces else own)
         sent = sent.select("shard", "copy", F.lit(1).alias("kind"), "ids", "embedding", "p", "known", "query")
-        both = held.unionByName(sent).repartition(partitions(spark), "shard", "copy").sortWithinPartitions("shard", "copy", "kind").select(*_SENT)
+        both = held.unionByName(sent).repartition(partitions(spark), "shard", "copy").sortWithinPartitions("shard", "copy", "kind", F.col("ids")[0]).select(*_SENT)
         return materialize(both.mapInArrow(_searched(dim, norm, k, stop), _FOUND))
 
     found, first, width = search(asked), 0, 1

@@ -1,6 +1,7 @@
 """Vector operators against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from labelspark.llm import ann, vector_dedup
@@ -127,6 +128,79 @@ def test_search_stops(spark):
     assert shard.verified < 0.85 * 40 * 3000
 
 
+def loose_shard(n, queries, dim=64):
+    """n vectors without clusters, and the batches in which a shard of them and its queries come."""
+    rng = np.random.default_rng(3)
+    x = vector_dedup.unit(rng.standard_normal((n, dim)))
+    directions = ann.projection(dim)
+    lists = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float64()))
+    made = []
+    for kind, rows, p in ((0, x, ann.lifted(x, 1.0) @ directions), (1, x[:queries], np.c_[x[:queries], np.zeros(queries)] @ directions)):
+        m = len(rows)
+        flat = [pa.array(np.full(m, v, np.int32)) for v in (0, 0, kind)]
+        ids = pa.array([[k] for k in range(m)], pa.list_(pa.int64()))
+        made.append(pa.RecordBatch.from_arrays([*flat, ids, lists(rows), lists(p), pa.array(np.full(m, -np.inf)), pa.array(np.arange(m))], names=list(ann._SENT)))
+    return x, made
+
+
+def test_queries_share_the_vectors_they_read(monkeypatch):
+    """Vectors without clusters, where nearly all pairs must be verified: a shard's vectors are read once a block of queries, not once a query."""
+    read = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            out = np.asarray(self)[key]
+            read.append(len(out))
+            return out
+
+    class Shard(ann.Shard):
+        def __init__(self, *given):
+            super().__init__(*given)
+            self.x = self.x.view(Counted)
+
+    monkeypatch.setattr(ann, "Shard", Shard)
+    x, batches = loose_shard(8192, 512)
+    found = pa.Table.from_batches(ann._searched(64, 1.0, 20, ann.chi2_quantile(ann.P, ann.M))(batches))
+    assert 0 < sum(read) < 0.03 * 512 * 8192
+    score = x[:512] @ x.T
+    np.fill_diagonal(score, -np.inf)
+    best = np.argpartition(score, -20, axis=1)[:, -20:]
+    mine = set(zip(found["query"].to_pylist(), found["vec_id"].to_pylist(), strict=True))
+    assert len(mine) == 20 * 512 and len(mine & {(q, int(v)) for q in range(512) for v in best[q]}) > 0.95 * len(mine)
+
+
+def test_a_block_finds_what_its_queries_find_alone():
+    """A query's scores do not depend on the queries beside it, nor do those that it finds alone get lost; equal scores go to the least ids."""
+    x, _ = loose_shard(3000, 1)
+    x[2000:2040], x[2040:2080] = x[5], np.eye(64)[0]
+    x[2100:2140] = x[7] * (1 + np.arange(-40, 0)[:, None] * 1e-15)
+    directions, stop = ann.projection(64), ann.chi2_quantile(ann.P, ann.M)
+    shard = ann.Shard(x, [[k] for k in range(3000)], ann.lifted(x, 1.0) @ directions)
+    q = np.r_[x[:100], np.eye(64)[:1]]
+    p = np.c_[q, np.zeros(101)] @ directions
+    far, own = ann._distances(p, shard.low, shard.high), [*range(100), -1]
+    block = shard.search_block(q, p, far, own, 1.0, 20, stop, np.full(101, -np.inf))
+    for k in range(101):
+        alone = dict(zip(*reversed(shard.search(q[k], p[k], far[k], own[k], 1.0, 20, stop, -np.inf)), strict=True))
+        scores, ids = block[k]
+        assert len(ids) == 20 and sorted(zip((-s for s in scores), ids, strict=True)) == [(-s, i) for s, i in zip(scores, ids, strict=True)]
+        last = (-scores[-1], ids[-1])
+        assert all(alone[i] == s for i, s in zip(ids, scores, strict=True) if i in alone)
+        assert all(i in ids for i, s in alone.items() if (-s, i) <= last)
+    assert block[5][1] == list(range(2000, 2020)) and block[100][1] == list(range(2040, 2060))
+    score = np.einsum("ij,j->i", x, x[7])
+    score[7] = -np.inf
+    assert block[7][1] == np.lexsort((np.arange(3000), -score))[:20].tolist()
+
+
+def test_shards_grow_with_the_vectors():
+    """Until a shard is as large as a worker may hold, no more shards, and so rows sent for a query, come of more vectors."""
+    for n in (300_000, 600_000, 1_000_000):
+        assert n / ann.shard_size(n, 64, 12) <= 17
+    assert ann.shard_size(10**9, 64, 12) * 64 * 8 <= ann.HELD
+    assert ann.shard_size(50_000, 64, 12) == ann.SHARD
+
+
 def test_chi_square():
     assert ann.chi2_cdf(3.841459, 1) == pytest.approx(0.95, abs=1e-6)
     assert ann.chi2_cdf(18.307038, 10) == pytest.approx(0.95, abs=1e-6)
