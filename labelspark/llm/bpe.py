@@ -26,6 +26,8 @@ from labelspark.llm.common import batch, bound_batches, longs, spread
 
 #: Characters of a text that the library gets at once, where a safe place for a cut can be found.
 PIECE = 16_384
+#: Texts whose ids, and what they decode to, a worker holds at once.
+ROWS = 256
 #: A run of white space of this length is encoded past the pattern, which would look back over it.
 RUN = 4096
 
@@ -100,16 +102,24 @@ def _encode_all(path: str, pattern: str):
     return run
 
 
+def _texts_of(documents: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    bound_batches(documents.sparkSession)
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).cast("long").alias(c) for c in carry]))
+
+
 def encode_texts(documents: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, ids): the ids of each whole text; carry names whole-number columns that come along."""
-    bound_batches(documents.sparkSession)
-    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).cast("long").alias(c) for c in carry])).mapInArrow(_encode_all(path, pattern), f"doc_id long, {_longs(carry)}ids array<int>")
+    return _texts_of(documents, carry).mapInArrow(_encode_all(path, pattern), f"doc_id long, {_longs(carry)}ids array<int>")
 
 
 def _longs(carry: tuple[str, ...]) -> str:
     return "".join(f"`{c}` long, " for c in carry)
 
 
+def _decoded(carry: tuple[str, ...]) -> str:
+    return f"doc_id long, {_longs(carry)}n_tokens long, ids_sha256 string, decoded binary"
+
+
 def _decode_all(path: str, pattern: str, carry: tuple[str, ...]):
     def run(batches):
         _, table = encoding(path, pattern)
@@ -123,10 +133,26 @@ def _decode_all(path: str, pattern: str, carry: tuple[str, ...]):
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded): raw bytes, whether or not they are valid text."""
-    return encoded.select("doc_id", "ids", *carry).mapInArrow(_decode_all(path, pattern, carry), f"doc_id long, {_longs(carry)}n_tokens long, ids_sha256 string, decoded binary")
+    return encoded.select("doc_id", "ids", *carry).mapInArrow(_decode_all(path, pattern, carry), _decoded(carry))
+
+
+def _round_trip(path: str, pattern: str, carry: tuple[str, ...]):
+    """Encoding, then decoding. Two steps of Spark would keep two workers a task, each with its own encoding, and both stay for all later jobs."""
+
+    def few(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, ROWS):
+                yield b.slice(k, ROWS)
+
+    def run(batches):
+        encoded = _encode_all(path, pattern)(few(batches))
+        yield from _decode_all(path, pattern, carry)(b.select(["doc_id", "ids", *carry]) for b in encoded)
+        pa.default_memory_pool().release_unused()  # the worker stays for later jobs
+
+    return run
 
 
 def bpe_report(documents: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document, with the columns that carry names: the number of ids, their digest, and the digest of the bytes that they decode to."""
-    out = decode_ids(encode_texts(documents, path, pattern, carry), path, pattern, carry)
+    out = _texts_of(documents, carry).mapInArrow(_round_trip(path, pattern, carry), _decoded(carry))
     return out.select("doc_id", *carry, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -198,6 +198,13 @@ def test_bpe(spark, rows):
     assert got(bpe.bpe_report(df, path, tokens.PATTERN)) == sorted(want, key=str)
 
 
+def test_bpe_takes_one_python_worker_a_task(spark):
+    df = spark.createDataFrame([(k, f"text {k}\n", 9 * k) for k in range(2 * bpe.ROWS + 1)], "doc_id long, text string, position long").coalesce(1)
+    out = bpe.bpe_report(df, tokens.path("byte_bpe_50k.tiktoken"), tokens.PATTERN, ("position",))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert got(out.select("doc_id", "position", "decoded_sha256")) == sorted([(k, 9 * k, sha(f"text {k}\n")) for k in range(2 * bpe.ROWS + 1)], key=str)
+
+
 @pytest.mark.parametrize("run", [line_dedup.line_report, line_dedup.dedup_lines, substring_dedup.substring_report, simhash.near_duplicates, simhash.keep_one])
 def test_empty(spark, run):
     assert run(spark.createDataFrame([], DOCS)).count() == 0
