@@ -2,7 +2,7 @@
 
 SimHash comes first: classes whose fingerprints are equal or linked within three
 bits, which partitions of bits find as in op7_simhash, are verified on their whole
-sets. It cannot find all. Two sets that similar share one of the first
+sets, in one turn with the first of the pairs below. It cannot find all. Two sets that similar share one of the first
 n - ceil(0.8 n) + 1 elements of each under any common order, so for the rest every text is filed under those of its shingles;
 shingles that a bounded sample of texts finds common come last in that order,
 which decides the cost and not the result. Pairs under one key whose sizes and
@@ -19,9 +19,11 @@ copies is not compared pair by pair. Members of a key are first held against the
 one of them that shares most keys, which in a group of copies is the text that
 the others were made of, then against a random one. Only what the links found so
 far leave in different components goes on: under small keys pair by pair; the
-members of large keys are gathered by lead, and groups that fit a task are
-compared there by the same screens; larger ones, and those in which very many
-pairs pass, by differences. Let A and B be the
+members of large keys are gathered by lead and compared there by the same
+screens, groups too large for a task in pieces, two by two. Where very many pairs
+pass, the members that are in such pairs are compared by differences; texts that
+share no more than a passage with the lead differ from it in all else and are
+not among them. Let A and B be the
 symmetric differences of two members' sets x and y to the set of the group's lead. Then
 x and y differ as A and B do, so a link needs |A| + |B| - (|x| + |y|) / 9 over 2
 elements in both. Where one of them has no link to the lead that is more than
@@ -56,7 +58,7 @@ from labelspark.llm.components import components
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 #: The share of links that each screen may lose, the least set to which that by SimHash applies, and hashes of a sketch.
 LOST, SCREENED, SKETCH = 1e-7, 32, 128
-#: Members of a key up to which those in different components are compared pair by pair, members of a group that one task compares, and pairs for each of them that may go on.
+#: Members of a key up to which those in different components are compared pair by pair, members of a group's piece, two of which one task compares, and pairs for each of them that may go on.
 SMALL, GROUP, DENSE = 32, 1024, 4
 #: Texts of the sample, and shingles it may call common.
 SAMPLE, COMMON = 8192, 65_536
@@ -215,44 +217,52 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 
 
 def _paired(least: float, dense: int, batches):
-    """Of rows (lead, node, n, sim, c, sketch) sorted by lead, each a group, candidates (u, v) in different components c; for a group with too many of them its lead twice instead."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    lead, held = None, []
+    """Of rows (lead, i, j, node, n, sim, c, own, sketch) sorted by lead, i and j, each a group's pieces i and j, candidates (lead, u, v) in different components c and, unless i = j, in different pieces; for pieces with too many of them each member that is in one, as u and v."""
+    schema = pa.schema([("lead", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+    at, held = None, []
 
     def pairs():
-        node, n, sim, c = (np.array(x, np.int64) for x in list(zip(*held, strict=True))[:4])
+        node, n, sim, c, piece = (np.array(x, np.int64) for x in list(zip(*held, strict=True))[:5])
         order = np.argsort(n, kind="stable")
-        node, n, sim, c, own = node[order], n[order], sim[order].view(np.uint64), c[order], [held[k][4] for k in order]
-        out = []
+        node, n, sim, c, piece, own = node[order], n[order], sim[order].view(np.uint64), c[order], piece[order], [held[k][5] for k in order]
+        out, seen, crowded = [], np.zeros(len(node), bool), False
         for k in range(len(node) - 1):
             # partners are larger, up to where the sizes allow no link
             near = np.arange(k + 1, np.searchsorted(n, n[k] / least + 1e-9, side="right"))
             near = near[c[near] != c[k]]
+            if at[1] != at[2]:
+                near = near[piece[near] != piece[k]]
             if n[k] >= SCREENED:
                 near = near[np.bitwise_count(sim[near] ^ sim[k]) <= screen(least)]
-            out += [(max(node[k], node[j]), min(node[k], node[j])) for j in near if agree(own[k], own[j], least)]
-            if len(out) > dense * len(node):
-                out = [(lead, lead)]
-                break
-        both = np.array(out, np.int64).reshape(-1, 2)
-        return batch(schema, longs(both[:, 0]), longs(both[:, 1]))
+            for j in near:
+                # once the members count and not the pairs, a pair of two that are known says nothing
+                if not (crowded and seen[j] and seen[k]) and agree(own[k], own[j], least):
+                    seen[j] = seen[k] = True
+                    if not crowded:
+                        out.append((max(node[k], node[j]), min(node[k], node[j])))
+            crowded = crowded or len(out) > dense * len(node)
+        both = np.stack([node[seen]] * 2, axis=1) if crowded else np.array(out, np.int64).reshape(-1, 2)
+        return batch(schema, longs(np.full(len(both), at[0])), longs(both[:, 0]), longs(both[:, 1]))
 
     for b in batches:
-        for row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-            if row[0] != lead and held:
+        for row in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True):
+            if row[:3] != at and held:
                 yield pairs()
                 held = []
-            lead = row[0]
-            held.append(row[1:])
+            at = row[:3]
+            held.append(row[3:])
     if held:
         yield pairs()
 
 
 def _in_groups(grouped: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Candidates (u, v) among the members of groups (lead, node, n, sim, c) of at most GROUP, with (lead, lead) for those whose members are too much alike."""
+    """Candidates (lead, u, v) among the members of groups (lead, node, n, sim, c), with (lead, node, node) for members that are too much alike. A group of more than GROUP is dealt out in pieces of about that size, two by two."""
     parts = partitions(grouped.sparkSession)
-    rows = grouped.join(sketches.select(F.col("row").alias("node"), "sketch"), "node").select("lead", "node", "n", "sim", "c", "sketch")
-    return rows.repartition(parts, "lead").sortWithinPartitions("lead").mapInArrow(partial(_paired, least, DENSE), "u long, v long")
+    pieces = grouped.groupBy("lead").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("pieces"))
+    dealt = grouped.join(pieces, "lead").withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces").cast("long")).cast("int"))
+    dealt = dealt.join(sketches.select(F.col("row").alias("node"), "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    rows = dealt.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "sim", "c", "own", "sketch")
+    return rows.repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j").mapInArrow(partial(_paired, least, DENSE), "lead long, u long, v long")
 
 
 def _by_difference(grouped: DataFrame, own: DataFrame, least: float) -> DataFrame:
@@ -314,7 +324,7 @@ def near_copies(documents: DataFrame, size: int = SHINGLE, least: float = LEAST,
     """(doc_id, mark, component): rows that links of `least` or more reach share a component.
 
     linked: fingerprints (fp) to links (u, v) between near ones, which are
-    tried before all other candidates.
+    tried in the first turn.
     """
     bound_batches(documents.sparkSession)
     rows = with_id(documents, full=True)
@@ -337,38 +347,33 @@ def near_copies(documents: DataFrame, size: int = SHINGLE, least: float = LEAST,
 
     links = tested = found = now = None
     known: list[DataFrame] = []
-    for turn in range(-1 if linked else 0, 3):
+    for turn in range(3):
         discard(now)
-        now = None
-        if turn < 0:
-            near = _by_fingerprint(reps, linked)
+        if found is None:
+            now = member.withColumn("c", F.col("node"))
+        else:
+            now = member.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        apart = now.groupBy("key").agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.count("*").alias("size")).filter("_a <> _b").select("key", "size")
+        now = materialize(now.join(apart, "key"))
+        rank = F.xxhash64("node") if turn == 1 else F.struct(-F.col("many"), F.xxhash64("node"))
+        if turn < 2:
+            near = _against(now, now.groupBy("key").agg(F.min(F.struct(rank.alias("h"), "node", "n", "sim", "c")).alias("o")), least)
+            if turn == 0 and linked:
+                near = _by_fingerprint(reps, linked).unionByName(near)
         else:
-            if found is None:
-                now = member.withColumn("c", F.col("node"))
-            else:
-                now = member.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-            apart = now.groupBy("key").agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.count("*").alias("size")).filter("_a <> _b").select("key", "size")
-            now = materialize(now.join(apart, "key"))
-            rank = F.xxhash64("node") if turn == 1 else F.struct(-F.col("many"), F.xxhash64("node"))
-            if turn < 2:
-                near = _against(now, now.groupBy("key").agg(F.min(F.struct(rank.alias("h"), "node", "n", "sim", "c")).alias("o")), least)
-            else:
-                # what is not in the key's largest component against all members
-                few = now.filter(F.col("size") <= SMALL)
-                sizes = few.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("most"))
-                near = _against(few, few.join(sizes, "key").filter("c <> most.c").select("key", F.struct("node", "n", "sim", "c").alias("o")), least)
-                crowd = now.filter(F.col("size") > SMALL)
-                lead = crowd.groupBy("key").agg(F.min(F.struct(rank.alias("h"), "node")).alias("o")).select("key", F.col("o.node").alias("lead"))
-                grouped = crowd.join(lead, "key").select("lead", "node", "n", "sim", "c").distinct()
-                sizes = grouped.groupBy("lead").agg((F.count("*") <= GROUP).alias("fits"))
-                grouped = materialize(grouped.join(sizes, "lead"))
-                found_here = materialize(_in_groups(grouped.filter("fits").drop("fits"), sketches, least))
-                near = near.unionByName(found_here.filter("u <> v"))
-                dense = found_here.filter("u = v").select(F.col("u").alias("lead"), F.lit(True).alias("dense"))
-                large = grouped.join(dense, "lead", "left").filter("not fits or dense").drop("fits", "dense")
-                if not large.isEmpty():
-                    own = _own_sets(large.select(F.explode(F.array("lead", "node")).alias("node")).distinct(), reps, rows, size, known)
-                    near = near.unionByName(_by_difference(large, own, least))
+            # what is not in the key's largest component against all members
+            few = now.filter(F.col("size") <= SMALL)
+            sizes = few.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("most"))
+            near = _against(few, few.join(sizes, "key").filter("c <> most.c").select("key", F.struct("node", "n", "sim", "c").alias("o")), least)
+            crowd = now.filter(F.col("size") > SMALL)
+            lead = crowd.groupBy("key").agg(F.min(F.struct(rank.alias("h"), "node")).alias("o")).select("key", F.col("o.node").alias("lead"))
+            grouped = materialize(crowd.join(lead, "key").select("lead", "node", "n", "sim", "c").distinct())
+            found_here = materialize(_in_groups(grouped, sketches, least))
+            near = near.unionByName(found_here.filter("u <> v").select("u", "v"))
+            alike = grouped.join(found_here.filter("u = v").select("lead", F.col("u").alias("node")).distinct(), ["lead", "node"])
+            if not alike.isEmpty():
+                own = _own_sets(alike.select(F.explode(F.array("lead", "node")).alias("node")).distinct(), reps, rows, size, known)
+                near = near.unionByName(_by_difference(alike, own, least))
         pairs = near.distinct()
         pairs = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
         pairs = materialize(_sketched(pairs, sketches, least))

@@ -182,3 +182,31 @@ def test_fingerprints_find_first_and_shuffles_go(spark, monkeypatch):
     assert len(asked) == 1 and asked[0] >= 2
     made = common.materialize(df.groupBy("doc_id").count())
     assert made.count() == 5 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def _crowd(rng):
+    """A hub with near copies, which share one passage with 80 texts that have nothing else in common; among those 8 near copies of each other."""
+    say = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    passage = say(30)
+    texts = [passage + say(200) for _ in range(80)]
+    texts += [texts[3][:k] + say(9) + texts[3][k + 9 :] for k in range(40, 200, 20)]
+    texts += [passage[:20] + texts[9][:-30] + say(30) for _ in range(12)]
+    rows = [(k, " ".join(x), "a") for k, x in enumerate(texts)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("group", "dense"), [(7, 4), (7, 0)])
+def test_crowds_that_share_a_passage_are_not_compared_by_differences(spark, monkeypatch, group, dense):
+    """Groups too large for a task are compared in pieces, and only members of passing pairs by differences to the lead: those that share a passage alone differ in all else, so their differences would be as large as the texts."""
+    monkeypatch.setattr(near_copies, "SMALL", 1)
+    monkeypatch.setattr(near_copies, "GROUP", group)
+    monkeypatch.setattr(near_copies, "DENSE", dense)
+    monkeypatch.setattr(near_copies, "SAMPLE", 0)
+    seen = []
+    real = near_copies._by_difference
+    monkeypatch.setattr(near_copies, "_by_difference", lambda grouped, *rest: seen.append(grouped.select("node").distinct().count()) or real(grouped, *rest))
+    rows = _crowd(random.Random(5))
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(df, least=0.8).collect()) == kept(rows)
+    assert sum(seen) <= 22
