@@ -447,5 +447,7 @@ def store_metrics(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_partkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY length(l_extendedprice::VARCHAR) DESC, l_linenumber, l_partkey) AS r FROM (SELECT l_orderkey, l_partkey, l_linenumber, printf('%.2f', l_extendedprice) AS l_extendedprice FROM lineitem)) WHERE r = 1")
 def longest_version(spark, sf_dir):
-    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.struct("l_linenumber", "l_partkey").alias("pos"), F.format_string("%.2f", "l_extendedprice").alias("l_extendedprice"))
+    # rows that the SQL's order leaves tied keep the table's order
+    pos = F.struct("l_linenumber", "l_partkey", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", pos.alias("pos"), F.format_string("%.2f", "l_extendedprice").alias("l_extendedprice"))
     return dedup.longest_version(l, ["l_orderkey"], "l_extendedprice", "pos").drop("pos")

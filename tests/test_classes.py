@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from labelspark.operators import dedup, matching
+from labelspark.plans import star_queries
 
 
 def _questions(spark, n):
@@ -42,3 +43,11 @@ def test_longest_version_has_one_answer(spark):
     for n in (1, 7):
         df = spark.createDataFrame(rows[::-1], "k int, p int, t string").selectExpr("k + p AS k", "0 AS pos", "t").repartition(n, "t")
         assert {r.t for r in dedup.longest_version(df, ["k"], "t", "pos").collect()} == {"aaa"}
+
+
+def test_longest_version_keeps_the_table_s_order_of_ties(spark, tmp_path):
+    """Lines that order, length, line number and part leave tied: the one that comes first in the table, whichever text is less."""
+    rows = [(k, 7, 1, float(p)) for k in range(20) for p in ((94180.86, 25536.4) if k % 2 else (25536.4, 94180.86))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = {r.l_orderkey: r.l_extendedprice for r in star_queries.longest_version(spark, str(tmp_path)).collect()}
+    assert found == {k: "94180.86" if k % 2 else "25536.40" for k in range(20)}
